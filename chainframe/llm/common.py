@@ -71,7 +71,7 @@ def arrow_map(df: DataFrame, body: Callable[[Iterator[pa.RecordBatch]], Iterator
 _MASK = (1 << 64) - 1
 
 
-def word_hashes(words: list[bytes], cache: dict[bytes, int], seed: int = 0, most: int = 400_000) -> np.ndarray:
+def word_hashes(words: list[bytes], cache: dict[bytes, int], seed: int = 0, most: int = 150_000) -> np.ndarray:
     """64-bit hashes of words; ``cache`` spares repeated ones and is emptied when it has grown to ``most``."""
     if len(cache) > most:
         cache.clear()
