@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 
 _MOST_ROUNDS = 40
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
@@ -113,7 +113,7 @@ def format_trees(messages: DataFrame, best: int = 1) -> DataFrame:
     kind = messages.schema["conv"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [format_turns([(t["role"], t["text"]) for t in turns]) for turns in batch.column("turns").to_pylist()]
             mask = pa.array([[{"s": s, "e": e} for s, e in m[1]] for m in made], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("leaf"), pa.array([m[0] for m in made], pa.string()), mask], ["conv", "leaf", "formatted", "mask"])
@@ -128,7 +128,7 @@ def digest(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for formatted, mask in zip(batch.column("formatted").to_pylist(), batch.column("mask").to_pylist(), strict=True):
                 turns = read_turns(formatted)

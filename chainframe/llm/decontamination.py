@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, written
+from .common import batches_of, sliced, written
 
 WINDOW = 10
 SHINGLE = 3
@@ -112,7 +112,7 @@ def _count_shingles(documents: DataFrame, text_col: str, block: Block) -> dict[i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
         totals = {q: np.zeros(len(s), dtype=np.int64) for q, s in b.shingles.items()}
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batches_of(batch, "text"):
                 ids = _numbers(text, b.vocabulary)
                 for q, listed in b.shingles.items():
@@ -199,7 +199,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, id_col: str =
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = shared.value
-            for batch in batches:
+            for batch in sliced(batches):
                 totals, hits, items = [], [], []
                 for text, before, listed in zip(batches_of(batch, "text"), batch.column("hit_words").to_pylist(), batch.column("items").to_pylist(), strict=True):
                     ids = _numbers(text, b.vocabulary if b else {})
@@ -236,7 +236,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = shared.value
-            for batch in batches:
+            for batch in sliced(batches):
                 yield batch.filter(pa.array([not len(occurrences(_numbers(t, b.vocabulary), b)[0]) for t in batches_of(batch, text_col)], pa.bool_()))
 
         return rows.mapInArrow(keep, rows.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 
 MOST_BROADCAST = 50_000
 #: A container holds the article if it has this share of the page's text.
@@ -237,7 +237,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
     """(host, path): the path with the most votes of each host, the first in order of equals."""
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(h, *v) for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True) if page and (v := vote(page))]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array([round(x * 1e6) for x in cols[2]], pa.int64())], ["host", "path", "votes"])
@@ -260,7 +260,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         rows = rows.join(winners, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             paths = [shared.value.get(h) for h in batch.column("host").to_pylist()] if shared is not None else batch.column("path").to_pylist()
             texts = [extract(page, path) if page else "" for page, path in zip(batch.column("html").to_pylist(), paths, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, written
+from .common import batches_of, sliced, written
 from .components import UnionFind, components
 from .sketch import Membership, cell_of, membership
 from .superminhash import SLOTS, band_keys, intersection, new_powers, shingle_set, signatures
@@ -53,7 +53,7 @@ def _ratio(a: str, b: str):
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict = {}
     powers = new_powers()
-    for batch in batches:
+    for batch in sliced(batches):
         texts, docs = batches_of(batch, "text"), batch.column("doc")
         for first in range(0, len(texts), 256):
             sets = [shingle_set(t, cache, powers) for t in texts[first : first + 256]]
@@ -74,7 +74,7 @@ def _sets_of(documents: DataFrame, wanted: Membership, label: str) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         powers = new_powers()
-        for batch in batches:
+        for batch in sliced(batches):
             keep = shared.value.may_contain(batch.column("cell").to_numpy())
             own = batch.filter(pa.array(keep))
             if own.num_rows:
@@ -91,7 +91,7 @@ def _plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     both = pairs.join(sig.select(F.col("doc").alias("a"), F.col("sig").alias("s")), "a").join(sig.select(F.col("doc").alias("b"), F.col("sig").alias("t")), "b")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SLOTS) for c in ("s", "t"))
             keep = pa.array((s == t).mean(axis=1) >= PLAUSIBLE)
             yield batch.select(["a", "b"]).filter(keep)
@@ -106,7 +106,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, label: str) -> DataFrame:
     sets = _sets_of(documents, membership(ends.select(cell_of("doc").alias("cell"))), f"{label}-sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             s, t = ([np.frombuffer(x, dtype=np.uint64) for x in batch.column(c).to_pylist()] for c in ("s", "t"))
             yield batch.select(["a", "b"]).filter(pa.array([_linked(x, y) for x, y in zip(s, t, strict=True)], pa.bool_()))
 
@@ -117,7 +117,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, label: str) -> DataFrame:
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str], keys: int) -> Iterator[list[tuple]]:
     """Runs of rows with equal leading ``keys`` columns of a sorted partition."""
     group: list[tuple] = []
-    for batch in batches:
+    for batch in sliced(batches):
         for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
             if group and row[:keys] != group[0][:keys]:
                 yield group
@@ -206,7 +206,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     shared = documents.sparkSession.sparkContext.broadcast(found)
 
     def in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.select(["doc", "n", "key"]).filter(pa.array(shared.value.may_contain(batch.column("cell").to_numpy())))
 
     joined = banded.select("doc", "n", "key", cell_of("key").alias("cell")).mapInArrow(in_bucket, "doc long, n long, key long").join(centres, "key")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, batches_of, window_anchors, window_hashes, word_hashes, written
+from .common import batches_of, sliced, window_anchors, window_hashes, word_hashes, written, Powers
 from .sketch import CELLS_SCHEMA, partial_sketch, repeated_filter
 
 WINDOW = 50
@@ -54,7 +54,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, count = partial_sketch(np.concatenate(held))
         return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count)], ["cell", "n"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         for text in batches_of(batch, "text"):
             words = text.split()
             if len(words) >= WINDOW:
@@ -76,7 +76,7 @@ def repeated_windows(keyed: DataFrame) -> DataFrame:
         first: dict = {}
         second: dict = {}
         gram_powers, powers = Powers(_BASES[0]), (Powers(_BASES[1]), Powers(_BASES[2]))
-        for batch in batches:
+        for batch in sliced(batches):
             docs, rows, out = batch.column("doc").to_pylist(), batch.column("row").to_pylist(), []
             for doc, row, text in zip(docs, rows, batches_of(batch, "text"), strict=True):
                 words = text.split()
@@ -122,7 +122,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """id, n_words, n_removed and the kept words, joined by one space."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             total, removed, texts = [], [], []
             for text, starts in zip(batches_of(batch, "text"), batch.column("starts").to_pylist(), strict=True):
                 words = text.split()
@@ -144,7 +144,7 @@ def digest(documents: DataFrame) -> DataFrame:
     """The query's columns; the digest is taken where the words are, so that kept texts need not travel."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text, starts in zip(batches_of(batch, "text"), batch.column("starts").to_pylist(), strict=True):
                 words = text.split()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, batches_of, window_anchors, window_hashes, written
+from .common import batches_of, sliced, window_anchors, window_hashes, written, Powers
 from .sketch import CELLS_SCHEMA, RepeatedFilter, partial_sketch, repeated_filter
 from .suffix_sort import HashedText, byte_codes, sort_suffixes
 
@@ -57,7 +57,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, count = partial_sketch(np.concatenate(held))
         return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count)], ["cell", "n"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         for text in batches_of(batch, "text"):
             if len(text) >= LENGTH:
                 held.append(_anchored(byte_codes(text), powers)[1])
@@ -106,7 +106,7 @@ def _fragments(documents: DataFrame, shared) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Candidates(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             r1, r2, out = batch.column("r1").to_pylist(), batch.column("r2").to_pylist(), []
             for x, y, text in zip(r1, r2, batches_of(batch, "text"), strict=True):
                 found = own.of(text) if len(text) >= LENGTH else None
@@ -189,7 +189,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         cols = list(zip(*out, strict=True)) or [(), (), (), ()]
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:2]), *(pa.array(c, pa.int32()) for c in cols[2:])], ["r1", "r2", "s", "e"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if size > _BATCH_BYTES and row[0] != held[-1][0]:
                 yield solve()
@@ -205,7 +205,7 @@ def _hot_strings(documents: DataFrame, shared) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Candidates(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             r1, r2, out = batch.column("r1").to_pylist(), batch.column("r2").to_pylist(), []
             for x, y, text in zip(r1, r2, batches_of(batch, "text"), strict=True):
                 found = own.of(text) if len(text) >= LENGTH else None
@@ -230,7 +230,7 @@ def repeated_strings(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def open_rows() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 none = batch.column("bytes").is_null()
                 done = batch.filter(none)
                 if done.num_rows:
@@ -272,7 +272,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """id, n_bytes, n_removed, n_spans and the remaining bytes (or their SHA-256)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             total, removed, spans, kept = [], [], [], []
             for text, runs in zip(batches_of(batch, "text"), batch.column("runs").to_pylist(), strict=True):
                 keep = kept_mask(len(text), runs)
