@@ -51,7 +51,7 @@ class Block:
     lengths: np.ndarray
     items: list[list[str]]
     shingles: dict[int, np.ndarray]  # by shingle length, sorted codes
-    prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
+    prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None = None
 
 
 def codes_of(ids: np.ndarray, q: int) -> np.ndarray:
@@ -143,16 +143,15 @@ def index_by_rarity(block: Block, counts: dict[int, np.ndarray]) -> Block:
     for q, rows in entries.items():
         if rows:
             table = np.array(sorted(rows), dtype=np.int64)
-            block.prefix[q] = (table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy())
+            block.prefix[q] = (np.unique(table[:, 0]), *(table[:, i].copy() for i in range(3)))
     return block
 
 
 def occurrences(ids: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """(start, window) of every window that occurs in a document."""
     starts, found = [], []
-    for q, (codes, window, offset) in block.prefix.items():
+    for q, (listed, codes, window, offset) in block.prefix.items():
         own = codes_of(ids, q)
-        listed = np.unique(codes)
         pos, _ = _lookup(listed, own)
         if not len(pos):
             continue
@@ -192,9 +191,10 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, id_col: str =
     """Per row: id, n_words, ``hit_words`` (sorted positions) and ``items`` (sorted ids) of all blocks."""
     kind = documents.schema[id_col].dataType.simpleString()
     state = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast("array<int>").alias("hit_words"), F.array().cast("array<string>").alias("items"))
-    schema = f"id {kind}, text string, n_words long, hit_words array<int>, items array<string>"
+    schema = f"id {kind}, n_words long, hit_words array<int>, items array<string>"
 
-    def marked(block: Block | None, rows: DataFrame) -> DataFrame:
+    def marked(block: Block | None, rows: DataFrame, last: bool) -> DataFrame:
+        """The text goes on only if another block follows."""
         shared = rows.sparkSession.sparkContext.broadcast(block)
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,16 +216,17 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, id_col: str =
                             listed = sorted({*listed, *(i for x in np.unique(w).tolist() for i in b.items[x])})
                     hits.append(before)
                     items.append(listed)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(totals, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["id", "text", "n_words", "hit_words", "items"])
+                made = [batch.column("id"), pa.array(totals, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                names = ["id", "n_words", "hit_words", "items"]
+                yield pa.RecordBatch.from_arrays(made, names) if last else pa.RecordBatch.from_arrays([*made, batch.column("text")], [*names, "text"])
 
-        return rows.select("id", "text", "hit_words", "items").mapInArrow(mark, schema)
+        return rows.select("id", "text", "hit_words", "items").mapInArrow(mark, schema if last else f"{schema}, text string")
 
-    out = None
-    for block in _indexed_blocks(documents, benchmark, text_col, item_col, item_text_col):
-        out = marked(block, state if out is None else written(out, "decontamination"))
-    if out is None:
-        out = marked(None, state)
-    return out.drop("text").withColumnRenamed("id", id_col)
+    blocks = _indexed_blocks(documents, benchmark, text_col, item_col, item_text_col)
+    block, out = next(blocks, None), state
+    while (following := next(blocks, None)) is not None:
+        out, block = written(marked(block, out, False), "decontamination"), following
+    return marked(block, out, True).withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
