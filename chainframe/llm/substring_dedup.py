@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, sliced, window_anchors, window_hashes, word_hashes, written, Powers
+from .common import Powers, batches_of, mix64, sliced, window_anchors, window_hashes, word_hashes, written
 from .sketch import CELLS_SCHEMA, partial_sketch, repeated_filter
 
 WINDOW = 50
 GRAM = 25
 _LAST = (1 << 63) - 1
 _BASES = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)
-_SEEDS = (1, 2)
+_OTHER = np.uint64(0x9E3779B97F4A7C15)
 _FLUSH = 1 << 19
 
 
@@ -40,7 +40,7 @@ def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _anchored(words: list[bytes], cache: dict, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, the anchor number of every window, and the anchors' gram hashes."""
-    h = word_hashes(words, cache, _SEEDS[0])
+    h = word_hashes(words, cache)
     grams = window_hashes(h, GRAM, powers)
     which, at = window_anchors(grams, WINDOW - GRAM + 1)
     return h, which, grams[at]
@@ -73,8 +73,7 @@ def repeated_windows(keyed: DataFrame) -> DataFrame:
     shared = keyed.sparkSession.sparkContext.broadcast(found)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict = {}
-        second: dict = {}
+        cache: dict = {}
         gram_powers, powers = Powers(_BASES[0]), (Powers(_BASES[1]), Powers(_BASES[2]))
         for batch in sliced(batches):
             docs, rows, out = batch.column("doc").to_pylist(), batch.column("row").to_pylist(), []
@@ -82,10 +81,10 @@ def repeated_windows(keyed: DataFrame) -> DataFrame:
                 words = text.split()
                 if len(words) < WINDOW:
                     continue
-                h, which, anchors = _anchored(words, first, gram_powers)
+                h, which, anchors = _anchored(words, cache, gram_powers)
                 pos = np.flatnonzero(shared.value.may_repeat(anchors)[which])
                 if len(pos):
-                    a, b = window_hashes(h, WINDOW, powers[0])[pos], window_hashes(word_hashes(words, second, _SEEDS[1]), WINDOW, powers[1])[pos]
+                    a, b = window_hashes(h, WINDOW, powers[0])[pos], window_hashes(mix64(h ^ _OTHER), WINDOW, powers[1])[pos]
                     out.append((a, b, np.full(len(pos), doc), np.full(len(pos), row), pos))
             if out:
                 a, b, d, r, p = (np.concatenate(x) for x in zip(*out, strict=True))
