@@ -247,7 +247,7 @@ def repeated_strings(documents: DataFrame, text_col: str = "text") -> DataFrame:
         yield from ready
 
     rare = sorted_.mapInArrow(settle, "r1 long, r2 long, s int, e int")
-    hot = _hot_strings(keyed, shared)
+    hot = written(_hot_strings(keyed, shared), "suffix-hot")
     again = hot.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
     # written, so that adaptive execution may split a string that very many texts hold
     found = hot.where("n = 1").drop("n").join(written(again, "suffix-again"), ["h1", "h2"]).select("r1", "r2", F.col("pos").alias("s"), F.col("pos").alias("e"))
