@@ -309,7 +309,7 @@ def join_kway_merge(t: Tables) -> DataFrame:
     return pick(t.launches, "L").unionByName(pick(t.trades, "T")).orderBy("boundary", "event_id", "kind")
 
 
-@query("join_ledger_result", "SELECT coalesce(p.transaction_id, r.roundtrip_id) AS id, p.amount AS left_value, r.spent AS right_value FROM (SELECT transaction_id, -sum(amount) AS amount FROM postings WHERE account = 'CUSTOMER' AND transaction_id % 10 <> 3 GROUP BY 1) p FULL JOIN (SELECT roundtrip_id, spent FROM roundtrips WHERE roundtrip_id % 11 <> 4) r ON p.transaction_id = r.roundtrip_id WHERE p.amount IS DISTINCT FROM r.spent")
+@query("join_ledger_result", "SELECT coalesce(p.transaction_id, r.roundtrip_id) AS id, p.amount AS left_value, r.spent AS right_value FROM (SELECT transaction_id, CAST(-sum(amount) AS BIGINT) AS amount FROM postings WHERE account = 'CUSTOMER' AND transaction_id % 10 <> 3 GROUP BY 1) p FULL JOIN (SELECT roundtrip_id, spent FROM roundtrips WHERE roundtrip_id % 11 <> 4) r ON p.transaction_id = r.roundtrip_id WHERE p.amount IS DISTINCT FROM r.spent")
 def join_ledger_result(t: Tables) -> DataFrame:
     cash = t.postings.where("account = 'CUSTOMER' AND transaction_id % 10 <> 3").groupBy(F.col("transaction_id").alias("id")).agg((-F.sum("amount")).alias("v"))
     return quality.reconcile(cash, t.roundtrips.where("roundtrip_id % 11 <> 4").select(F.col("roundtrip_id").alias("id"), F.col("spent").alias("v")), ["id"], "v")
