@@ -138,7 +138,7 @@ def proj_normalize_launch(t: Tables) -> DataFrame:
     return t.launches.select("event_id", (F.col("venue") % 4 != 0).alias("eligible"), F.when(F.col("venue") % 4 == 0, "MODE").alias("excluded_reason"), F.lit(pricing.VIRTUAL_TOKEN).alias("vt"), F.lit(pricing.VIRTUAL_QUOTE).alias("vq"))
 
 
-@query("proj_normalize_trade", "SELECT event_id, side, amount, vt - 279900000000000 AS real_token, vq - 30000000000 AS real_quote, -(-(amount * 95) // 10000) + 0 AS protocol_fee, (amount * 95 + 9999) // 10000 AS checked_fee FROM curve WHERE amount > 0".replace("-(-(amount * 95) // 10000) + 0", "(amount * 95 + 9999) // 10000"))
+@query("proj_normalize_trade", "SELECT event_id, side, amount, vt - 279900000000000 AS real_token, vq - 30000000000 AS real_quote, (amount * 95 + 9999) // 10000 AS protocol_fee, (amount * 95 + 9999) // 10000 AS checked_fee FROM curve WHERE amount > 0")
 def proj_normalize_trade(t: Tables) -> DataFrame:
     state = pricing.curve_state(F.col("vt"), F.col("vq"))
     fee = pricing.fee(F.col("amount"), 95).cast("long")
@@ -381,7 +381,7 @@ def agg_terminal_by_tx(t: Tables) -> DataFrame:
     return d.groupBy("signature").agg(F.min("mint").alias("mint"), F.count("*").alias("rows_"), F.sum("source_row_count").alias("source_rows"), F.greatest(F.max("payload_variant_count"), F.count_distinct(F.struct("mint", "base_amount"))).alias("variants"))
 
 
-@query("agg_migration_dedup", "SELECT signature, mint, curve, min(base_amount) AS base_amount, count(*) AS source_row_count, count(DISTINCT (base_amount, NULL)) AS payload_variant_count FROM swaps GROUP BY 1, 2, 3".replace("(base_amount, NULL)", "base_amount"))
+@query("agg_migration_dedup", "SELECT signature, mint, curve, min(base_amount) AS base_amount, count(*) AS source_row_count, count(DISTINCT base_amount) AS payload_variant_count FROM swaps GROUP BY 1, 2, 3")
 def agg_migration_dedup(t: Tables) -> DataFrame:
     return dedup_with_variants(t.swaps, ["signature", "mint", "curve"], ["base_amount"])
 
@@ -681,7 +681,7 @@ def page_row_ordinal(t: Tables) -> DataFrame:
     return win_dense_rank_codes(t).where("code BETWEEN 20 AND 39").select("mint", "code")
 
 
-@query("page_pair_evidence", "SELECT mint, signer_a, signer_b, b_t - a_t AS delta_seconds FROM found WHERE (signer_a, signer_b) = (SELECT (signer_a, signer_b) FROM pairs ORDER BY shared_mints DESC, signer_a, signer_b LIMIT 1)".replace("(signer_a, signer_b) = (SELECT (signer_a, signer_b) FROM pairs ORDER BY shared_mints DESC, signer_a, signer_b LIMIT 1)", "(signer_a, signer_b) IN (SELECT (signer_a, signer_b) FROM pairs ORDER BY shared_mints DESC, signer_a, signer_b LIMIT 1)"))
+@query("page_pair_evidence", "SELECT mint, signer_a, signer_b, b_t - a_t AS delta_seconds FROM found WHERE (signer_a, signer_b) IN (SELECT (signer_a, signer_b) FROM pairs ORDER BY shared_mints DESC, signer_a, signer_b LIMIT 1)")
 def page_pair_evidence(t: Tables) -> DataFrame:
     found = _found(t)
     top = research.pair_counts(found, 1).orderBy(F.col("shared_mints").desc(), "signer_a", "signer_b").limit(1)

@@ -119,7 +119,6 @@ def st_reference_engine(t: Tables) -> DataFrame:
     return found.select("venue", "event_id", F.col("found_block").alias("executes"), (F.col("amount") - F.expr("amount * 30 div 10000")).alias("effective"))
 
 
-_BUYQ = "greatest(0, f - greatest(0, f + (f * 95 + 9999) // 10000 + (f * 30 + 9999) // 10000 - g) - 1)"
 _F = BUDGET * 10_000 // 10_125
 _U = max(0, _F - max(0, _F + -(-_F * 95 // 10_000) + -(-_F * 30 // 10_000) - BUDGET) - 1)
 _Q = f"({_U}::HUGEINT * coalesce({{p}}.vt, {pricing.VIRTUAL_TOKEN})) // (coalesce({{p}}.vq, {pricing.VIRTUAL_QUOTE}) + {_U})"
