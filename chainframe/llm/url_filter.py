@@ -53,7 +53,7 @@ PATTERN_RULES = (
     PatternRule(BLOCK, r"//[^/]*\bcasino\b", ("casino",)),
     PatternRule(BLOCK, r"//[^/]*\b(?:free-)?porn\b", ("porn",)),
     PatternRule(BLOCK, r"\bfree-torrents?-download\b", ("free", "download")),
-    PatternRule(BLOCK, r"/wp-login\.php", ("wp", "login", "php")),
+    PatternRule(BLOCK, r"/wp-login\.php", ("wp", "login")),
     PatternRule(BLOCK, r"/cgi-bin/ads?\b", ("cgi", "bin")),
     PatternRule(BLOCK, r"//ads\.", ("ads",)),
 )
@@ -90,10 +90,13 @@ class HostIndex:
 
 
 class PatternIndex:
-    """Rules by their rarest token; the first matching rule in list order decides."""
+    """Rules by their rarest token; the first matching rule in list order decides.
+
+    Word boundaries are those of ASCII words, as tokens are ASCII.
+    """
 
     def __init__(self, rules: tuple[PatternRule, ...], counts: dict[str, int]):
-        self.rules = [(r.verdict, re.compile(r.pattern)) for r in rules]
+        self.rules = [(r.verdict, re.compile(r.pattern, re.ASCII)) for r in rules]
         self.by_token: dict[str, list[int]] = {}
         for i, r in enumerate(rules):
             self.by_token.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(i)
