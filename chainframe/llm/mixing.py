@@ -101,9 +101,13 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def take_mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix, with ``taken`` words of each; what the mix leaves out is not returned."""
-    taken = mix(documents, id_col, text_col, source_col).where("taken > 0").groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("taken"))
-    return documents.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & (size_of(F.col(text_col)) == F.col("_size"))).drop("_id", "_size")
+    """The documents of the mix, with ``taken`` words of each; what the mix leaves out is not returned.
+
+    A column ``taken`` of the documents is replaced.
+    """
+    took = mix(documents, id_col, text_col, source_col).where("taken > 0").groupBy(F.col(id_col).alias("id"), "size").agg(F.max("taken").alias("taken"))
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("t.id")) & (size_of(F.col(f"d.{text_col}")) == F.col("t.size"))
+    return documents.drop("taken").alias("d").join(took.alias("t"), same).select("d.*", "t.taken")
 
 
 def digest(documents: DataFrame) -> DataFrame:
