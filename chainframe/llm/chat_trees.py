@@ -68,8 +68,8 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def linear_trees(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Conversations without links as trees: every turn answers the one before."""
-    order = Window.partitionBy(conv_col).orderBy(F.col(turn_col).asc_nulls_first(), F.col(role_col).asc_nulls_first(), F.col(text_col).asc_nulls_first())
+    """Conversations without links as trees: every turn answers the one before; a null turn comes last."""
+    order = Window.partitionBy(conv_col).orderBy(F.col(turn_col).asc_nulls_last(), *(F.coalesce(F.col(c), F.lit("")) for c in (role_col, text_col)))
     rows = conversations.withColumn("_n", F.row_number().over(order).cast("long"))
     return rows.select(F.col(conv_col).alias("conv"), F.col("_n").alias("msg"), F.when(F.col("_n") > 1, F.col("_n") - 1).alias("parent"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), F.lit(0.0).alias("score"))
 
