@@ -191,6 +191,11 @@ def test_url_rules():
     index = url_filter.PatternIndex(url_filter.PATTERN_RULES, {"cheap": 5, "pills": 1})
     assert index.decide("http://www.Cheap-Pills.org/x") == "block" and index.decide("http://cheap.org/pills") is None
     assert 0 in index.by_token["pills"]
+    # a rule is filed under tokens that every match holds, whatever the counts say
+    matches = ("x.org/wp-login.php7", "x.org/wp-login.phpx", "écheap-pills.org/", "x.org/a_b/cgi-bin/ad", "my-casino.org/é", "x.org/free-torrent-download.é")
+    for rarest in {t for r in url_filter.PATTERN_RULES for t in r.tokens}:
+        index = url_filter.PatternIndex(url_filter.PATTERN_RULES, {t: t != rarest for r in url_filter.PATTERN_RULES for t in r.tokens})
+        assert [index.decide("http://" + u) for u in matches] == ["block"] * len(matches), rarest
 
 
 def test_mixing_bounds_and_targets(spark):
@@ -203,6 +208,12 @@ def test_mixing_bounds_and_targets(spark):
         own = [r for r in got if source[r["doc_id"]] == s]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1.0 and all(r["taken"] <= 2 * r["size"] for r in own)
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()))
+    want = {r["doc_id"]: r["taken"] for r in got if r["taken"]}
+    assert {r["doc_id"]: r["taken"] for r in mixing.take_mix(df).collect()} == want
+    other = df.selectExpr("*", "'x' AS _id", "'y' AS _size", "'z' AS id", "0 AS size", "1 AS target", "'old' AS taken")
+    out = mixing.take_mix(other)
+    assert out.columns == other.columns and {r["doc_id"]: r["taken"] for r in out.collect()} == want
+    assert mixing.take_mix(df.limit(0)).count() == 0
 
 
 def test_chat_round_trip_and_branches(spark):
@@ -213,6 +224,9 @@ def test_chat_round_trip_and_branches(spark):
     tree = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", -1.0), (1, 3, 1, "assistant", "good", 2.0), (1, 4, 3, "user", "more", 0.5), (2, 9, 77, "user", None, None), (None, 1, None, None, "x", 0.0)]
     got = {r["conv"]: r["formatted"] for r in chat_trees.format_trees(spark.createDataFrame(tree, "conv long, msg long, parent long, role string, text string, score double")).collect()}
     assert chat_trees.read_turns(got[1]) == [("user", "q"), ("assistant", "good"), ("user", "more")]
+    rows = [(5, None, "user", "last"), (5, 1, None, "b"), (5, 1, "", "a"), (5, 0, "user", None)]
+    own = chat_trees.format_trees(chat_trees.linear_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert chat_trees.read_turns(own.first()["formatted"]) == [("user", ""), ("", "a"), ("", "b"), ("user", "last")]
     assert chat_trees.read_turns(got[2]) == [("user", "")] and chat_trees.read_turns(got[None]) == [("", "x")]
 
 
