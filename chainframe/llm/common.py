@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: ASCII white space, the separators of ``[^\x20\x09-\x0D]+``.
 SPACE = " \t\n\x0b\f\r"
 SPACE_RE = "[ \\t-\\r]+"
@@ -21,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bounds of an Arrow batch between the JVM and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Ship the package and bound the Arrow batches, which the JVM and the worker both hold whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return ship(spark)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` as a variable.
 

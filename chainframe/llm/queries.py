@@ -6,15 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
 from . import chat_trees, decontamination, html_text, mixing, near_dedup, pii, quality_rules, substring_dedup, suffix_dedup, url_filter
-from .common import table
+from .common import ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _over(name: str, operator: Callable[..., DataFrame], *more: str) -> Query:
-    return lambda spark, sf_dir: operator(*(table(ship(spark), sf_dir, t) for t in (name, *more)))
+    return lambda spark, sf_dir: operator(*(table(ready(spark), sf_dir, t) for t in (name, *more)))
 
 
 def queries() -> dict[str, Query]:

@@ -12,8 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from chainframe.llm import decontamination, mixing, near_dedup, pii, quality_rules
-from chainframe.llm.common import shared_dir, table
-from chainframe.session import ship
+from chainframe.llm.common import ready, shared_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,16 +40,16 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.take_mix(docs)
 
 
-def _shipping(stage):
-    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+def _ready(stage):
+    return lambda spark, docs, sf_dir: stage(ready(spark), docs, sf_dir)
 
 
 STAGES = [
-    ("quality_rules", _shipping(quality_stage)),
-    ("near_dedup", _shipping(near_dedup_stage)),
-    ("decontamination", _shipping(decontamination_stage)),
-    ("pii", _shipping(pii_stage)),
-    ("mixing", _shipping(mixing_stage)),
+    ("quality_rules", _ready(quality_stage)),
+    ("near_dedup", _ready(near_dedup_stage)),
+    ("decontamination", _ready(decontamination_stage)),
+    ("pii", _ready(pii_stage)),
+    ("mixing", _ready(mixing_stage)),
 ]
 
 #: The PII stage has no SQL form; a test holds run() against a plain version.
