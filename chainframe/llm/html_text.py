@@ -1,8 +1,9 @@
 """Main text of web pages by consensus host paths.
 
-Every page scores its containers and votes, with its best container's share of
-the text, for that container's generalised path (tags and classes, numbers
-replaced).  Spark adds the votes up per host, and each page is extracted again
+On every page the article reaches as far as the lowest container around all
+blocks of content: every block that is no boilerplate, short blocks that are
+nothing but links excepted.  Each page votes, with that container's share of the
+text, for its generalised path (tags and classes, numbers replaced).  Spark adds the votes up per host, and each page is extracted again
 from the path that won on its host; a page without such a container keeps its
 own best one.
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import sliced, written
 
 MOST_BROADCAST = 50_000
-#: A container holds the article if it has this share of the page's text.
-SHARE = 0.6
+#: A block shorter than this that is all links, no heading, does not widen the article.
+LINKS_MOST = 200
 #: The host's path is used on a page if it has at least this share there.
 LEAST_SHARE = 0.25
 
@@ -39,6 +40,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 #: Elements that one of the listed start tags ends.
 ENDS_P = BLOCKS - {"caption", "html", "body", "head", "legend", "optgroup", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"} | {"li", "dd", "dt"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset("table ul ol dl td th article section div main body html aside nav header footer form".split())
 CONTAINERS = frozenset("article main section div td body".split())
 # What is no part of an article.
@@ -59,10 +61,10 @@ _NUMBER = re.compile("[0-9]+")
 
 
 class Node:
-    __slots__ = ("parent", "path", "chars", "first", "last", "depth", "tag")
+    __slots__ = ("parent", "path", "chars", "content", "first", "last", "depth", "tag")
 
     def __init__(self, parent: Node | None, tag: str, path: str):
-        self.parent, self.tag, self.path, self.chars = parent, tag, path, 0
+        self.parent, self.tag, self.path, self.chars, self.content = parent, tag, path, 0, 0
         self.first = self.last = 0  # its blocks, as a range
         self.depth = parent.depth + 1 if parent else 0
 
@@ -84,23 +86,33 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
     stack: list[tuple[str, Node | None, bool]] = []  # tag, container, dropped
     here, dropped = root, False
     run: list[str] = []
+    linked = heading = False  # in a link that this block opened; in a heading
+    plain = False  # this block has text that is in no link
 
     def end_block() -> None:
+        nonlocal linked, plain
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             run.clear()
             if text:
                 blocks.append(text)
+                content = plain or heading or len(text) >= LINKS_MOST
                 node = here
                 while node is not None:
                     node.chars += len(text)
+                    node.content += content
                     node = node.parent
+        linked = plain = False
 
     def pop() -> None:
-        nonlocal here, dropped
+        nonlocal here, dropped, linked, heading
         tag, node, _ = stack.pop()
         if tag in BLOCKS:
             end_block()
+            if tag in HEADINGS:
+                heading = False
+        elif tag == "a":
+            linked = False
         if node is not None:
             node.last = len(blocks)
             here = node.parent
@@ -122,6 +134,7 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
             lt = n
         if lt > at and not dropped:
             run.append(page[at:lt])
+            plain = plain or (not linked and any(map(str.isalnum, page[at:lt])))
         if lt >= n:
             break
         nxt = page[lt + 1 : lt + 2]
@@ -182,6 +195,10 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
             here = node
         stack.append((tag, node, bad))
         dropped = bad
+        if tag in HEADINGS:
+            heading = True
+        elif tag == "a":
+            linked = "href" in attributes
     while stack:
         pop()
     end_block()
@@ -191,15 +208,15 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
 
 
 def best_container(nodes: list[Node]) -> tuple[Node, float]:
-    """A lone article or main element, else the deepest container that holds most of the text; and its share."""
+    """The lowest container around all blocks of content, or a lone article or main element around them; and its share."""
     root = nodes[-1]
-    total = max(root.chars, 1)
+    whole = [x for x in nodes if x.chars and x.content == root.content]
     for tag in ("article", "main"):
-        own = [x for x in nodes if x.tag == tag and x.chars and not _inside(x, tag)]
+        own = [x for x in whole if x.tag == tag and not _inside(x, tag)]
         if len(own) == 1:
-            return own[0], own[0].chars / total
-    most = max((x for x in nodes if x.chars >= SHARE * total), key=lambda x: x.depth, default=root)
-    return most, most.chars / total
+            return own[0], own[0].chars / max(root.chars, 1)
+    most = max(whole, key=lambda x: (x.depth, x.chars), default=root) if root.content else root
+    return most, most.chars / max(root.chars, 1)
 
 
 def _inside(node: Node, tag: str) -> bool:

@@ -178,6 +178,22 @@ def test_html_text(spark):
         assert [got[i] for i in range(4)] == [want] * 4 and got[9] == got[10] == "" and got[11].startswith("a < b") and got[12] == "deep"
 
 
+def test_html_text_takes_in_titles_and_split_articles():
+    intro, rest = "An intro of some words.", "word " * 200
+    links = '<div><ul><li><a href="/1">Home</a> | <a href="/2">News</a></ul></div>'
+    page = lambda x: f"<html><body>{links}{x}{links}</body></html>"
+    lines = lambda x: html_text.extract(page(x), None).split("\n\n")
+    body = f"<p>{rest}</p>"
+    assert lines(f"<div class=post><h1>T</h1><p>{intro}</p><div class=entry-content>{body}</div></div>") == ["T", intro, rest.strip()]
+    assert lines(f"<div class=content><section>{body * 7}</section><section>{body * 3}</section></div>") == [rest.strip()] * 10
+    assert lines(f'<div><h2><a href="/t">T</a></h2><div>{body}</div></div>') == ["T", rest.strip()]
+    assert lines(f"<article><p>{intro}</p></article><div>{body}</div>")[1:-1] == [intro, rest.strip()]
+    assert lines(f"<main><h1>T</h1><article>{body}</article></main>") == ["T", rest.strip()]
+    assert lines(f"<article><h1>T</h1>{body}</article>") == ["T", rest.strip()]
+    assert lines(f"<div><p><a href=x>{intro}<p>{intro}<div>{body}</div></div>") == [intro, intro, rest.strip()]
+    assert html_text.extract(links, None) == "Home | News"
+
+
 def test_html_articles_of_the_small_pages(spark):
     for r in spark.read.parquet(f"{SMALL}/pages.parquet").limit(50).collect():
         text = html_text.extract(r["html"], None)
