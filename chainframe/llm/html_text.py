@@ -4,8 +4,8 @@ On every page the article reaches as far as the lowest container around all
 blocks of content: every block that is no boilerplate, short blocks that are
 nothing but links excepted.  Each page votes, with that container's share of the
 text, for its generalised path (tags and classes, numbers replaced).  Spark adds the votes up per host, and each page is extracted again
-from the path that won on its host; a page without such a container keeps its
-own best one.
+from all containers of the path that won on its host; a page keeps its own best
+container if that would leave out any of its content blocks.
 
 The winners are sent to the executors if they are at most ``MOST_BROADCAST``
 hosts, and joined by host beyond that.
@@ -30,8 +30,6 @@ from .common import sliced, written
 MOST_BROADCAST = 50_000
 #: A block shorter than this that is all links, no heading, does not widen the article.
 LINKS_MOST = 200
-#: The host's path is used on a page if it has at least this share there.
-LEAST_SHARE = 0.25
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -232,11 +230,9 @@ def extract(page: str, winner: str | None) -> str:
     blocks, nodes = parse(page)
     chosen, share = best_container(nodes)
     if winner is not None and winner != chosen.path:
-        same = [x for x in nodes if x.path == winner and x.chars]
-        if same:
-            top = max(same, key=lambda x: x.chars)
-            if top.chars >= LEAST_SHARE * max(nodes[-1].chars, 1):
-                chosen = top
+        same = [x for x in nodes if x.path == winner and x.chars]  # never one inside another, so in page order
+        if same and sum(x.content for x in same) == nodes[-1].content:
+            return "\n\n".join(b for x in same for b in blocks[x.first : x.last])
     return "\n\n".join(blocks[chosen.first : chosen.last])
 
 

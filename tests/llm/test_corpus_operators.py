@@ -194,6 +194,26 @@ def test_html_text_takes_in_titles_and_split_articles():
     assert html_text.extract(links, None) == "Home | News"
 
 
+def test_html_text_joins_all_containers_of_the_hosts_path(spark):
+    links = "<div><ul><li><a href=/1>Home</a></ul></div>"
+    one, two = "word " * 100, "other " * 90
+    page = lambda *parts: f"<html><body>{links}{''.join(parts)}</body></html>"
+    usual = [page(f"<article><p>{one}</p></article>")] * 5
+    odd = [
+        page(f"<article><p>{one}</p></article>", f"<article><p>{two}</p></article>"),
+        page(f"<div><p>{one}</p></div>", f"<article><p>{two}</p></article>"),
+        page(f"<article><h1>T</h1><div><p>{two}</p></div></article>"),
+        page("<article>See <a href=/2>two</a></article>", f"<p>{one}</p>"),
+    ]
+    pages = spark.createDataFrame([(i, "http://h.org/", x) for i, x in enumerate(usual + odd)], "page_id long, url string, html string")
+    for limit in (10, 0):
+        got = {r["page_id"]: r["text"].split("\n\n") for r in html_text.main_text(pages, most_broadcast=limit).collect()}
+        assert [got[i] for i in range(5)] == [[one.strip()]] * 5
+        assert [got[i] for i in range(5, 9)] == [[one.strip(), two.strip()], ["Home", one.strip(), two.strip()], ["T", two.strip()], ["Home", "See two", one.strip()]]
+    parts = "".join(f"<div class=part-{i}><p>{two}{i}</p></div>" for i in range(4))
+    assert html_text.extract(page(parts), ">body>div.part-N").split("\n\n") == [f"{two}{i}" for i in range(4)]
+
+
 def test_html_articles_of_the_small_pages(spark):
     for r in spark.read.parquet(f"{SMALL}/pages.parquet").limit(50).collect():
         text = html_text.extract(r["html"], None)
