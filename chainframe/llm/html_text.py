@@ -10,6 +10,11 @@ container if that would leave out any of its content blocks.
 The winners are sent to the executors if they are at most ``MOST_BROADCAST``
 hosts, and joined by host beyond that.
 
+A word of its class or id does not drop an element that holds most of the page's
+text (unless an article or main with an h1 stands beside it), or the article, the
+main element or the first h1 of a page that shows none elsewhere; if no other
+text is left, such words drop nothing.
+
 Defined cases: null or empty html has an empty text; a null url has the host
 ''; rows that repeat are extracted alike; markup that never ends reaches to the
 end of the page.
@@ -72,16 +77,82 @@ def _unwanted(attributes: dict[str, str]) -> bool:
         return True
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
+    return False
+
+
+def _suspected(attributes: dict[str, str]) -> bool:
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     return any(w.lower() in DROPPED_WORDS for w in _WORDS.findall(names))
 
 
+class Part:
+    """An element that its words may drop (tag None), or an article, main or h1."""
+
+    __slots__ = ("above", "tag", "chars", "number")
+
+    def __init__(self, above: Part | None, tag: str | None, number: int):
+        self.above, self.tag, self.chars, self.number = above, tag, 0, number
+
+
 def parse(page: str) -> tuple[list[str], list[Node]]:
     """The blocks of text that are no boilerplate, and the containers with their ranges of blocks."""
+    blocks, nodes, parts = _parse(page, frozenset())
+    kept = _kept(parts) if any(x.tag is None for x in parts) else None
+    return _parse(page, kept)[:2] if kept else (blocks, nodes)
+
+
+def _kept(parts: list[Part]) -> frozenset[int]:
+    """The numbers of the elements to keep in spite of their words; the first part is the page."""
+
+    total = parts[0].chars
+    kept: set[int] = set()
+    seen: set[int] = set()
+
+    def keep_around(part: Part | None) -> None:
+        while part is not None and part.number not in seen:
+            seen.add(part.number)
+            if part.tag is None:
+                kept.add(part.number)
+            part = part.above
+
+    def shown() -> list[bool]:
+        out: list[bool] = []
+        for x in parts:  # each after what it lies in
+            out.append((x.above is None or out[x.above.number]) and (x.tag is not None or x.number in kept))
+        return out
+
+    titled: set[int] = set()  # articles and mains that show an h1
+    for x, free in zip(parts, shown(), strict=True):
+        if x.tag == "h1" and x.chars and free:
+            while (x := x.above) is not None and x.number not in titled:
+                if x.tag in ("article", "main"):
+                    titled.add(x.number)
+    around = []  # how many of them each part lies in
+    for x in parts:
+        around.append((around[x.above.number] if x.above else 0) + (x.number in titled))
+    kept.update(x.number for x in parts if x.tag is None and 2 * x.chars > total and around[x.number] == len(titled))
+    mains, articles, heads = ([x for x in parts if x.tag == tag and x.chars] for tag in ("main", "article", "h1"))
+    visible = shown()
+    if not any(visible[x.number] for x in mains + articles):
+        for x in mains or articles:
+            keep_around(x)
+        visible = shown()
+    if heads and not any(visible[x.number] for x in heads):
+        keep_around(heads[0])
+        visible = shown()
+    if total and total == sum(x.chars for x in parts[1:] if not visible[x.number] and visible[x.above.number]):
+        kept.update(x.number for x in parts if x.tag is None)
+    return frozenset(kept)
+
+
+def _parse(page: str, kept: frozenset[int]) -> tuple[list[str], list[Node], list[Part]]:
+    """The blocks, the containers and the parts; elements with a listed word stay if their number is kept."""
     blocks: list[str] = []
+    parts = [Part(None, "", 0)]
+    part: Part | None = parts[0]  # null within what is dropped for more than words
     root = Node(None, "", "")
     nodes: list[Node] = []
-    stack: list[tuple[str, Node | None, bool]] = []  # tag, container, dropped
+    stack: list[tuple[str, Node | None, bool, Part | None]] = []  # tag, container, dropped, part
     here, dropped = root, False
     run: list[str] = []
     linked = heading = False  # in a link that this block opened; in a heading
@@ -103,8 +174,8 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
         linked = plain = False
 
     def pop() -> None:
-        nonlocal here, dropped, linked, heading
-        tag, node, _ = stack.pop()
+        nonlocal here, dropped, part, linked, heading
+        tag, node, _, _ = stack.pop()
         if tag in BLOCKS:
             end_block()
             if tag in HEADINGS:
@@ -114,7 +185,7 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
         if node is not None:
             node.last = len(blocks)
             here = node.parent
-        dropped = stack[-1][2] if stack else False
+        dropped, part = stack[-1][2:] if stack else (False, parts[0])
 
     def close(tags: tuple[str, ...], within: frozenset[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -130,6 +201,8 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
+        if lt > at and part is not None:
+            part.chars += len(page[at:lt].strip())
         if lt > at and not dropped:
             run.append(page[at:lt])
             plain = plain or (not linked and any(map(str.isalnum, page[at:lt])))
@@ -184,6 +257,17 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
             close(SIBLINGS[tag], SCOPE - {"td", "th"} if tag in ("tr", "td", "th", "tbody", "tfoot") else SCOPE)
         attributes = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(rest)} if rest.strip(" /\n") else {}
         bad = dropped or tag in DROPPED or (bool(attributes) and tag not in ("html", "body") and _unwanted(attributes))
+        if part is not None:
+            if tag in DROPPED or (bad and not dropped) or (dropped and bool(attributes) and _unwanted(attributes)):
+                part = None
+            else:
+                if attributes and tag not in ("html", "body") and _suspected(attributes):
+                    part = Part(part, None, len(parts))
+                    parts.append(part)
+                    bad = bad or part.number not in kept
+                if tag in ("article", "main", "h1"):
+                    part = Part(part, tag, len(parts))
+                    parts.append(part)
         node = None
         if not bad and tag in CONTAINERS:
             classes = ".".join(sorted(_NUMBER.sub("N", c) for c in attributes.get("class", "").lower().split()))
@@ -191,7 +275,7 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
             node.first = len(blocks)
             nodes.append(node)
             here = node
-        stack.append((tag, node, bad))
+        stack.append((tag, node, bad, part))
         dropped = bad
         if tag in HEADINGS:
             heading = True
@@ -202,7 +286,9 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
     end_block()
     root.last = len(blocks)
     nodes.append(root)
-    return blocks, nodes
+    for x in reversed(parts[1:]):  # later ones lie in earlier ones
+        x.above.chars += x.chars
+    return blocks, nodes, parts
 
 
 def best_container(nodes: list[Node]) -> tuple[Node, float]:

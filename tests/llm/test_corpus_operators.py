@@ -214,6 +214,25 @@ def test_html_text_joins_all_containers_of_the_hosts_path(spark):
     assert html_text.extract(page(parts), ">body>div.part-N").split("\n\n") == [f"{two}{i}" for i in range(4)]
 
 
+def test_html_text_keeps_articles_whose_wrapper_has_a_listed_word():
+    body = "<p>" + "word " * 100 + "</p>"
+    lines = lambda x: html_text.extract(f"<html><body>{x}</body></html>", None).split("\n\n")
+    side = "<div class=sidebar><p>Side text.</p></div>"
+    for words in ("layout with-sidebar", "content no-sidebar", "page-content ad-free"):
+        assert lines(f"<div class='{words}'>{body}{side}</div>{side}") == [("word " * 100).strip()]
+    assert lines(f"<article class='post social-policy'><h1>T</h1>{body}<div class=share>Share</div></article>") == ["T", ("word " * 100).strip()]
+    assert lines(f"<article class='social-policy'><p>One.</p></article><div class=comments>{'<p>A comment.</p>' * 2}</div><div class=related>Other</div>")[0] == "One."
+    assert lines(f"<div>{body}</div><div class=widget><article>x</article></div><main>Main</main>")[-1] == "Main"
+    assert lines(f"<div class=page-header><h1>T</h1></div><div>{body}</div>{side}") == ["T", ("word " * 100).strip()]
+    assert lines(f"<div><h1>T</h1>{body}</div><div class=widget><h1>W</h1></div>") == ["T", ("word " * 100).strip()]
+    assert lines(f"<div class=ad>{body}</div><article><h1>T</h1><p>Short.</p></article>") == ["T", "Short."]
+    assert lines(f"<main><h1>T</h1><div class=with-sidebar>{body}{side}</div></main>") == ["T", ("word " * 100).strip()]
+    assert lines(f"<article>Teaser.</article><div class=no-sidebar>{body}</div>") == ["Teaser.", ("word " * 100).strip()]
+    assert lines("<div class=ad-free>one</div><div class=no-sidebar>two</div>") == ["one", "two"]
+    assert lines("<nav class=menu>one</nav><div hidden class=ad>two</div>") == [""]
+    assert lines("<div class=ad>" * 2000 + "deep") == ["deep"]
+
+
 def test_html_articles_of_the_small_pages(spark):
     for r in spark.read.parquet(f"{SMALL}/pages.parquet").limit(50).collect():
         text = html_text.extract(r["html"], None)
