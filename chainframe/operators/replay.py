@@ -1,9 +1,8 @@
 """Causal replay: cooldowns, delays, order life cycles and valuations.
 
 Own orders never change a venue's state here, so timing and quotes are plain
-joins against the clock and the venues' states.  Only shared funds couple
-orders: a running balance tells whether they ever run out, and only then a
-sequential fold over the actions is needed.
+joins against the clock and the venues' states.  Round trips are simulated with
+unlimited funds: no wallet is reserved from, charged or checked.
 """
 
 from __future__ import annotations
