@@ -224,6 +224,13 @@ def join_inner_trade_launch(t: Tables) -> DataFrame:
     return t.trades.select("venue", F.col("event_id").alias("trade")).join(own, "venue").select("trade", "launch")
 
 
+@query("join_inner_trade_launch_eligible", "SELECT t.event_id AS trade, l.event_id AS launch FROM trades t JOIN launches l ON t.venue = l.venue AND l.venue % 4 <> 0")
+def join_inner_trade_launch_eligible(t: Tables) -> DataFrame:
+    """Every trade with every eligible launch of its venue; ``join_inner_trade_launch`` takes one launch in fifty."""
+    own = t.launches.where("venue % 4 <> 0").select("venue", F.col("event_id").alias("launch"))
+    return t.trades.select("venue", F.col("event_id").alias("trade")).join(own, "venue").select("trade", "launch")
+
+
 _TERMINAL = "SELECT signature, mint, curve, count(*) AS source_row_count, max(base_amount) AS base FROM swaps WHERE flag = 'R' GROUP BY 1, 2, 3"
 
 
