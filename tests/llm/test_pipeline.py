@@ -23,3 +23,24 @@ def test_pipeline_stages(spark):
     assert {(r["doc_id"], r["taken"]) for r in rows} == want
     assert all(r["text"] == texts[r["doc_id"]] for r in rows)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "pii", "mixing"]
+
+
+def test_pipeline_equals_the_sql_of_its_stages(spark):
+    import duckdb
+
+    from chainframe.llm import queries
+
+    sf, sql = "/root/testdata/sf0.001", queries.oracle_sql()
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE documents AS SELECT * FROM '{sf}/documents.parquet'")
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{sf}/benchmark.parquet'")
+    for name, keep in (("op6_quality_rules", "kept"), ("op3_near_dedup", "kept"), ("op2_decontamination", "NOT contaminated")):
+        con.execute(f"CREATE TABLE stays AS SELECT doc_id FROM ({sql[name]}) WHERE {keep}")
+        con.execute("DELETE FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM stays)")
+        con.execute("DROP TABLE stays")
+    left = [i for (i,) in con.execute("SELECT doc_id FROM documents").fetchall()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for i, t in [(r["doc_id"], r["text"]) for r in pii.redact(docs.where(docs.doc_id.isin(*left))).collect()]:
+        con.execute("UPDATE documents SET text = ? WHERE doc_id = ?", [t, i])
+    want = set(con.execute(f"SELECT doc_id, taken FROM ({sql['op5_mixing']}) WHERE taken > 0").fetchall())
+    assert left and {(r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, sf).collect()} == want
