@@ -67,7 +67,36 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+#: The tables that ``written`` has made in this process and nobody has deleted yet.
+_WRITTEN: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads."""
+    for df in tables:
+        _WRITTEN.remove(df._written_to)
+        _delete(df.sparkSession, df._written_to)
+
+
+def discard_since(spark: SparkSession, mark: int) -> None:
+    """Delete what was written since ``mark`` = ``written_so_far()``; call it once the results are stored elsewhere."""
+    while len(_WRITTEN) > mark:
+        _delete(spark, _WRITTEN.pop())
+
+
+def written_so_far() -> int:
+    return len(_WRITTEN)
 
 
 def batches_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -143,6 +172,7 @@ def window_hashes(values: np.ndarray, width: int, powers: Powers) -> np.ndarray:
 
 
 _POS = np.uint64((1 << 24) - 1)
+_PIECE = 1 << 23
 
 
 def window_anchors(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +184,10 @@ def window_anchors(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarr
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    if len(hashes) > int(_POS):  # positions are told apart by 24 bits: take the runs piece by piece
+        found = [(k, window_anchors(hashes[k : k + _PIECE + width - 1], width)) for k in range(0, n, _PIECE)]
+        numbers = np.cumsum([0] + [len(at) for _, (_, at) in found[:-1]])
+        return np.concatenate([which + m for m, (_, (which, _)) in zip(numbers, found, strict=True)]), np.concatenate([at + k for k, (_, at) in found])
     index = np.arange(len(hashes), dtype=np.uint64)
     rank = (hashes & ~_POS) | (index & _POS)
     pad = -len(rank) % width

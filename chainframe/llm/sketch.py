@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 ROWS = 2
 CELL_BITS = 31
@@ -79,19 +79,38 @@ def membership(listed: DataFrame) -> Membership:
     return Membership(bits, _bitmaps(listed.select(F.lit(0).alias("row"), "cell"), bits, 1)[0])
 
 
-def repeated_filter(partials: DataFrame, label: str, hot: int | None = None) -> RepeatedFilter | tuple[RepeatedFilter, RepeatedFilter]:
+class Listed:
+    """Bitmaps over two parts of uniformly distributed 64-bit numbers: never misses a listed one, may pass others."""
+
+    def __init__(self, bits: int, bitmaps: list[np.ndarray]):
+        self.bits, self.bitmaps = bits, bitmaps
+
+    def may_contain(self, numbers: np.ndarray) -> np.ndarray:
+        parts = numbers >> np.uint64(64 - CELL_BITS), numbers & np.uint64((1 << CELL_BITS) - 1)
+        out = np.ones(len(numbers), dtype=bool)
+        for part, bitmap in zip(parts, self.bitmaps, strict=True):
+            at = (part >> np.uint64(CELL_BITS - self.bits)).astype(np.int64)
+            out &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def listed(rows: DataFrame, column: str) -> Listed:
+    """``rows`` must be written, as it is read twice; at most 2 * 2**MOST_BITS bits come to the driver."""
+    bits = folded_bits(rows.count())
+    parts = F.shiftrightunsigned(F.col(column), 64 - CELL_BITS), F.col(column).bitwiseAND((1 << CELL_BITS) - 1)
+    both = [rows.select(F.lit(i).alias("row"), part.alias("cell")) for i, part in enumerate(parts)]
+    return Listed(bits, _bitmaps(both[0].union(both[1]), bits, 2))
+
+
+def repeated_filter(partials: DataFrame, label: str) -> RepeatedFilter:
     """Merge partition sketches and fold the counters that reach two into a bitmap of bounded size.
 
     Folding keeps the leading bits of a cell, so a folded bit is set if any of
-    its counters reaches two: that only adds false alarms.  With ``hot`` a
-    second filter tells what may occur more than ``hot`` times.
+    its counters reaches two: that only adds false alarms.
     """
-    merged = partials.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= 2)
-    repeated = written(merged, label)
+    repeated = written(partials.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= 2), label)
     row, cell = F.shiftright("cell", CELL_BITS).cast("int").alias("row"), F.col("cell").bitwiseAND((1 << CELL_BITS) - 1).alias("cell")
-
-    def folded(rows: DataFrame) -> RepeatedFilter:
-        bits = folded_bits(rows.count())
-        return RepeatedFilter(bits, _bitmaps(rows.select(row, cell), bits, ROWS))
-
-    return folded(repeated) if hot is None else (folded(repeated), folded(repeated.where(F.col("n") > hot)))
+    bits = folded_bits(repeated.count())
+    found = RepeatedFilter(bits, _bitmaps(repeated.select(row, cell), bits, ROWS))
+    discard(repeated)
+    return found

@@ -3,17 +3,25 @@
 A string is filed under its anchor, the 64-byte gram with the smallest hash
 inside it, so equal strings are filed together wherever they stand.
 
-1.  A count-min sketch of anchors drops strings whose anchor occurs once.
-2.  Strings that repeat inside one text are settled on the spot.
-3.  Anchors of at most ``HOT`` occurrences: the texts around them (at most 736
-    bytes each) meet in one task, where the suffixes are sorted by hashed
-    comparison and equal neighbours are verified byte by byte.
-4.  Anchors that occur more often would gather in one task, so their strings
-    are counted one by one by a 128-bit hash, with partial counts on the map
-    side, and the repeated ones are joined back.
-
-Results are kept per distinct text.  Defined cases: null is the empty text; a
-text below 400 bytes loses nothing; rows that repeat count as several places.
+1.  Equal texts, told by SHA-256, are one text.  One that several rows have
+    loses all its bytes if it has 400; only its first row goes on.
+2.  Anchors are counted.  Around one that occurs again lies a fragment of at
+    most 736 bytes: all strings of a text that share it.
+3.  The fragments of an anchor meet in one task.  Their suffixes from the
+    anchor on are sorted by hashed comparison, and so are, read backwards, the
+    bytes before it.  A class of neighbours that agree for f bytes from the
+    anchor on, and inside the class neighbours that agree for b bytes before
+    it, have in common every string that starts 400 - f to b bytes before the
+    anchor.  All agreements are verified byte by byte.
+4.  An anchor with more than ``HOT`` fragments would be too much for a task:
+    equal fragments of it become one first.  If more than ``HOT`` different
+    ones remain, they are cut into their single strings; equal ones are
+    counted by a 160-bit BLAKE2b digest with partial counts on the map side.
+
+Defined cases: null is the empty text; a text below 400 bytes loses nothing;
+rows that repeat count as several places, whatever their ids; a text may be as
+long as a row can be, its positions are 32-bit; an empty table gives an empty
+result.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -26,168 +34,164 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, sliced, window_anchors, window_hashes, written, Powers
-from .sketch import CELLS_SCHEMA, RepeatedFilter, partial_sketch, repeated_filter
-from .suffix_sort import HashedText, byte_codes, sort_suffixes
+from .common import Powers, batches_of, discard, mix64, sliced, window_anchors, window_hashes, written
+from .sketch import cell_of, listed, membership
+from .suffix_sort import HashCollision, HashedText, RangeMinimum, byte_codes, classes, ranked
 
 LENGTH = 400
 GRAM = 64
-HOT = 64
-_BASES = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0xD1342543DE82EF95)
-_FLUSH = 1 << 19
+HOT = 4096
+_BASE = 0x5851F42D4C957F2D
 _BATCH_BYTES = 2 << 20
+_MEMBERS = 1 << 20
 
 
-def _keyed(documents: DataFrame, text_col: str, *more: str) -> DataFrame:
+def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return documents.select(F.xxhash64(text).alias("r1"), F.xxhash64(F.lit(1), text).alias("r2"), text.alias("text"), *more)
+    return documents.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("n_bytes"), text.alias("text"))
 
 
-def _anchored(codes: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor number of every string of a text, and the anchors' hashes."""
-    grams = window_hashes(codes, GRAM, powers)
-    which, at = window_anchors(grams, LENGTH - GRAM + 1)
-    return which, grams[at]
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text its anchors: hash, position, and the first of the strings that have it."""
+    powers = Powers(_BASE)
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    for batch in sliced(batches, 64):
+        out = []
+        for text in batches_of(batch, "text"):
+            grams = window_hashes(byte_codes(text), GRAM, powers)
+            which, at = window_anchors(grams, LENGTH - GRAM + 1)
+            first = np.flatnonzero(np.diff(which, prepend=-1))
+            out.append((mix64(grams[at]).view(np.int64), at.astype(np.int32), first.astype(np.int32)))
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([batch.column("sha"), batch.column("text"), *(pa.array(list(c), k) for c, k in zip(cols, (longs, ints, ints), strict=True))], ["sha", "text", "hash", "at", "first"])
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers, held, n = Powers(_BASES[0]), [], 0
+def _distinct_texts(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sha, rep, n) of every distinct text, and the texts with their anchors; those of rows that a bitmap lets pass twice count twice."""
+    reps = written(keyed.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "suffix-reps")
+    shared = keyed.sparkSession.sparkContext.broadcast(membership(reps.select(cell_of("sha", "rep").alias("cell"))))
 
-    def flush() -> pa.RecordBatch:
-        cell, count = partial_sketch(np.concatenate(held))
-        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count)], ["cell", "n"])
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = batch.column("n_bytes").to_numpy() >= LENGTH
+            yield batch.filter(pa.array(keep & shared.value.may_contain(batch.column("cell").to_numpy())))
 
-    for batch in sliced(batches):
-        for text in batches_of(batch, "text"):
-            if len(text) >= LENGTH:
-                held.append(_anchored(byte_codes(text), powers)[1])
-                n += len(held[-1])
-        if n >= _FLUSH:
-            yield flush()
-            held, n = [], 0
-    if held:
-        yield flush()
+    rows = keyed.select("sha", cell_of("sha", "id").alias("cell"), "n_bytes", "text")
+    texts = rows.mapInArrow(lambda b: _anchored(chosen(b)), "sha string, text string, hash array<long>, at array<int>, first array<int>")
+    return reps, written(texts.withColumn("tid", F.monotonically_increasing_id()), "suffix-texts")
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """(first, last) of every run of true values."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
+def _fragments(texts: DataFrame, wanted, unwanted=None) -> DataFrame:
+    """The surroundings of the anchors that one bitmap lists and the other does not."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 128):
+            out = []
+            for tid, text, *lists in zip(batch.column("tid").to_pylist(), batches_of(batch, "text"), *(batch.column(c) for c in ("hash", "at", "first")), strict=True):
+                names, at, first = (x.values.to_numpy() for x in lists)
+                keep = wanted.value.may_contain(names.view(np.uint64))
+                if unwanted is not None:
+                    keep &= ~unwanted.value.may_contain(names.view(np.uint64))
+                if keep.any():
+                    end = np.append(first[1:], len(text) - LENGTH + 1) + LENGTH - 1
+                    i = np.flatnonzero(keep)
+                    out += [(a, tid, s, p - s, text[s:e]) for a, p, s, e in zip(names[i].tolist(), at[i].tolist(), first[i].tolist(), end[i].tolist(), strict=True)]
+            if out:
+                cols = list(zip(*out, strict=True))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "tid", "s", "at", "bytes"])
 
-class _Candidates:
-    """What one text sends on; shared by the passes below."""
+    return texts.select("tid", "text", "hash", "at", "first").mapInArrow(cut, "anchor long, tid long, s int, at int, bytes binary")
 
-    def __init__(self, repeated: RepeatedFilter, hot: RepeatedFilter):
-        self.repeated, self.hot = repeated, hot
-        self.powers = [Powers(b) for b in _BASES]
 
-    def of(self, text: bytes) -> tuple | None:
-        """Flags per string: settled here, first of its kind and rare, first and hot; hashes; anchor numbers and hashes."""
-        codes = byte_codes(text)
-        which, anchors = _anchored(codes, self.powers[0])
-        chosen = self.repeated.may_repeat(anchors)[which]
-        if not chosen.any():
-            return None
-        hot = self.hot.may_repeat(anchors)[which]
-        a, b = window_hashes(codes, LENGTH, self.powers[1]), window_hashes(codes, LENGTH, self.powers[2])
-        pos = np.flatnonzero(chosen)
-        order = pos[np.lexsort((pos, b[pos], a[pos]))]
-        same = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
-        settled, again = np.zeros(len(which), dtype=bool), np.zeros(len(which), dtype=bool)
-        settled[order[1:][same]] = settled[order[:-1][same]] = True
-        again[order[1:][same]] = True
-        first = chosen & ~again
-        return settled, first & ~hot, first & hot, a, b, which, anchors
+def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) of every run of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-def _fragments(documents: DataFrame, shared) -> DataFrame:
-    """The surroundings of rare anchors, and what is settled inside a text (null bytes)."""
+def _by_bytes(fragments: list[bytes], at: list[int], groups: np.ndarray) -> list[np.ndarray]:
+    """What ``repeated_in`` returns, without hashes."""
+    seen: dict[tuple, list[tuple[int, int]]] = {}
+    for i, (f, g) in enumerate(zip(fragments, groups.tolist(), strict=True)):
+        for s in range(len(f) - LENGTH + 1):
+            seen.setdefault((g, at[i] - s, f[s : s + LENGTH]), []).append((i, s))
+    flags = [np.zeros(len(f) - LENGTH + 1, dtype=bool) for f in fragments]
+    for places in seen.values():
+        if len(places) > 1:
+            for i, s in places:
+                flags[i][s] = True
+    return flags
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Candidates(*shared.value)
-        for batch in sliced(batches):
-            r1, r2, out = batch.column("r1").to_pylist(), batch.column("r2").to_pylist(), []
-            for x, y, text in zip(r1, r2, batches_of(batch, "text"), strict=True):
-                found = own.of(text) if len(text) >= LENGTH else None
-                if found is None:
-                    continue
-                settled, rare, _, _, _, which, anchors = found
-                out += [(0, x, y, s, e, None) for s, e in _runs(settled)]
-                at = np.flatnonzero(rare)
-                if len(at):
-                    group = which[at]
-                    new = np.flatnonzero(np.diff(group, prepend=-1))
-                    ends = np.append(new[1:], len(at)) - 1
-                    names = anchors.view(np.int64)
-                    out += [(int(names[group[i]]), x, y, int(at[i]), int(at[j]), text[at[i] : at[j] + LENGTH]) for i, j in zip(new, ends, strict=True)]
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.int32()) for c in cols[3:5]), pa.array(cols[5], pa.binary())], ["anchor", "r1", "r2", "s", "e", "bytes"])
 
-    return documents.mapInArrow(cut, "anchor long, r1 long, r2 long, s int, e int, bytes binary")
+def repeated_in(fragments: list[bytes], at: list[int], anchors: list[int]) -> list[np.ndarray]:
+    """Per fragment, flags of the strings that another fragment of its anchor has as well.
 
+    ``at`` is the anchor's place in the fragment; fragments of an anchor must be neighbours.
+    """
+    groups = np.cumsum(np.diff(np.array(anchors), prepend=anchors[0]) != 0)
+    try:
+        return _by_suffixes(fragments, np.array(at, dtype=np.int64), groups)
+    except HashCollision:
+        return _by_bytes(fragments, at, groups)
 
-def repeated_in(fragments: list[bytes], anchors: list[int]) -> list[np.ndarray]:
-    """Per fragment, flags of the strings that stand at another place of the same anchor's fragments.
 
-    Fragments of an anchor must be neighbours.
-    """
-    text = HashedText(b"".join(fragments))
+def _by_suffixes(fragments: list[bytes], at: np.ndarray, groups: np.ndarray) -> list[np.ndarray]:
+    blob = np.frombuffer(b"".join(fragments), dtype=np.uint8)
     sizes = np.array([len(f) for f in fragments])
-    offset = np.cumsum(sizes) - sizes
     count = sizes - LENGTH + 1
-    frag = np.repeat(np.arange(len(fragments)), count)
-    starts = np.repeat(offset, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    anchor = np.cumsum(np.diff(np.array(anchors), prepend=anchors[0]) != 0)
-    h = text.hashes(starts, LENGTH)
-    order = np.lexsort((starts, h, anchor[frag]))
-    pair = (h[order[1:]] == h[order[:-1]]) & (anchor[frag[order[1:]]] == anchor[frag[order[:-1]]])
-    flags = np.zeros(len(starts), dtype=bool)
-    mine, mate = order[1:][pair], order[:-1][pair]
-    if len(mine):
-        by = np.argsort(mine, kind="stable")
-        mine, mate = mine[by], mate[by]
-        # pairs on one diagonal inside two fragments are one match; its head's extension covers the rest
-        joined = (np.diff(mine) == 1) & (np.diff(mate) == 1) & (np.diff(frag[mine]) == 0) & (np.diff(frag[mate]) == 0)
-        head = np.flatnonzero(np.concatenate([[True], ~joined]))
-        run = np.diff(np.append(head, len(mine)))
-        heads = np.unique(np.concatenate([mine[head], mate[head]]))
-        ranked = heads[sort_suffixes(text, starts[heads], anchor[frag[heads]], LENGTH)]
-        near = np.flatnonzero(anchor[frag[ranked[1:]]] == anchor[frag[ranked[:-1]]])
-        a, b = starts[ranked[near]], starts[ranked[near + 1]]
-        full = np.full(len(near), LENGTH, dtype=np.int64)
-        tied = near[(text.common(a, b, full) == LENGTH) & text.equal(a, b, full)]
-        new = np.ones(len(ranked), dtype=bool)
-        new[tied + 1] = False
-        kind = np.empty(len(starts), dtype=np.int64)
-        kind[ranked] = np.cumsum(new)
-        sure = kind[mine[head]] == kind[mate[head]]
-        a, b, need = starts[mine[head]], starts[mate[head]], run + LENGTH - 1
-        sure &= (text.common(a, b, need) == need) & text.equal(a, b, need)
-        flags[mine[np.repeat(sure, run)]] = flags[mate[np.repeat(sure, run)]] = True
-        if not sure.all():  # equal hashes of different strings: settle those strings by their bytes
-            rest = np.unique(np.concatenate([mine[np.repeat(~sure, run)], mate[np.repeat(~sure, run)]]))
-            raw, seen = text.bytes.tobytes(), {}
-            for i in range(len(starts)) if len(rest) else ():
-                seen.setdefault((int(anchor[frag[i]]), raw[starts[i] : starts[i] + LENGTH]), []).append(i)
-            for places in seen.values():
-                if len(places) > 1:
-                    flags[places] = True
-    return np.split(flags, np.cumsum(count)[:-1])
-
-
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole anchors, a few MB at a time, from partitions sorted by anchor."""
+    start = np.cumsum(sizes) - sizes + at
+    order, ahead = ranked(HashedText(blob), start, np.minimum(sizes - at, LENGTH), groups)
+    back, behind = ranked(HashedText(blob[::-1].copy()), len(blob) - start, at, groups)
+    rank = np.empty(len(back), dtype=np.int64)
+    rank[back] = np.arange(len(back))
+    least = RangeMinimum(behind)
+    string = np.cumsum(count) - count  # the number of each fragment's first string
+    edge = np.zeros(int(count.sum()) + 1, dtype=np.int64)
+    first, last, agreed, outer = classes(ahead)
+    useful = agreed >= GRAM
+    first, last, agreed, outer = first[useful], last[useful], agreed[useful], outer[useful]
+    size = last - first + 1
+    chunk = np.cumsum(size) // _MEMBERS
+    for c in range(int(chunk[-1]) + 1) if len(chunk) else ():
+        own = np.flatnonzero(chunk == c)
+        of = np.repeat(own, size[own])
+        step = np.arange(len(of)) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
+        member = order[first[of] + step]
+        able = at[member] >= LENGTH - agreed[of]  # enough bytes before the anchor
+        of, member = of[able], member[able]
+        by = np.lexsort((rank[member], of))
+        of, member = of[by], member[by]
+        near = np.flatnonzero(of[1:] == of[:-1])
+        if not len(near):
+            continue
+        shared = least.over(rank[member[near]] + 1, rank[member[near + 1]])
+        best = np.full(len(of), -1, dtype=np.int64)
+        np.maximum.at(best, near, shared)
+        np.maximum.at(best, near + 1, shared)
+        low = LENGTH - agreed[of]
+        high = np.minimum(best, LENGTH - 1 - outer[of])  # further back, the larger class decides
+        hit = np.flatnonzero(high >= low)
+        base = string[member[hit]] + at[member[hit]]
+        np.add.at(edge, base - high[hit], 1)
+        np.add.at(edge, base - low[hit] + 1, -1)
+    return np.split(np.cumsum(edge[:-1]) > 0, np.cumsum(count)[:-1])
+
+
+_SOLVED = "tid long, s int, e int"
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole anchors, a few MB at a time, from partitions sorted by anchor: (tid, first, last) of repeated strings."""
     held: list[tuple] = []
     size = 0
 
     def solve() -> pa.RecordBatch:
         out = []
-        for (_, x, y, s, _, _), flags in zip(held, repeated_in([h[5] for h in held], [h[0] for h in held]), strict=True):
-            out += [(x, y, s + a, s + b) for a, b in _runs(flags)]
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:2]), *(pa.array(c, pa.int32()) for c in cols[2:])], ["r1", "r2", "s", "e"])
+        for (_, tid, s, _, _), flags in zip(held, repeated_in([h[4] for h in held], [h[3] for h in held], [h[0] for h in held]), strict=True):
+            out += [(tid, s + a, s + b) for a, b in _runs(flags)]
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["tid", "s", "e"])
 
     for batch in sliced(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -195,68 +199,61 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield solve()
                 held, size = [], 0
             held.append(row)
-            size += len(row[5])
+            size += len(row[4])
     if held:
         yield solve()
 
 
-def _hot_strings(documents: DataFrame, shared) -> DataFrame:
-    """(h1, h2, r1, r2, pos, n): the distinct strings of a text at hot anchors; n is 2 if it holds one again."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Candidates(*shared.value)
-        for batch in sliced(batches):
-            r1, r2, out = batch.column("r1").to_pylist(), batch.column("r2").to_pylist(), []
-            for x, y, text in zip(r1, r2, batches_of(batch, "text"), strict=True):
-                found = own.of(text) if len(text) >= LENGTH else None
-                if found is not None and found[2].any():
-                    settled, _, hot, a, b, _, _ = found
-                    pos = np.flatnonzero(hot)
-                    out.append((a[pos].view(np.int64), b[pos].view(np.int64), np.full(len(pos), x), np.full(len(pos), y), pos.astype(np.int32), np.where(settled[pos], 2, 1).astype(np.int8)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h1", "h2", "r1", "r2", "pos", "n"])
-
-    return documents.mapInArrow(emit, "h1 long, h2 long, r1 long, r2 long, pos int, n byte")
-
-
-def repeated_strings(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """Per distinct text (r1, r2): ``runs``, the ranges of starts of repeated strings."""
-    keyed = _keyed(documents, text_col)
-    filters = repeated_filter(keyed.select("text").mapInArrow(_sketches, CELLS_SCHEMA), "suffix-sketch", HOT)
-    shared = documents.sparkSession.sparkContext.broadcast(filters)
-    # the null bytes of what is settled already need not travel with the fragments
-    pieces = _fragments(keyed, shared).withColumn("deal", F.when(F.col("bytes").isNull(), F.xxhash64("r1", "s")).otherwise(F.col("anchor")))
-    sorted_ = pieces.repartition("deal").drop("deal").sortWithinPartitions("anchor", "r1", "r2", "s")
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def open_rows() -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches):
-                none = batch.column("bytes").is_null()
-                done = batch.filter(none)
-                if done.num_rows:
-                    ready.append(done.select(["r1", "r2", "s", "e"]))
-                rest = batch.filter(batch.column("bytes").is_valid())
-                if rest.num_rows:
-                    yield rest
-
-        ready: list[pa.RecordBatch] = []
-        for solved in _sorted_groups(open_rows()):
-            yield from ready
-            ready.clear()
-            yield solved
-        yield from ready
-
-    rare = sorted_.mapInArrow(settle, "r1 long, r2 long, s int, e int")
-    hot = written(_hot_strings(keyed, shared), "suffix-hot")
-    again = hot.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-    # written, so that adaptive execution may split a string that very many texts hold
-    found = hot.where("n = 1").drop("n").join(written(again, "suffix-again"), ["h1", "h2"]).select("r1", "r2", F.col("pos").alias("s"), F.col("pos").alias("e"))
-    return rare.union(found).groupBy("r1", "r2").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
-
-
-def with_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    runs = written(repeated_strings(documents, text_col), "suffix-runs")
-    return _keyed(documents, text_col, F.col(id_col).alias("id")).join(runs, ["r1", "r2"], "left").select("id", "text", "runs")
+def _solved(fragments: DataFrame) -> DataFrame:
+    return fragments.select("anchor", "tid", "s", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_solve, _SOLVED)
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The single strings of a fragment, as digests."""
+    for batch in sliced(batches, 256):
+        digests, tids, at = [], [], []
+        for tid, f in zip(batch.column("tid").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            n = len(f) - LENGTH + 1
+            digests += [hashlib.blake2b(f[s : s + LENGTH], digest_size=20).digest() for s in range(n)]
+            tids.append(np.full(n, tid))
+            at.append(np.arange(n, dtype=np.int32))
+        if digests:
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.concatenate(tids)), pa.array(np.concatenate(at))], ["digest", "tid", "s"])
+
+
+def _hot_runs(texts: DataFrame, hot, most: int) -> DataFrame:
+    """(tid, s, e) at anchors with very many fragments."""
+    fid = F.sha2(F.concat(F.col("at").cast("string").cast("binary"), F.lit(":").cast("binary"), "bytes"), 256).alias("fid")
+    places = written(_fragments(texts, hot).select("anchor", "tid", "s", "at", "bytes", fid), "suffix-hot")
+    # the number of a distinct fragment stands in for the text in what follows
+    kinds = places.groupBy("fid").agg(F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.first("at").alias("at"), F.first("bytes").alias("bytes"))
+    kinds = written(kinds.select(F.monotonically_increasing_id().alias("tid"), F.lit(0).alias("s"), "*"), "suffix-kinds")
+    many = written(kinds.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > most).select("anchor"), "suffix-many")
+    few = _solved(kinds.join(many, "anchor", "left_anti"))
+    strings = kinds.join(many, "anchor", "left_semi").select("tid", "bytes").mapInArrow(_strings, "digest binary, tid long, s int")
+    strings = written(strings, "suffix-strings")
+    again = written(strings.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "suffix-again")
+    single = strings.join(again, "digest").select("tid", "s", F.col("s").alias("e"))
+    whole = kinds.where("n > 1").select("tid", "s", (F.octet_length("bytes") - LENGTH).cast("int").alias("e"))
+    found = few.union(single).union(whole).groupBy("tid").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
+    found = written(kinds.select("tid", "fid").join(found, "tid").select("fid", F.explode("runs").alias("r")), "suffix-hot-runs")
+    out = written(places.select("fid", "tid", "s").join(found, "fid").select("tid", (F.col("s") + F.col("r.s")).cast("int").alias("s"), (F.col("s") + F.col("r.e")).cast("int").alias("e")), "suffix-hot-places")
+    discard(places, kinds, many, strings, again, found)
+    return out
+
+
+def repeated_strings(texts: DataFrame, most: int = HOT) -> DataFrame:
+    """Per text (tid): ``runs``, the ranges of starts of repeated strings."""
+    counts = written(texts.select(F.explode("hash").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-anchors")
+    spark = texts.sparkSession
+    repeated = spark.sparkContext.broadcast(listed(counts, "h"))
+    above = written(counts.where(F.col("n") > most), "suffix-above")
+    if above.isEmpty():
+        found = _solved(_fragments(texts, repeated))
+    else:
+        hot = spark.sparkContext.broadcast(listed(above, "h"))
+        found = _solved(_fragments(texts, repeated, hot)).union(_hot_runs(texts, hot, most))
+    return written(found.groupBy("tid").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "suffix-runs")
 
 
 def kept_mask(n_bytes: int, runs: list[dict] | None) -> np.ndarray:
@@ -268,25 +265,51 @@ def kept_mask(n_bytes: int, runs: list[dict] | None) -> np.ndarray:
     return np.cumsum(edge[:-1]) == 0
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and the remaining bytes (or their SHA-256)."""
+def _cut_texts(texts: DataFrame, runs: DataFrame, digest_only: bool) -> DataFrame:
+    """(sha, n_removed, n_spans, kept or its digest) of the texts that lose something; no other text is shuffled."""
+    shared = texts.sparkSession.sparkContext.broadcast(membership(runs.select(cell_of("tid").alias("cell"))))
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["tid", "sha", "text"]).filter(pa.array(shared.value.may_contain(batch.column("cell").to_numpy())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            total, removed, spans, kept = [], [], [], []
-            for text, runs in zip(batches_of(batch, "text"), batch.column("runs").to_pylist(), strict=True):
-                keep = kept_mask(len(text), runs)
-                rest = np.frombuffer(text, dtype=np.uint8)[keep].tobytes() if runs else text
-                total.append(len(text))
-                removed.append(len(text) - len(rest))
-                spans.append(len(_runs(~keep)) if runs else 0)
-                kept.append(hashlib.sha256(rest).hexdigest() if digest_only else rest)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (total, removed, spans)), pa.array(kept, pa.string() if digest_only else pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", last])
-
-    last = "kept_sha256" if digest_only else "kept"
-    kind = documents.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, {last} {'string' if digest_only else 'binary'}"
-    return with_runs(documents, id_col, text_col).mapInArrow(cut, schema).withColumnRenamed("id", id_col)
+        for batch in sliced(batches, 128):
+            out = []
+            for text, runs_ in zip(batches_of(batch, "text"), batch.column("runs").to_pylist(), strict=True):
+                keep = kept_mask(len(text), runs_)
+                rest = np.frombuffer(text, dtype=np.uint8)[keep].tobytes()
+                out.append((len(text) - len(rest), len(_runs(~keep)), hashlib.sha256(rest).hexdigest() if digest_only else rest))
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column("sha"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string() if digest_only else pa.binary()), strict=True))], ["sha", "n_removed", "n_spans", "rest"])
+
+    rows = texts.select("tid", "sha", "text", cell_of("tid").alias("cell")).mapInArrow(touched, "tid long, sha string, text string")
+    made = rows.join(runs, "tid").select("sha", "text", "runs").mapInArrow(cut, f"sha string, n_removed long, n_spans long, rest {'string' if digest_only else 'binary'}")
+    return written(made, "suffix-cut")
+
+
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False, most: int = HOT) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans and the remaining bytes (or their SHA-256)."""
+    keyed = _keyed(documents, id_col, text_col)
+    reps, texts = _distinct_texts(keyed)
+    runs = repeated_strings(texts, most)
+    made = _cut_texts(texts, runs, digest_only)
+    discard(texts, runs)
+    # a text of several rows loses everything, whatever its strings say
+    several = reps.where("n > 1").select("sha", F.lit(True).alias("gone"))
+    change = written(made.join(several, "sha", "full_outer").dropDuplicates(["sha"]), "suffix-change")
+    discard(made, reps)
+    gone, n = F.coalesce("gone", F.lit(False)), F.col("n_bytes").cast("long")
+    nothing, unchanged = (F.lit(hashlib.sha256(b"").hexdigest()), F.col("sha")) if digest_only else (F.lit(b""), F.col("text").cast("binary"))
+    rows = keyed.drop("text") if digest_only else keyed
+    out = rows.join(change, "sha", "left")
+    return out.select(
+        F.col("id").alias(id_col),
+        n.alias("n_bytes"),
+        F.when(gone, n).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
+        F.when(gone, nothing).otherwise(F.coalesce("rest", unchanged)).alias("kept_sha256" if digest_only else "kept"),
+    )
 
 
 def digest(documents: DataFrame) -> DataFrame:

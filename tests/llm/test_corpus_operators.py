@@ -5,9 +5,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from chainframe.llm import chat_trees, decontamination, html_text, mixing, near_dedup, pii, quality_rules, queries, substring_dedup, suffix_dedup, url_filter
+from chainframe.llm import chat_trees, common, decontamination, html_text, mixing, near_dedup, pii, quality_rules, queries, substring_dedup, suffix_dedup, url_filter
 
 QUERIES, SQL = queries.queries(), queries.oracle_sql()
 SMALL = "/root/testdata/sf0.001"
@@ -38,11 +39,12 @@ def test_rows_equal_duckdb(name, compare):
     compare(QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_suffix_dedup_equals_counting_all_strings(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 8, 1])
+def test_suffix_dedup_equals_counting_all_strings(spark, hot):
     texts = copies()
-    got = {r["doc_id"]: r for r in suffix_dedup.digest(docs(spark, texts)).collect()}
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs(spark, texts), digest_only=True, most=hot).collect()}
+    kept = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(docs(spark, texts), most=hot).collect()}
+    assert {i: hashlib.sha256(b).hexdigest() for i, b in kept.items()} == {i: r["kept_sha256"] for i, r in got.items()}
     raw = [(t or "").encode() for t in texts]
     count = Counter(x[s : s + 400] for x in raw for s in range(len(x) - 399))
     for i, x in enumerate(raw):
@@ -56,12 +58,40 @@ def test_suffix_dedup_equals_counting_all_strings(spark, monkeypatch, hot):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(x), sum(gone), spans, hashlib.sha256(rest).hexdigest())
 
 
-def test_equal_hashes_of_different_strings_are_told_apart(monkeypatch):
+def test_sorted_suffixes_find_what_bytes_say(monkeypatch):
+    """Fragments of few letters, cut from common stocks, so that they agree for very different lengths on both sides."""
     rng = random.Random(3)
-    a, b = (bytes(rng.randrange(97, 123) for _ in range(500)) for _ in range(2))
+    fragments, at, anchors = [], [], []
+    for group in range(60):
+        gram = bytes(rng.choice(b"ab") for _ in range(64))
+        lefts, rights = ([bytes(rng.choice(b"ab") for _ in range(336)) for _ in range(3)] for _ in range(2))
+        for _ in range(rng.randint(1, 25)):
+            left, right = bytearray(rng.choice(lefts)), bytearray(rng.choice(rights))
+            if rng.random() < 0.7:
+                left[rng.randrange(336)] ^= 3
+                right[rng.randrange(336)] ^= 3
+            a, b = rng.randint(0, 336), rng.randint(0, 336)
+            if a + 64 + b >= 400:
+                fragments.append(bytes(left[336 - a :]) + gram + bytes(right[:b]))
+                at.append(a)
+                anchors.append(group)
+    groups = np.array(anchors)
+    want = suffix_dedup._by_bytes(fragments, at, groups)
+    got = suffix_dedup._by_suffixes(fragments, np.array(at), groups)
+    assert all((x == y).all() for x, y in zip(got, want, strict=True)) and 0.05 < np.concatenate(want).mean() < 0.95
     monkeypatch.setattr(suffix_dedup.HashedText, "hashes", lambda self, starts, length: starts * 0)
-    assert not any(f.any() for f in suffix_dedup.repeated_in([a, b], [1, 1]))
-    assert all(f.all() for f in suffix_dedup.repeated_in([a, a], [1, 1]))
+    with pytest.raises(suffix_dedup.HashCollision):
+        suffix_dedup._by_suffixes(fragments, np.array(at), groups)
+    assert all((x == y).all() for x, y in zip(suffix_dedup.repeated_in(fragments, at, anchors), want, strict=True))
+
+
+def test_anchors_of_very_long_texts(monkeypatch):
+    hashes = np.random.default_rng(1).integers(0, 4, 5000, dtype=np.uint64) << np.uint64(30)
+    which, at = common.window_anchors(hashes, 37)
+    monkeypatch.setattr(common, "_POS", np.uint64(1023))
+    monkeypatch.setattr(common, "_PIECE", 512)
+    pieces, places = common.window_anchors(hashes, 37)
+    assert (places[pieces] == at[which]).all()
 
 
 def test_substring_dedup_equals_counting_all_windows(spark):
