@@ -1,29 +1,35 @@
 """Substring dedup on word windows, with a count-min prefilter.
 
+Rows with equal texts are told by SHA-256 first: all but those with the
+smallest id lose every word (if they have 50), and only that one goes on.
 Pass one gives every partition a sketch of window counts.  A window is counted
 through its anchor, the 25-word gram with the smallest hash inside it: equal
 windows have equal anchors, so a repeated window always has a repeated anchor,
 and neighbouring windows share one.  Merged sketches only overestimate.  Pass
-two groups exactly the windows whose anchor is estimated repeated, by a
-128-bit fingerprint, and finds the smallest document of each; none is lost.
-
-Rows are told apart by document id and text.  Defined cases: null text has no
-words; a null id counts as larger than any other; rows with equal ids never
-remove each other's words; an empty table gives an empty result.
+two writes the windows whose anchor is estimated repeated, with a 128-bit
+fingerprint, groups them exactly and finds the smallest document of each; none
+is lost.
+
+Rows are told apart by document id and text.  Ids are integers.  Defined
+cases: null text has no words; a null id counts as larger than any other; rows
+with equal ids never remove each other's words; a text may be as long as a row
+can be; an empty table gives an empty result.  Only the id and text columns are
+read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, batches_of, mix64, sliced, window_anchors, window_hashes, word_hashes, written
-from .sketch import CELLS_SCHEMA, partial_sketch, repeated_filter
+from .common import Powers, batches_of, discard, mix64, sliced, window_anchors, window_hashes, word_hashes, written
+from .sketch import CELLS_SCHEMA, Membership, cell_of, membership, partial_sketch, repeated_filter
 
 WINDOW = 50
 GRAM = 25
@@ -35,7 +41,16 @@ _FLUSH = 1 << 19
 
 def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return documents.select(F.coalesce(F.col(id_col), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"), F.col(id_col).alias("id"))
+    doc = F.coalesce(F.col(id_col), F.lit(_LAST)).alias("doc")
+    return documents.select(doc, F.sha2(text, 256).alias("sha"), text.alias("text"), F.col(id_col).alias("id")).withColumn("row", F.xxhash64("sha"))
+
+
+def _firsts(keyed: DataFrame) -> Membership:
+    """A bitmap of the rows with the smallest id of their text: whatever it does not list is a later copy."""
+    cells = written(keyed.groupBy("sha").agg(F.min("doc").alias("doc")).select(cell_of("sha", "doc").alias("cell")), "substring-copies")
+    found = membership(cells)
+    discard(cells)
+    return found
 
 
 def _anchored(words: list[bytes], cache: dict, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,15 +82,21 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def repeated_windows(keyed: DataFrame) -> DataFrame:
-    """(h1, h2, doc, row, pos) of all windows whose anchor is estimated repeated."""
-    found = repeated_filter(keyed.select("text").mapInArrow(_sketches, CELLS_SCHEMA), "substring-sketch")
+def repeated_windows(keyed: DataFrame, firsts: Broadcast) -> DataFrame:
+    """(h1, h2, doc, row, pos) of all windows of first copies whose anchor is estimated repeated."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(firsts.value.may_contain(batch.column("cell").to_numpy())))
+
+    rows = keyed.select("doc", "row", "text", cell_of("sha", "doc").alias("cell"))
+    found = repeated_filter(rows.select("text", "cell").mapInArrow(lambda b: _sketches(chosen(b)), CELLS_SCHEMA), "substring-sketch")
     shared = keyed.sparkSession.sparkContext.broadcast(found)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         gram_powers, powers = Powers(_BASES[0]), (Powers(_BASES[1]), Powers(_BASES[2]))
-        for batch in sliced(batches):
+        for batch in sliced(chosen(batches)):
             docs, rows, out = batch.column("doc").to_pylist(), batch.column("row").to_pylist(), []
             for doc, row, text in zip(docs, rows, batches_of(batch, "text"), strict=True):
                 words = text.split()
@@ -90,22 +111,54 @@ def repeated_windows(keyed: DataFrame) -> DataFrame:
                 a, b, d, r, p = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d), pa.array(r), pa.array(p.astype(np.int32))], ["h1", "h2", "doc", "row", "pos"])
 
-    return keyed.select("doc", "row", "text").mapInArrow(emit, "h1 long, h2 long, doc long, row long, pos int")
+    return rows.mapInArrow(emit, "h1 long, h2 long, doc long, row long, pos int")
 
 
-def covered_starts(keyed: DataFrame) -> DataFrame:
-    """Per document the sorted starts of windows that also start in a smaller document."""
-    windows = repeated_windows(keyed)
-    firsts = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first")
+def covered_starts(keyed: DataFrame, firsts: Broadcast) -> DataFrame:
+    """Per first copy the sorted starts of windows that also start in a smaller document."""
+    windows = written(repeated_windows(keyed, firsts), "substring-windows")
+    smallest = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first")
     # written, so that adaptive execution may split a window that very many documents hold
-    found = windows.join(written(firsts, "substring-first"), ["h1", "h2"]).where("doc > first")
-    return found.groupBy("doc", "row").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+    smallest = written(smallest, "substring-first")
+    found = windows.join(smallest, ["h1", "h2"]).where("doc > first")
+    starts = written(found.groupBy("doc", "row").agg(F.sort_array(F.collect_set("pos")).alias("starts")), "substring-starts")
+    discard(windows, smallest)
+    return starts
+
 
+def _with_kept(documents: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[pa.RecordBatch, list], pa.RecordBatch]) -> DataFrame:
+    """``make`` applied to rows with a mask of kept words each: None keeps all, an empty one none.
 
-def with_covered(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and ``starts`` (null if nothing is removed) of every row."""
+    Only texts that lose some of their words are shuffled.
+    """
     keyed = _keyed(documents, id_col, text_col)
-    return keyed.join(covered_starts(keyed), ["doc", "row"], "left").select("id", "text", "starts")
+    context = documents.sparkSession.sparkContext
+    firsts = context.broadcast(_firsts(keyed))
+    starts = covered_starts(keyed, firsts)
+    touched = context.broadcast(membership(starts.select(cell_of("doc", "row").alias("cell"))))
+    rows = keyed.select("doc", "row", "id", "text", cell_of("sha", "doc").alias("copy"), cell_of("doc", "row").alias("cell"))
+
+    def split(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        first = firsts.value.may_contain(batch.column("copy").to_numpy())
+        return first, first & touched.value.may_contain(batch.column("cell").to_numpy())
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            first, meets = split(batch)
+            own = batch.filter(pa.array(~meets))
+            yield make(own, [None if f else [] for f in first[~meets].tolist()])
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["doc", "row", "id", "text"]).filter(pa.array(split(batch)[1]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield make(batch, batch.column("starts").to_pylist())
+
+    kind = documents.schema[id_col].dataType.simpleString()
+    joined = rows.mapInArrow(meeting, f"doc long, row long, id {kind}, text string").join(starts, ["doc", "row"], "left").select("id", "text", "starts")
+    return rows.mapInArrow(alone, schema).union(joined.mapInArrow(cut, schema))
 
 
 def kept_mask(n_words: int, starts: list[int] | None) -> np.ndarray:
@@ -117,39 +170,32 @@ def kept_mask(n_words: int, starts: list[int] | None) -> np.ndarray:
     return np.cumsum(edge[:-1]) == 0
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, n_removed and the kept words, joined by one space."""
+def _kept(words: list[bytes], starts: list[int] | None) -> list[bytes]:
+    """``starts`` as ``_with_kept`` passes them."""
+    if starts is None or len(words) < WINDOW:
+        return words
+    return [w for w, k in zip(words, kept_mask(len(words), starts).tolist(), strict=True) if k] if starts else []
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            total, removed, texts = [], [], []
-            for text, starts in zip(batches_of(batch, "text"), batch.column("starts").to_pylist(), strict=True):
-                words = text.split()
-                if starts:
-                    keep = kept_mask(len(words), starts)
-                    kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                else:
-                    kept = words
-                total.append(len(words))
-                removed.append(len(words) - len(kept))
-                texts.append(b" ".join(kept))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "text"])
+
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False) -> DataFrame:
+    """id, n_words, n_removed and the kept words, joined by one space (or their SHA-256)."""
+    last = "kept_sha256" if digest_only else "text"
+
+    def make(batch: pa.RecordBatch, masks: list) -> pa.RecordBatch:
+        total, removed, kept = [], [], []
+        for text, starts in zip(batches_of(batch, "text"), masks, strict=True):
+            words = text.split()
+            rest = _kept(words, starts)
+            total.append(len(words))
+            removed.append(len(words) - len(rest))
+            joined = b" ".join(rest)
+            kept.append(hashlib.sha256(joined).hexdigest() if digest_only else joined.decode())
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", last])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return with_covered(documents, id_col, text_col).mapInArrow(cut, f"id {kind}, n_words long, n_removed long, text string").withColumnRenamed("id", id_col)
+    return _with_kept(documents, id_col, text_col, f"id {kind}, n_words long, n_removed long, {last} string", make).withColumnRenamed("id", id_col)
 
 
 def digest(documents: DataFrame) -> DataFrame:
     """The query's columns; the digest is taken where the words are, so that kept texts need not travel."""
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            rows = []
-            for text, starts in zip(batches_of(batch, "text"), batch.column("starts").to_pylist(), strict=True):
-                words = text.split()
-                kept = [w for w, k in zip(words, kept_mask(len(words), starts).tolist(), strict=True) if k] if starts else words
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            n, r, s = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return with_covered(documents).mapInArrow(summed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return remove_repeats(documents, digest_only=True)
