@@ -8,7 +8,10 @@ smaller one took.
 
 Defined cases: null text has size 0; a null source is a source of its own,
 after all others; a null id has the key of the empty string; rows with equal
-ids have equal keys and are taken together; an empty table gives an empty mix.
+ids have equal keys and are taken together; a text of any length is one
+document and may be taken in part; sources of equal cap and weight are filled
+in their order by code point; an empty table gives an empty mix.  Other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, written
+from .common import SPACE_RE, discard, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -77,14 +80,16 @@ def thresholds(sizes: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
         passed = sums.withColumn("upto", F.col("base") + running).where(F.col("upto") > F.col("budget"))
         first = passed.groupBy("source", "budget").agg(F.min(F.struct("bucket", "upto", "n")).alias("m"))
         step = first.select("source", "budget", F.col("m.bucket").alias("prefix"), (F.col("m.upto") - F.col("m.n")).alias("base"), F.col("m.n").alias("n"))
-        found = written(step, "mixing-level")
+        before, found = found, written(step, "mixing-level")
+        if done:
+            discard(before)
     # a source whose budget takes every document has no boundary
     last = found.select(F.col("source").alias("_t"), F.col("prefix").alias("threshold"), "base", "n")
     return wanted.select("source", "budget").join(last, F.col("source").eqNullSafe(F.col("_t")), "left").select("source", "budget", F.coalesce("threshold", end).alias("threshold"), "base", "n")
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, size, source_size, target, taken."""
+def _plan(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, bool]:
+    """The documents' sizes and keys; per source what it takes; and whether the sources are few enough to broadcast."""
     doc, source = F.col(id_col), F.col(source_col)
     sizes = written(documents.select(doc.alias("id"), source.cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), key_of(doc).alias("key")), "mixing-sizes")
     plan = written(targets(sizes), "mixing-targets")
@@ -94,20 +99,35 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     plan = plan.withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
     cuts = written(thresholds(sizes.select("source", "size", "key"), plan.select("source", "budget"), few), "mixing-cuts").withColumnRenamed("source", "_c")
     full = plan.drop("budget").join(cuts, F.col("source").eqNullSafe(F.col("_c"))).drop("_c", "weight", "cap")
-    in_part = F.floor((F.col("budget") - F.col("base")) * F.col("size") / F.col("n")).cast("long")
-    more = F.when(F.col("copies") >= MOST_REPEATS, 0).when(F.col("key") < F.col("threshold"), F.col("size")).when(F.col("key") == F.col("threshold"), in_part).otherwise(0)
+    return sizes, full, few
+
+
+def _taken(size: Column, key: Column) -> Column:
+    """The words that the mix takes of a document, from the columns of its source's plan."""
+    in_part = F.floor((F.col("budget") - F.col("base")) * size / F.col("n")).cast("long")
+    more = F.when(F.col("copies") >= MOST_REPEATS, 0).when(key < F.col("threshold"), size).when(key == F.col("threshold"), in_part).otherwise(0)
+    return F.col("copies") * size + more
+
+
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per row: id, size, source_size, target, taken."""
+    sizes, full, few = _plan(documents, id_col, text_col, source_col)
     out = _by_source(sizes, full, few)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size") + more).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", _taken(F.col("size"), F.col("key")).alias("taken"))
 
 
 def take_mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix, with ``taken`` words of each; what the mix leaves out is not returned.
 
-    A column ``taken`` of the documents is replaced.
+    Each row is filtered by its own key against its source's cut, so texts are
+    not shuffled (beyond ``MOST_BROADCAST`` sources they meet their source's
+    cut by a join).  A column ``taken`` of the documents is replaced.
     """
-    took = mix(documents, id_col, text_col, source_col).where("taken > 0").groupBy(F.col(id_col).alias("id"), "size").agg(F.max("taken").alias("taken"))
-    same = F.col(f"d.{id_col}").eqNullSafe(F.col("t.id")) & (size_of(F.col(f"d.{text_col}")) == F.col("t.size"))
-    return documents.drop("taken").alias("d").join(took.alias("t"), same).select("d.*", "t.taken")
+    sizes, full, few = _plan(documents, id_col, text_col, source_col)
+    discard(sizes)
+    rows = documents.drop("taken").select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), key_of(F.col(id_col)).alias("key"))
+    out = _by_source(rows, full, few).withColumn("taken", _taken(F.col("size"), F.col("key")))
+    return out.where("taken > 0").select("row.*", "taken")
 
 
 def digest(documents: DataFrame) -> DataFrame:
