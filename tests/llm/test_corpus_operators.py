@@ -159,6 +159,48 @@ def test_decontamination(spark, monkeypatch, block):
     assert {r["doc_id"] for r in decontamination.drop_contaminated(docs(spark, texts), bench).collect()} == {0, 1, 2, 5}
 
 
+def _hits(text, items):
+    """Hit positions and items by plain search."""
+    fold = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    words, hit, found = fold(text), set(), set()
+    for item, own in items:
+        own = fold(own)
+        n = min(10, len(own))
+        windows = {tuple(own[s : s + n]) for s in range(len(own) - n + 1)} if own else set()
+        for s in range(len(words) - n + 1) if windows else ():
+            if tuple(words[s : s + n]) in windows:
+                hit.update(range(s, s + n))
+                found.add(item)
+    return len(words), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block, piece", [(4 << 20, 4096), (2000, 40)])
+def test_decontamination_equals_plain_search(spark, monkeypatch, block, piece):
+    """Equal items in great number, a giant item, giant words, and items that share windows."""
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontamination, "PIECE_WORDS", piece)
+    rng = random.Random(14)
+    giant, long_word = prose(rng, 3000), "w" * 5000
+    items = [("giant", giant), ("part", " ".join(giant.split()[100:130])), ("long", f"{prose(rng, 12)} {long_word} {prose(rng, 12)}"), ("short", "one two"), (None, "three"), ("none", None)]
+    texts = [None, giant, " ".join(giant.split()[95:109]), " ".join(giant.split()[2985:]), f"x {long_word} y", items[2][1][-30:], items[2][1], f"{items[2][1]} {'w' * 5001}", "One, TWO three", prose(rng, 200) + " " + " ".join(giant.split()[2000:2050])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: r for r in decontamination.digest(docs(spark, texts), bench).collect()}
+    for i, t in enumerate(texts):
+        n, hit, found = _hits(t, [(k or "", x) for k, x in items])
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["items_sha256"]) == (n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest()), i
+    clean = {r["doc_id"] for r in decontamination.drop_contaminated(docs(spark, texts), bench).collect()}
+    assert clean == {i for i, r in got.items() if not r["contaminated"]} and 0 < len(clean) < len(texts)
+
+
+def test_decontamination_by_very_many_equal_items(spark):
+    rng = random.Random(15)
+    item = prose(rng, 30)
+    bench = spark.range(100_000).selectExpr("id AS item_id", f"'{item}' AS text")
+    got = decontamination.digest(docs(spark, [item, prose(rng, 40), f"{prose(rng, 9)} {item}"]), bench).orderBy("doc_id").collect()
+    want = hashlib.sha256(",".join(sorted(map(str, range(100_000)))).encode()).hexdigest()
+    assert [(r["n_hit"], r["n_items"]) for r in got] == [(30, 100_000), (0, 0), (30, 100_000)] and got[0]["items_sha256"] == got[2]["items_sha256"] == want
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -278,8 +320,9 @@ def test_url_rules():
     assert 0 in index.by_token["pills"]
     # a rule is filed under tokens that every match holds, whatever the counts say
     matches = ("x.org/wp-login.php7", "x.org/wp-login.phpx", "écheap-pills.org/", "x.org/a_b/cgi-bin/ad", "my-casino.org/é", "x.org/free-torrent-download.é")
-    for rarest in {t for r in url_filter.PATTERN_RULES for t in r.tokens}:
-        index = url_filter.PatternIndex(url_filter.PATTERN_RULES, {t: t != rarest for r in url_filter.PATTERN_RULES for t in r.tokens})
+    tokens = {t for r in url_filter.PATTERN_RULES for t in url_filter.required_tokens(r.pattern)}
+    for rarest in tokens:
+        index = url_filter.PatternIndex(url_filter.PATTERN_RULES, {t: t != rarest for t in tokens})
         assert [index.decide("http://" + u) for u in matches] == ["block"] * len(matches), rarest
 
 
@@ -301,6 +344,41 @@ def test_mixing_bounds_and_targets(spark):
     assert mixing.take_mix(df.limit(0)).count() == 0
 
 
+def test_patterns_by_tokens_judge_like_all_patterns():
+    assert url_filter.required_tokens(r"//[^/]*\b(?:free-)?porn\b") == ("porn",) and url_filter.required_tokens("ab?c|[0-9]+") == ()
+    rng = random.Random(21)
+    parts = ["ab", "a", "b1", r"\b", "/", "-", "_", "[/?]", "[a-c]", "[^/]", "a?", "(?:ab-)?", "(?:a|b)", "b+", "(a)", r"\.", "(?=a)", r"\B", ".", "(?:a-){2}", "^", "$"]
+    verdicts = Counter()
+    for _ in range(400):
+        rules = []
+        while len(rules) < 4:
+            pattern = "".join(rng.choice(parts) for _ in range(rng.randint(1, 7)))
+            try:
+                re.compile(pattern)
+            except re.error:  # a repeat of a repeat
+                continue
+            rules.append(url_filter.PatternRule(rng.choice(["allow", "block"]), pattern))
+        held = {t for r in rules for t in url_filter.required_tokens(r.pattern)}
+        index = url_filter.PatternIndex(tuple(rules), {t: rng.randrange(3) for t in held})
+        for _ in range(12):
+            url = "".join(rng.choice(["a", "b", "b1", "/", "-", "_", ".", "A", "é", "?"]) for _ in range(rng.randint(0, 10)))
+            low = url.translate(url_filter._LOWER)
+            plain = next((r.verdict for r in rules if re.search(r.pattern, low, re.ASCII)), None)
+            assert index.decide(url) == plain, (rules, url)
+            verdicts[plain] += 1
+    assert min(verdicts.values()) > 300
+
+
+def test_url_cases(spark):
+    rows = [(1, None, 7), (2, "", 7), (3, "no scheme", 7), (4, "x://WWW.Example.com/en/a", 7), (4, "x://WWW.Example.com/en/a", 7), (None, "http://a.net/fr/", 7), (6, "http://b.org/" + "a/" * 50_000 + "cheap-pills", 7)]
+    got = [tuple(r) for r in url_filter.judge(spark.createDataFrame(rows, "page_id int, url string, host int")).collect()]
+    assert Counter(x[0] for x in got) == Counter(x[0] for x in rows)
+    by = {x[0]: x[1:] for x in got}
+    assert by[1] == by[2] == by[3] == ("", "", None, "allow")
+    assert by[4] == ("www.example.com", "/en/a", "www.example.com/en/", "allow")
+    assert by[None] == ("a.net", "/fr/", "net/fr/", "block") and by[6][2:] == (None, "block")
+
+
 def test_chat_round_trip_and_branches(spark):
     rng = random.Random(12)
     for _ in range(300):
