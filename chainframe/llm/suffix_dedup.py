@@ -222,7 +222,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hot_runs(texts: DataFrame, hot, most: int) -> DataFrame:
-    """(tid, s, e) at anchors with very many fragments."""
+    """(tid, own) at anchors with very many fragments: one row for each place, with all runs of its fragment."""
     fid = F.sha2(F.concat(F.col("at").cast("string").cast("binary"), F.lit(":").cast("binary"), "bytes"), 256).alias("fid")
     places = written(_fragments(texts, hot).select("anchor", "tid", "s", "at", "bytes", fid), "suffix-hot")
     # the number of a distinct fragment stands in for the text in what follows
@@ -234,10 +234,12 @@ def _hot_runs(texts: DataFrame, hot, most: int) -> DataFrame:
     strings = written(strings, "suffix-strings")
     again = written(strings.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "suffix-again")
     single = strings.join(again, "digest").select("tid", "s", F.col("s").alias("e"))
-    whole = kinds.where("n > 1").select("tid", "s", (F.octet_length("bytes") - LENGTH).cast("int").alias("e"))
-    found = few.union(single).union(whole).groupBy("tid").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
-    found = written(kinds.select("tid", "fid").join(found, "tid").select("fid", F.explode("runs").alias("r")), "suffix-hot-runs")
-    out = written(places.select("fid", "tid", "s").join(found, "fid").select("tid", (F.col("s") + F.col("r.s")).cast("int").alias("s"), (F.col("s") + F.col("r.e")).cast("int").alias("e")), "suffix-hot-places")
+    own = few.union(single).groupBy("tid").agg(F.collect_set(F.struct("s", "e")).alias("own"))
+    whole = F.when(F.col("n") > 1, F.array(F.struct("s", (F.octet_length("bytes") - LENGTH).cast("int").alias("e"))))
+    runs = kinds.join(own, "tid", "left").select("fid", F.coalesce(whole, "own").alias("own")).where("own IS NOT NULL")
+    found = written(runs, "suffix-hot-runs")
+    shifted = F.transform("own", lambda r: F.struct((F.col("s") + r["s"]).alias("s"), (F.col("s") + r["e"]).alias("e")))
+    out = written(places.select("fid", "tid", "s").join(found, "fid").select("tid", shifted.alias("own")), "suffix-hot-places")
     discard(places, kinds, many, strings, again, found)
     return out
 
@@ -248,12 +250,13 @@ def repeated_strings(texts: DataFrame, most: int = HOT) -> DataFrame:
     spark = texts.sparkSession
     repeated = spark.sparkContext.broadcast(listed(counts, "h"))
     above = written(counts.where(F.col("n") > most), "suffix-above")
+    one = F.array(F.struct("s", "e")).alias("own")
     if above.isEmpty():
-        found = _solved(_fragments(texts, repeated))
+        found = _solved(_fragments(texts, repeated)).select("tid", one)
     else:
         hot = spark.sparkContext.broadcast(listed(above, "h"))
-        found = _solved(_fragments(texts, repeated, hot)).union(_hot_runs(texts, hot, most))
-    return written(found.groupBy("tid").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "suffix-runs")
+        found = _solved(_fragments(texts, repeated, hot)).select("tid", one).union(_hot_runs(texts, hot, most))
+    return written(found.groupBy("tid").agg(F.flatten(F.collect_list("own")).alias("runs")), "suffix-runs")
 
 
 def kept_mask(n_bytes: int, runs: list[dict] | None) -> np.ndarray:
