@@ -1,23 +1,30 @@
 """Main text of web pages by consensus host paths.
 
-On every page the article reaches as far as the lowest container around all
-blocks of content: every block that is no boilerplate, short blocks that are
-nothing but links excepted.  Each page votes, with that container's share of the
-text, for its generalised path (tags and classes, numbers replaced).  Spark adds the votes up per host, and each page is extracted again
-from all containers of the path that won on its host; a page keeps its own best
-container if that would leave out any of its content blocks.
+Every container of a page (``CONTAINERS``) is scored: how much of the page's
+content its path covers, and if that is all of it, how low it lies.  All scores
+vote for the containers' generalised paths (tags and classes, numbers
+replaced).  Spark adds the votes up per host, and each page is extracted again
+with the path that won on its host: from the first to the last container of
+that path with content, and from the page's ``h1`` on if that comes before.  A page without
+the path, or with less than ``LEAST_SHARE`` of its content there, is extracted
+with the lowest path that covers all its content.
+
+Content is every block that is no boilerplate, short blocks that are nothing
+but links excepted.  Boilerplate is told by its element or role, or by a class
+or id one of whose names says nothing else (``site-footer`` does, ``no-sidebar``
+does not).  Names do not drop an element that holds most of the page's text
+(unless an article or main with an h1 stands beside it), or the article, the
+main element or the first h1 of a page that shows none elsewhere; if no other
+text is left, names drop nothing.
 
 The winners are sent to the executors if they are at most ``MOST_BROADCAST``
 hosts, and joined by host beyond that.
 
-A word of its class or id does not drop an element that holds most of the page's
-text (unless an article or main with an h1 stands beside it), or the article, the
-main element or the first h1 of a page that shows none elsewhere; if no other
-text is left, such words drop nothing.
-
 Defined cases: null or empty html has an empty text; a null url has the host
-''; rows that repeat are extracted alike; markup that never ends reaches to the
-end of the page.
+''; rows that repeat are extracted alike and vote each; of equal votes the
+lowest path wins, then the first in order; markup that never ends reaches to
+the end of the page; a page may be of any length; an empty table gives an empty
+result.  Only the id, url and html columns are read.
 """
 
 from __future__ import annotations
@@ -33,8 +40,12 @@ from pyspark.sql import functions as F
 from .common import sliced, written
 
 MOST_BROADCAST = 50_000
-#: A block shorter than this that is all links, no heading, does not widen the article.
+#: A block shorter than this that is all links, no heading, is no content.
 LINKS_MOST = 200
+#: A page keeps its own path if the host's has less of its content.
+LEAST_SHARE = 0.75
+#: What a path loses for each level that it lies above the page's best.
+PER_LEVEL = 0.25
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +67,8 @@ DROPPED_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations teaser tags tagcloud".split()
 )
+#: Words that may stand beside those in a name without changing what it says.
+NEUTRAL_WORDS = frozenset("site page main top bottom left right primary secondary global mobile box block list item items area section wrapper wrap container inner outer content bar links link posts articles stories form thread js".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][-a-zA-Z0-9_:.@]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _TAG = re.compile(r"""</?([a-zA-Z][a-zA-Z0-9:-]*)((?>[^"'>]+|"[^"]*"|'[^']*')*+)>""")
@@ -64,14 +77,31 @@ _NUMBER = re.compile("[0-9]+")
 
 
 class Node:
-    __slots__ = ("parent", "path", "chars", "content", "first", "last", "depth", "tag")
+    """A container: its generalised path and its blocks, as a range."""
+
+    __slots__ = ("parent", "path", "first", "last", "depth")
 
-    def __init__(self, parent: Node | None, tag: str, path: str):
-        self.parent, self.tag, self.path, self.chars, self.content = parent, tag, path, 0, 0
-        self.first = self.last = 0  # its blocks, as a range
+    def __init__(self, parent: Node | None, path: str):
+        self.parent, self.path = parent, path
+        self.first = self.last = 0
         self.depth = parent.depth + 1 if parent else 0
 
 
+class Blocks:
+    """The blocks of text of a page that are no boilerplate."""
+
+    def __init__(self):
+        self.texts: list[str] = []
+        self.content: list[bool] = []
+        self.title: int | None = None  # the first h1
+
+    def add(self, text: str, content: bool, title: bool) -> None:
+        if title and self.title is None:
+            self.title = len(self.texts)
+        self.texts.append(text)
+        self.content.append(content)
+
+
 def _unwanted(attributes: dict[str, str]) -> bool:
     if attributes.get("role", "").lower() in DROPPED_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
@@ -81,8 +111,12 @@ def _unwanted(attributes: dict[str, str]) -> bool:
 
 
 def _suspected(attributes: dict[str, str]) -> bool:
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(w.lower() in DROPPED_WORDS for w in _WORDS.findall(names))
+    """Whether one of the names in class or id consists of boilerplate words, neutral ones beside them."""
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words & DROPPED_WORDS and words <= DROPPED_WORDS | NEUTRAL_WORDS:
+            return True
+    return False
 
 
 class Part:
@@ -94,8 +128,8 @@ class Part:
         self.above, self.tag, self.chars, self.number = above, tag, 0, number
 
 
-def parse(page: str) -> tuple[list[str], list[Node]]:
-    """The blocks of text that are no boilerplate, and the containers with their ranges of blocks."""
+def parse(page: str) -> tuple[Blocks, list[Node]]:
+    """The blocks of text that are no boilerplate, and the containers with their ranges of blocks, the page last."""
     blocks, nodes, parts = _parse(page, frozenset())
     kept = _kept(parts) if any(x.tag is None for x in parts) else None
     return _parse(page, kept)[:2] if kept else (blocks, nodes)
@@ -145,17 +179,18 @@ def _kept(parts: list[Part]) -> frozenset[int]:
     return frozenset(kept)
 
 
-def _parse(page: str, kept: frozenset[int]) -> tuple[list[str], list[Node], list[Part]]:
+def _parse(page: str, kept: frozenset[int]) -> tuple[Blocks, list[Node], list[Part]]:
     """The blocks, the containers and the parts; elements with a listed word stay if their number is kept."""
-    blocks: list[str] = []
+    blocks = Blocks()
     parts = [Part(None, "", 0)]
     part: Part | None = parts[0]  # null within what is dropped for more than words
-    root = Node(None, "", "")
+    root = Node(None, "")
     nodes: list[Node] = []
     stack: list[tuple[str, Node | None, bool, Part | None]] = []  # tag, container, dropped, part
     here, dropped = root, False
     run: list[str] = []
-    linked = heading = False  # in a link that this block opened; in a heading
+    linked = False  # in a link that this block opened
+    heading = ""  # the heading's element
     plain = False  # this block has text that is in no link
 
     def end_block() -> None:
@@ -164,13 +199,7 @@ def _parse(page: str, kept: frozenset[int]) -> tuple[list[str], list[Node], list
             text = " ".join(html.unescape("".join(run)).split())
             run.clear()
             if text:
-                blocks.append(text)
-                content = plain or heading or len(text) >= LINKS_MOST
-                node = here
-                while node is not None:
-                    node.chars += len(text)
-                    node.content += content
-                    node = node.parent
+                blocks.add(text, plain or bool(heading) or len(text) >= LINKS_MOST, heading == "h1")
         linked = plain = False
 
     def pop() -> None:
@@ -179,11 +208,11 @@ def _parse(page: str, kept: frozenset[int]) -> tuple[list[str], list[Node], list
         if tag in BLOCKS:
             end_block()
             if tag in HEADINGS:
-                heading = False
+                heading = ""
         elif tag == "a":
             linked = False
         if node is not None:
-            node.last = len(blocks)
+            node.last = len(blocks.texts)
             here = node.parent
         dropped, part = stack[-1][2:] if stack else (False, parts[0])
 
@@ -271,61 +300,61 @@ def _parse(page: str, kept: frozenset[int]) -> tuple[list[str], list[Node], list
         node = None
         if not bad and tag in CONTAINERS:
             classes = ".".join(sorted(_NUMBER.sub("N", c) for c in attributes.get("class", "").lower().split()))
-            node = Node(here, tag, f"{here.path}>{tag}" + (f".{classes}" if classes else ""))
-            node.first = len(blocks)
+            node = Node(here, f"{here.path}>{tag}" + (f".{classes}" if classes else ""))
+            node.first = len(blocks.texts)
             nodes.append(node)
             here = node
         stack.append((tag, node, bad, part))
         dropped = bad
         if tag in HEADINGS:
-            heading = True
+            heading = tag
         elif tag == "a":
             linked = "href" in attributes
     while stack:
         pop()
     end_block()
-    root.last = len(blocks)
+    root.last = len(blocks.texts)
     nodes.append(root)
     for x in reversed(parts[1:]):  # later ones lie in earlier ones
         x.above.chars += x.chars
     return blocks, nodes, parts
 
 
-def best_container(nodes: list[Node]) -> tuple[Node, float]:
-    """The lowest container around all blocks of content, or a lone article or main element around them; and its share."""
-    root = nodes[-1]
-    whole = [x for x in nodes if x.chars and x.content == root.content]
-    for tag in ("article", "main"):
-        own = [x for x in whole if x.tag == tag and not _inside(x, tag)]
-        if len(own) == 1:
-            return own[0], own[0].chars / max(root.chars, 1)
-    most = max(whole, key=lambda x: (x.depth, x.chars), default=root) if root.content else root
-    return most, most.chars / max(root.chars, 1)
+def scores(blocks: Blocks, nodes: list[Node]) -> dict[str, tuple[float, float, int]]:
+    """Per path: its score, the share of the page's content that it covers, its depth.
 
-
-def _inside(node: Node, tag: str) -> bool:
-    above = node.parent
-    while above is not None:
-        if above.tag == tag:
-            return True
-        above = above.parent
-    return False
+    The lowest path with all the content scores 1, those above it lose
+    ``PER_LEVEL`` a level, and the others score the share that they cover.
+    """
+    content = [0]
+    for text, counts in zip(blocks.texts, blocks.content, strict=True):
+        content.append(content[-1] + (len(text) if counts else 0))
+    within: dict[str, tuple[int, int]] = {}
+    for x in nodes:
+        within[x.path] = (within.get(x.path, (0, 0))[0] + content[x.last] - content[x.first], x.depth)
+    if not content[-1]:
+        return {}
+    lowest = max(d for n, d in within.values() if n == content[-1])
+    return {p: (max(0.0, 1 - PER_LEVEL * (lowest - d)) if n == content[-1] else n / content[-1], n / content[-1], d) for p, (n, d) in within.items() if n}
 
 
 def extract(page: str, winner: str | None) -> str:
     blocks, nodes = parse(page)
-    chosen, share = best_container(nodes)
-    if winner is not None and winner != chosen.path:
-        same = [x for x in nodes if x.path == winner and x.chars]  # never one inside another, so in page order
-        if same and sum(x.content for x in same) == nodes[-1].content:
-            return "\n\n".join(b for x in same for b in blocks[x.first : x.last])
-    return "\n\n".join(blocks[chosen.first : chosen.last])
+    own = scores(blocks, nodes)
+    if not own:  # nothing but links, or no text
+        return "\n\n".join(blocks.texts)
+    if winner not in own or own[winner][1] < LEAST_SHARE:
+        winner = min(own, key=lambda p: (-own[p][0], -own[p][2], p))
+    same = [x for x in nodes if x.path == winner and any(blocks.content[x.first : x.last])]  # never one inside another, so in page order
+    first, last = same[0].first, same[-1].last
+    if blocks.title is not None:
+        first = min(first, blocks.title)
+    return "\n\n".join(blocks.texts[first:last])
 
 
-def vote(page: str) -> tuple[str, float] | None:
-    _, nodes = parse(page)
-    chosen, share = best_container(nodes)
-    return (chosen.path, share) if chosen.chars else None
+def votes(page: str) -> list[tuple[str, int, int]]:
+    """(path, votes in millionths, depth) of all scored containers."""
+    return [(p, round(s * 1e6), d) for p, (s, _, d) in scores(*parse(page)).items() if s > 0]
 
 
 def _host(url) -> F.Column:
@@ -333,16 +362,18 @@ def _host(url) -> F.Column:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with the most votes of each host, the first in order of equals."""
+    """(host, path): the path with the most votes of each host, the lowest of equals, then the first in order."""
 
-    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = [(h, *v) for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True) if page and (v := vote(page))]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array([round(x * 1e6) for x in cols[2]], pa.int64())], ["host", "path", "votes"])
-
-    counted = pages.select("host", "html").mapInArrow(votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path"))
+            rows = [(h, *v) for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True) if page for v in votes(page)]
+            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "path", "votes", "depth"])
+
+    voted = pages.select("host", "html").mapInArrow(count, "host string, path string, votes long, depth int")
+    counted = voted.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.max("depth").alias("depth"))
+    return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), -F.col("depth"), F.col("path"))).alias("path"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_broadcast: int = MOST_BROADCAST) -> DataFrame:

@@ -244,7 +244,7 @@ def test_html_text(spark):
     <div class="comments"><p>bad comment</p></div></div><aside>x</aside><form>f</form><footer>foo</footer><script>var a="</p>"""
     want = "T\n\nHello <b> a b x bolded\n\nSecond para that is long enough"
     rows = [(i, f"http://H.org/{i}", page.replace("{n}", str(i))) for i in range(4)] + [(9, None, None), (10, "http://h.org/x", ""), (11, "http://h.org/y", "a < b <unclosed"), (12, "x", "<p>" * 3000 + "deep")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, path int")  # names of its own columns
     for limit in (10, 0):
         got = {r["page_id"]: r["text"] for r in html_text.main_text(pages, most_broadcast=limit).collect()}
         assert [got[i] for i in range(4)] == [want] * 4 and got[9] == got[10] == "" and got[11].startswith("a < b") and got[12] == "deep"
@@ -305,6 +305,59 @@ def test_html_text_keeps_articles_whose_wrapper_has_a_listed_word():
     assert lines("<div class=ad>" * 2000 + "deep") == ["deep"]
 
 
+def _votes_by_hand(pages):
+    """The winning path of one host, from paths with the share of content that they cover and their depth."""
+    total = Counter()
+    for paths in pages:
+        full = max(d for share, d in paths.values() if share == 1)
+        for p, (share, d) in paths.items():
+            total[p] += 1 - 0.25 * (full - d) if share == 1 else share
+    return max(total, key=lambda p: total[p])
+
+
+def test_hosts_overrule_pages(spark):
+    """Text that a page alone must take for content goes, where its host's other pages show that the article is elsewhere."""
+    text = lambda w, n: " ".join([w] * n)
+    article = lambda n: f"<div class='post-{n}'><h1>T{n}</h1><p>{text('word', 90)}</p></div>"
+    site = "<div><p>" + text("promo", 12) + "</p></div>"
+    page = lambda *x: f"<html><body><div id=main>{''.join(x)}</div></body></html>"
+    rows = [("a", page(article(i))) for i in range(8)]
+    rows += [("a", page(article(8), site)), ("a", page(site, article(9)))]  # most of the host's pages have no such text
+    rows += [("b", page(article(i), site)) for i in range(3)]  # here all have, and no page tells otherwise
+    rows += [("a", page(f"<h1>Apart</h1><div class='post-10'><p>{text('word', 90)}</p></div>"))]
+    rows += [("a", page(article(11), f"<section><p>{text('rest', 60)}</p></section>"))]  # too much to leave out
+    rows += [("a", page(f"<div class='post-12'><p>{text('one', 50)}</p></div><p>between</p><div class='post-13'><p>{text('two', 50)}</p></div>"))]
+    frame = spark.createDataFrame([(i, f"http://{h}.org/{i}", x) for i, (h, x) in enumerate(rows)], "page_id long, url string, html string")
+    body, main, post = ">body", ">body>div", ">body>div>div.post-N"
+    usual = {body: (1, 1), main: (1, 2), post: (1, 3)}
+    promo = len(text("promo", 12))
+    shares = {}
+    for n, k in ((8, 12), (10, 12)):
+        own = len(f"T{n}") + len(text("word", 90))
+        shares[n] = {body: (1, 1), main: (1, 2), post: (own / (own + promo), 3)}
+    assert _votes_by_hand([usual] * 8 + [shares[8], shares[10]]) == post and _votes_by_hand([shares[8]] * 3) == main
+    winners = {r["host"]: r["path"] for r in html_text.winning_paths(frame.withColumn("host", html_text._host(frame.url))).collect()}
+    assert winners == {"a.org": post, "b.org": main}
+    for limit in (10, 0):
+        got = {r["page_id"]: r["text"].split("\n\n") for r in html_text.main_text(frame, most_broadcast=limit).collect()}
+        assert all(got[i] == [f"T{i}", text("word", 90)] for i in range(10))
+        assert all(got[10 + i] == [f"T{i}", text("word", 90), text("promo", 12)] for i in range(3))
+        assert got[13] == ["Apart", text("word", 90)]
+        assert got[14] == ["T11", text("word", 90), text("rest", 60)]
+        assert got[15] == [text("one", 50), "between", text("two", 50)]
+    alone = {i: html_text.extract(x, None).split("\n\n") for i, (_, x) in enumerate(rows)}
+    assert [i for i in got if got[i] != alone[i]] == [8, 9]
+
+
+def test_html_names_that_only_mention_boilerplate():
+    body = "<p>" + "word " * 100 + "</p>"
+    for name in ("content has-sidebar", "no-sidebar", "layout header-fixed", "site related-posts-enabled", "post tags-enabled"):
+        assert html_text.extract(f"<body><div class='{name}'><h1>T</h1>{body}</div><div>Beside.</div></body>", None).startswith("T\n\nword")
+    assert html_text.extract(f"<body><article class='post-widget'>{body}</article></body>", None).startswith("word")
+    for name in ("site-footer", "ad", "ads-top", "cookieNotice", "comments-area", "related-posts", "widget sidebar-left"):
+        assert html_text.extract(f"<body><div>{body}</div><div class='x {name}'><p>Gone.</p></div></body>", None) == ("word " * 100).strip(), name
+
+
 def test_html_articles_of_the_small_pages(spark):
     for r in spark.read.parquet(f"{SMALL}/pages.parquet").limit(50).collect():
         text = html_text.extract(r["html"], None)
