@@ -7,8 +7,10 @@ the spans to redact.  The trees are fitted once per process, on the driver, on
 ``TRAINING_ROWS`` generated examples and become one Column expression.
 
 Offsets count code points, ends are exclusive.  Defined cases: a null or empty
-text has no spans; equal rows get equal results; an empty table gives an empty
-one.  Only the id and text columns are read.
+text has no spans; a text may be of any length, the patterns take time in
+proportion to it; equal rows get equal results; of an added span and a base
+span that overlap the base one stays; an empty table gives an empty result.
+Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -54,9 +56,17 @@ CONTEXTS = (
     r"(?i)(?:token|secret|api.?key|access.?key|passw\w*|pwd|private.?key|bearer)",
     r"""(?i)[=:]\s?["']?$""",
 )
+AFTER_CHARS = 12
+#: What may follow: an extension, a unit or currency, more of a longer number or word, a closing quote.
+AFTERS = (
+    r"(?i)^\s?(?:ext|x|app|poste|int)\b\.?\s?[0-9]",
+    r"(?i)^\s?(?:%|€|\$|£|(?:eur|usd|gbp|chf|kg|g|km|m|cm|mm|ml|l|h|min|ms|mb|gb|items?|units?|pieces|stück|pages?|people|euros?|dollars?)\b)",
+    r"^[-/.][0-9A-Za-z]",
+    r"""^["']""",
+)
 #: Format patterns tested on the span itself.
 FORMATS = (r"^\(?[0-9]", r"\(", r"[0-9]-[0-9]", r"[0-9]\x20[0-9]", r"[0-9]\.[0-9]", r"[a-z]", r"[A-Z]", r"[_-]", r"^[0-9a-f]+$", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", r"^(?:19|20)[0-9]{2}[\x20.-]")
-N_FEATURES = 3 + len(FORMATS) + len(CONTEXTS)
+N_FEATURES = 3 + len(FORMATS) + len(CONTEXTS) + len(AFTERS)
 
 #: Bounds of the fit: generated examples per generator and their seed.
 TRAINING_ROWS = 1200
@@ -112,17 +122,18 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _features(span: Column, before: Column) -> Column:
+def _features(span: Column, before: Column, after: Column) -> Column:
     distinct = F.size(F.array_distinct(F.split(span, "")))
     values = [F.length(span), F.length(_digits(span)), distinct]
     values += [span.rlike(p).cast("int") for p in FORMATS]
     values += [before.rlike(p).cast("int") for p in CONTEXTS]
+    values += [after.rlike(p).cast("int") for p in AFTERS]
     return F.array(*values)
 
 
-def features_of(span: str, before: str) -> list[int]:
+def features_of(span: str, before: str, after: str) -> list[int]:
     """The same features on the driver, for the fit."""
-    return [len(span), sum(c in "0123456789" for c in span), len(set(span)), *(int(bool(re.search(p, span))) for p in FORMATS), *(int(bool(re.search(p, before))) for p in CONTEXTS)]
+    return [len(span), sum(c in "0123456789" for c in span), len(set(span)), *(int(bool(re.search(p, span))) for p in FORMATS), *(int(bool(re.search(p, before))) for p in CONTEXTS), *(int(bool(re.search(p, after))) for p in AFTERS)]
 
 
 def _examples(kind: str, rng: random.Random, n: int) -> tuple[list[list[int]], list[int]]:
@@ -156,10 +167,13 @@ def _examples(kind: str, rng: random.Random, n: int) -> tuple[list[list[int]], l
         ),
         "email_masked": (lambda: (f"{word()} (at) {word()} (dot) com", plain()) if rng.random() < 0.5 else (f"{word()}[at]{word()}.org", plain()), lambda: (f"{word()} (at) {word()}.{word()}{word()}{word()}", plain()) if rng.random() < 0.2 else (f"{word()}(at){word()}.5", plain())),
     }
+    ends = (". ", ", ", " ", "\n", " and ", "; ", ")")
+    yes = lambda: rng.choice([*ends, " ext 12", " x 204", '"', "'"])
+    no = lambda: rng.choice([*ends, " EUR", " kg", "%", " items", " km", f"-{digits(3)}", f"/{word()}", f".{digits(2)}"])
     x, y = [], []
     for i in range(n):
         span, before = made[kind][i % 2]()
-        x.append(features_of(span, before))
+        x.append(features_of(span, before, (no if i % 2 else yes)()[:AFTER_CHARS]))
         y.append(1 - i % 2)
     return x, y
 
@@ -182,8 +196,8 @@ def added_spans(text: Column) -> dict[str, Column]:
     def accepts(trees: BoostedTrees, cut: float) -> Callable[[Column], Column]:
         def accepted(x: Column) -> Column:
             start = F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0))
-            before = F.substring(text, start + 1, x["s"] - start)
-            return let(_features(x["m"], before), lambda f: trees.column(lambda i: f[i]) > cut)
+            before, after = F.substring(text, start + 1, x["s"] - start), F.substring(text, x["e"] + 1, F.lit(AFTER_CHARS))
+            return let(_features(x["m"], before, after), lambda f: trees.column(lambda i: f[i]) > cut)
 
         return accepted
 

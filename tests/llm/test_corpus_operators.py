@@ -459,3 +459,23 @@ def test_empty_tables_and_clashing_columns(spark):
     assert html_text.digest(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert url_filter.digest(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert chat_trees.digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 1
+
+
+def test_pii_on_sentences_labelled_by_hand(spark):
+    """Precision and recall of the added spans on text that the training generator has not made."""
+    from labelled_pii import PRIVATE, PUBLIC
+
+    texts = [t for t, _ in PRIVATE] + PUBLIC
+    found = {r["doc_id"]: r["spans"] for r in pii.digest(docs(spark, texts)).collect()}
+    caught = false = 0
+    for i, t in enumerate(texts):
+        spans = [t[int(s) : int(e)] for _, s, e in (x.rsplit(":", 2) for x in found[i].split(",") if x)]
+        wanted = PRIVATE[i][1] if i < len(PRIVATE) else None
+        # a span that has the wanted one inside, or is inside it and most of it, hits
+        hit = [s for s in spans if wanted and (wanted in s or (s in wanted and 2 * len(s) > len(wanted)))]
+        caught += bool(hit)
+        false += len(spans) - len(hit)
+        if wanted and not hit or len(spans) > len(hit):
+            print(repr(t), spans)
+    print("recall", caught, "of", len(PRIVATE), "; false", false)
+    assert caught >= 0.8 * len(PRIVATE) and caught >= 0.9 * (caught + false)
