@@ -77,7 +77,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -86,13 +86,13 @@ def discard(*tables: DataFrame) -> None:
     """Delete written tables that no later step reads."""
     for df in tables:
         _WRITTEN.remove(df._written_to)
-        _delete(df.sparkSession, df._written_to)
+        delete(df.sparkSession, df._written_to)
 
 
 def discard_since(spark: SparkSession, mark: int) -> None:
     """Delete what was written since ``mark`` = ``written_so_far()``; call it once the results are stored elsewhere."""
     while len(_WRITTEN) > mark:
-        _delete(spark, _WRITTEN.pop())
+        delete(spark, _WRITTEN.pop())
 
 
 def written_so_far() -> int:
