@@ -3,6 +3,16 @@
 Every stage takes what its predecessor kept, as a Parquet table.  All stages
 but the last return the columns of ``documents``; the last adds ``taken``, the
 words that the mix takes of each document.
+
+Defined cases: a document without words (null, empty, white space) fails the
+quality rules and goes; rows that repeat are judged alike by the rules, and of
+equal or near texts the row with the smallest id stays (rows with the same id
+are one document, so all of them stay); a null id counts as the largest; texts
+may be of any length; columns besides ``doc_id``, ``text`` and ``source`` pass
+through under any name, but ``taken`` is replaced; an empty table, or one of
+which nothing is left, gives an empty table.  The tables of a stage are deleted
+when its result is written, and its result when the next one's is; the last
+result stays in the shared folder.
 """
 
 from __future__ import annotations
@@ -12,7 +22,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from chainframe.llm import decontamination, mixing, near_dedup, pii, quality_rules
-from chainframe.llm.common import ready, shared_dir, table
+from chainframe.llm.common import discard_since, ready, shared_dir, table, written_so_far
+from chainframe.llm.common import delete as delete_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +68,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        mark = written_so_far()
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        discard_since(spark, mark)
+        if before:
+            delete_table(spark, before)
+        before = path
     return docs
