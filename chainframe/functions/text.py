@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 from collections.abc import Iterator
 
 import pandas as pd
@@ -74,12 +73,12 @@ def base58_encode(b: Column | str) -> Column:
 
 
 def keyed_random(seed: str, component: str, index: Column) -> Column:
-    """The first eight bytes of an HMAC-SHA256 as an unsigned number; equal for equal inputs everywhere."""
-
-    @F.pandas_udf("decimal(20,0)")
-    def draw(i: pd.Series) -> pd.Series:
-        from decimal import Decimal
-
-        return i.map(lambda v: Decimal(int.from_bytes(hmac.new(seed.encode(), f"{component}\0{v}".encode(), hashlib.sha256).digest()[:8], "big")))
-
-    return draw(index.cast("long"))
+    """The first eight bytes of an HMAC-SHA256 as an unsigned number; equal for equal inputs everywhere.
+
+    The two hashes of the HMAC over the padded key are plain SHA-256.
+    """
+    key = seed.encode() if len(seed.encode()) <= 64 else hashlib.sha256(seed.encode()).digest()
+    pad = lambda x: F.lit(bytes(k ^ x for k in key.ljust(64, b"\0")))
+    message = F.encode(F.concat(F.lit(f"{component}\0"), index.cast("long").cast("string")), "utf-8")
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message), 256))
+    return F.conv(F.substring(F.sha2(F.concat(pad(0x5C), inner), 256), 1, 16), 16, 10).cast("decimal(20,0)")

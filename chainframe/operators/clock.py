@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import boundary
+from .prefix import WIDTH, carried, running_sum
+
+
+def every_integer(span: DataFrame, first: str, last: str, name: str) -> DataFrame:
+    """All integers of the one interval in ``span``: its ranges are dealt out before they are written out."""
+    ranges = span.select(first, last, F.explode(F.sequence(F.floor(F.col(first) / WIDTH), F.floor(F.col(last) / WIDTH))).alias("_r")).repartition("_r")
+    each = ranges.select(first, last, F.explode(F.sequence(F.col("_r") * WIDTH, F.col("_r") * WIDTH + WIDTH - 1)).alias(name))
+    return each.where(F.col(name).between(F.col(first), F.col(last))).select(name)
 
 
 def build_clock(counts: DataFrame, block: str = "block_ordinal", n: str = "transaction_count") -> DataFrame:
@@ -13,20 +21,14 @@ def build_clock(counts: DataFrame, block: str = "block_ordinal", n: str = "trans
 
     Prefix sums run per range of blocks first and over the ranges' totals after that, so no task sees all blocks.
     """
-    span = counts.agg(F.min(block).alias("a"), F.max(block).alias("b"))
-    blocks = span.select(F.explode(F.sequence("a", "b")).alias(block))
-    full = blocks.join(counts, block, "left").select(block, F.coalesce(n, F.lit(0)).cast("long").alias(n))
+    span = counts.agg(F.min(block).cast("long").alias("_a"), F.max(block).cast("long").alias("_z")).where("_a IS NOT NULL")
+    full = every_integer(span, "_a", "_z", block).join(counts, block, "left").select(block, F.coalesce(n, F.lit(0)).cast("long").alias(n))
     return exclusive_prefix(full, block, n, "prefix")
 
 
-def exclusive_prefix(df: DataFrame, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+def exclusive_prefix(df: DataFrame, order: str, value: str, name: str, width: int = WIDTH) -> DataFrame:
     """Running sum before each row; ``order`` is an integer without repeats."""
-    ranged = df.withColumn("_r", F.floor(F.col(order) / width))
-    totals = ranged.groupBy("_r").agg(F.sum(value).alias("_t"))
-    before = totals.select("_r", F.coalesce(F.sum("_t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    w = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    own = ranged.withColumn("_o", F.coalesce(F.sum(value).over(w), F.lit(0)))
-    return own.join(before, "_r").withColumn(name, (F.col("_o") + F.col("_b")).cast("long")).drop("_r", "_o", "_b")
+    return running_sum(df, [], order, [], value, name, width, inclusive=False).withColumn(name, F.col(name).cast("long"))
 
 
 def after_transactions(positions: DataFrame, clock: DataFrame, n: int, width: int = 1024) -> DataFrame:
@@ -41,19 +43,22 @@ def after_transactions(positions: DataFrame, clock: DataFrame, n: int, width: in
     return hit.withColumn("landing_index", F.col("g") - F.col("_p")).drop("_b", "_p", "_e", "g")
 
 
-def first_block_at(times: DataFrame, clock: DataFrame, at: str, after: str, width: int = 3600) -> DataFrame:
-    """The first block with transactions later than block ``after`` whose time is at least ``at``.
+def first_block_at(times: DataFrame, clock: DataFrame, key: str, at: str, after: str, width: int = 3600) -> DataFrame:
+    """The first block with transactions later than block ``after`` whose time is at least ``at``; null if there is none.
 
-    Per bucket of time the earliest such block; if a row's own bucket has none, the next bucket's first one.
+    ``key`` tells the rows apart; ``at`` is no earlier than the time of block
+    ``after``, and block times never fall.  Per bucket of time the earliest
+    such block; if a row's own bucket has none, the first one of the next
+    bucket that has any.
     """
     busy = clock.where("transaction_count > 0").select("block_ordinal", "block_time_s").withColumn("_b", F.floor(F.col("block_time_s") / width))
     firsts = busy.groupBy("_b").agg(F.min("block_ordinal").alias("first"))
-    span = busy.agg(F.min("_b").alias("a"), F.max("_b").alias("b")).select(F.explode(F.sequence("a", "b")).alias("_b"))
-    following = span.join(firsts, "_b", "left").select("_b", F.first("first", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)).alias("next_first"))
-    wanted = times.withColumn("_b", F.floor(F.col(at) / width)).withColumn("_row", F.monotonically_increasing_id())
-    inside = wanted.join(busy.select("_b", F.col("block_ordinal").alias("c"), "block_time_s"), "_b", "left").where(F.col("c").isNull() | ((F.col("block_time_s") >= F.col(at)) & (F.col("c") > F.col(after))))
-    own = inside.groupBy("_row").agg(F.min("c").alias("own"))
-    return wanted.join(own, "_row", "left").join(following, "_b", "left").withColumn("found_block", F.coalesce("own", "next_first")).drop("_b", "_row", "own", "next_first")
+    wanted = times.withColumn("_b", F.floor(F.col(at) / width))
+    buckets = firsts.unionByName(wanted.select("_b", F.lit(None).cast("long").alias("first"))).groupBy("_b").agg(F.min("first").alias("first"))
+    following = carried(buckets, [], "_b", "first", forward=True).withColumnRenamed("_carried", "next_first")
+    inside = wanted.join(busy.select("_b", F.col("block_ordinal").alias("_c"), "block_time_s"), "_b").where((F.col("block_time_s") >= F.col(at)) & (F.col("_c") > F.col(after)))
+    own = inside.groupBy(key).agg(F.min("_c").alias("own"))
+    return wanted.join(own, key, "left").join(following, "_b", "left").withColumn("found_block", F.coalesce("own", "next_first")).drop("_b", "own", "next_first")
 
 
 def place(block, index):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+from .guards import guard_rows
+from .research import global_ordinal
+
 MOST_ROUNDS = 64
 
 
@@ -28,10 +33,15 @@ def neighbourhood(edges: DataFrame, centre, between: bool = True) -> DataFrame:
 
 
 def closure(roots: DataFrame, parents: DataFrame) -> DataFrame:
-    """All (node) reachable from roots along (child, parent), by a join per generation until nothing is new."""
-    seen = frontier = roots.select("node").distinct().checkpoint() if roots.sparkSession.sparkContext.getCheckpointDir() else roots.select("node").distinct()
+    """All (node) reachable from roots along (child, parent), by a join per generation until nothing is new.
+
+    Every generation is written, so a round reads tables and repeats no earlier one.
+    """
+    frontier = stored(roots.select("node").distinct(), "closure")
+    seen, parents = frontier, stored(parents.select("child", "parent").distinct(), "closure-parents")
     for _ in range(MOST_ROUNDS):
-        frontier = parents.join(frontier.withColumnRenamed("node", "child"), "child").select(F.col("parent").alias("node")).distinct().join(seen, "node", "left_anti")
+        reached = parents.join(frontier.withColumnRenamed("node", "child"), "child").select(F.col("parent").alias("node")).distinct()
+        frontier = stored(reached.join(seen, "node", "left_anti"), "closure")
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)
@@ -40,10 +50,8 @@ def closure(roots: DataFrame, parents: DataFrame) -> DataFrame:
 
 def group_summary(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """(group, size, internal, crossing): groups numbered by size and then their smallest member."""
-    sizes = groups.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("first"))
-    from pyspark.sql import Window
-
-    numbered = sizes.withColumn("group_no", F.row_number().over(Window.orderBy(F.col("size").desc(), F.col("first").asc())).cast("long"))
+    sizes = groups.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("first")).withColumn("_o", -F.col("size"))
+    numbered = global_ordinal(sizes, ["_o", "first"], "group_no").withColumn("group_no", F.col("group_no") + 1).drop("_o")
     label = lambda end, name: groups.select(F.col("node").alias(end), F.col("label").alias(name))
     joined = edges.join(label("signer_a", "la"), "signer_a").join(label("signer_b", "lb"), "signer_b")
     ends = joined.select(F.col("la").alias("label"), (F.col("la") == F.col("lb")).alias("inside")).union(joined.where("la <> lb").select(F.col("lb").alias("label"), F.lit(False).alias("inside")))
@@ -51,43 +59,81 @@ def group_summary(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return numbered.join(counted, "label", "left").select("group_no", "size", "first", F.coalesce("internal", F.lit(0)).alias("internal"), F.coalesce("crossing", F.lit(0)).alias("crossing"))
 
 
-def communities(edges: DataFrame, most_nodes: int = 5_000, most_edges: int = 200_000, passes: int = 20) -> DataFrame:
-    """Local-moving modularity in a fixed order; sequential by nature, so its input is bounded and checked."""
-    from .guards import guard_rows
-
+def modularity(edges: DataFrame, groups: DataFrame) -> float:
+    """Weight inside groups over all weight, less what the groups' strengths would give by chance."""
+    label = lambda end, name: groups.select(F.col("node").alias(end), F.col("label").alias(name))
+    both = edges.join(label("signer_a", "la"), "signer_a").join(label("signer_b", "lb"), "signer_b")
+    inside = both.agg(F.sum(F.when(F.col("la") == F.col("lb"), F.col("weight")).otherwise(0)).alias("i"), F.sum("weight").alias("m")).first()
+    per = strength(edges).join(groups, "node").groupBy("label").agg(F.sum("strength").cast("double").alias("s")).agg(F.sum(F.col("s") * F.col("s"))).first()[0]
+    return inside["i"] / inside["m"] - per / (2 * inside["m"]) ** 2 if inside["m"] else 0.0
+
+
+class _Moves:
+    """Groups of a symmetric weight matrix in compressed rows, one node moved at a time.
+
+    Putting node i into group c changes modularity in proportion to
+    w(i, c) - s(i) S(c) / S, with w its weight to the group, s its strength,
+    S(c) the strength of the group without it and S that of the graph.
+    """
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n: int):
+        by = np.lexsort((cols, rows))
+        self.cols, self.weights = cols[by], weights[by].astype(float)
+        self.first = np.searchsorted(rows[by], np.arange(n + 1))
+        self.strength = np.bincount(rows, weights=weights, minlength=n)
+        self.group, self.mass, self.total = np.arange(n), self.strength.copy(), max(self.strength.sum(), 1.0)
+
+    def best_for(self, i: int, least_gain: float) -> int:
+        """The group a node gains most by; it stays unless another is better by more than ``least_gain``.
+
+        Groups are tried in ascending order, each against the best before it.
+        """
+        at = slice(self.first[i], self.first[i + 1])
+        near, to = np.unique(self.group[self.cols[at]], return_inverse=True)
+        weight = np.bincount(to, weights=self.weights[at], minlength=len(near))
+        own, s = self.group[i], self.strength[i]
+        without = self.mass[near] - np.where(near == own, s, 0.0)
+        gains = weight - s * without / self.total
+        stay = weight[near == own].sum() - s * (self.mass[own] - s) / self.total
+        best, most = own, stay
+        for c, g in zip(near.tolist(), gains.tolist(), strict=True):
+            if g > most + least_gain:
+                best, most = c, g
+        return int(best)
+
+    def sweep(self, least_gain: float) -> bool:
+        moved = False
+        for i in range(len(self.group)):
+            to, own = self.best_for(i, least_gain), self.group[i]
+            if to != own:
+                self.mass[own] -= self.strength[i]
+                self.mass[to] += self.strength[i]
+                self.group[i], moved = to, True
+        return moved
+
+
+#: Sweeps at most, and what a move must gain.
+PASSES, LEAST_GAIN = 20, 1e-9
+
+
+def communities(edges: DataFrame, most_nodes: int = 5_000, most_edges: int = 200_000, passes: int = PASSES) -> DataFrame:
+    """Groups (node, label) by local moving in the order of the nodes; a label is the first node that gave it.
+
+    Every move depends on those before it, so the graph is one task's; its size is checked first.
+    """
     guard_rows(edges, most_edges)
     guard_rows(strength(edges), most_nodes)
+    kind = dict(edges.dtypes)["signer_a"]
 
-    def move(pdf):
+    def settle(pdf):
         import pandas as pd
 
-        near: dict = {}
-        for a, b, w in zip(pdf["signer_a"], pdf["signer_b"], pdf["weight"], strict=True):
-            near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0) + w
-            near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0) + w
-        nodes = sorted(near)
-        k = {n: sum(near[n].values()) for n in nodes}
-        total = sum(k.values()) or 1
-        label, mass = {n: n for n in nodes}, dict(k)
+        nodes, number = np.unique(np.concatenate([pdf["signer_a"], pdf["signer_b"]]), return_inverse=True)
+        a, b, w = number[: len(pdf)], number[len(pdf) :], np.asarray(pdf["weight"], dtype=float)
+        moves = _Moves(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w]), len(nodes))
         for _ in range(passes):
-            moved = False
-            for n in nodes:
-                to: dict = {}
-                for m, w in near[n].items():
-                    to[label[m]] = to.get(label[m], 0) + w
-                own = label[n]
-                mass[own] -= k[n]
-                gain = lambda c: to.get(c, 0) - mass.get(c, 0) * k[n] / total  # noqa: B023, E731
-                best = own
-                for c in sorted(to):
-                    if gain(c) > gain(best) + 1e-9:
-                        best = c
-                mass[best] = mass.get(best, 0) + k[n]
-                if best != own:
-                    label[n], moved = best, True
-            if not moved:
+            if not moves.sweep(LEAST_GAIN):
                 break
-        return pd.DataFrame({"node": nodes, "label": [label[n] for n in nodes]})
+        return pd.DataFrame({"node": nodes, "label": nodes[moves.group]})
 
-    kind = dict(edges.dtypes)["signer_a"]
-    return edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: move(pdf), f"node {kind}, label {kind}")
+    return edges.select("signer_a", "signer_b", "weight").withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: settle(pdf), f"node {kind}, label {kind}")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def gaps_and_overlaps(shards: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Neighbouring shards whose ends do not meet."""
+    """Neighbouring shards whose ends do not meet.
+
+    Shards are manifest rows, one per published file group, so one task orders them.
+    """
     nxt = F.lead(lo).over(Window.orderBy(lo, hi))
     return shards.withColumn("next_lo", nxt).where(F.col("next_lo").isNotNull() & (F.col("next_lo") != F.col(hi)))
 
@@ -56,7 +59,9 @@ def ordered_digest(df: DataFrame, order: list[str], *columns: str, domain: str =
     from .research import global_ordinal
 
     row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    numbered = global_ordinal(df, order).select("row_id", row.alias("d"))
-    chunk = F.floor(F.col("row_id") / 1024)
-    per = numbered.groupBy(chunk.alias("c")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_id", "d"))), lambda x: x["d"]), ""), 256).alias("d"), F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("n"), F.sha2(F.concat(F.lit(domain + "\0"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", "d"))), lambda x: x["d"]), "")), 256).alias("digest"))
+    level = global_ordinal(df, order).select(F.col("row_id").alias("i"), row.alias("d"))
+    # digests of 1024 digests each, over and over: three levels are a billion rows, and the last task reads a few
+    for _ in range(3):
+        part = F.floor(F.col("i") / 1024)
+        level = level.groupBy(part.alias("i")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]), ""), 256).alias("d"), F.sum("n" if "n" in level.columns else F.lit(1)).alias("n"))
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.concat(F.lit(domain + "\0"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]), "")), 256).alias("digest"))

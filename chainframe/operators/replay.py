@@ -58,7 +58,7 @@ def snipe(launches: DataFrame, clock: DataFrame, states: DataFrame, budget: int,
     ok = F.col("tokens") >= pricing.minimum_output(F.col("reference"), slippage_bps)
     bought = bought.withColumn("filled", (F.col("buy_at") > 0) & ok)
     due = bought.where("filled").select("event_id", "buy_block", (F.col("buy_block") * 60 + hold_s).alias("due"))
-    decided = first_block_at(due, clock, "due", "buy_block").select("event_id", F.col("found_block").alias("block_ordinal"), F.lit(0).cast("long").alias("transaction_index")).where("block_ordinal IS NOT NULL")
+    decided = first_block_at(due, clock, "event_id", "due", "buy_block").select("event_id", F.col("found_block").alias("block_ordinal"), F.lit(0).cast("long").alias("transaction_index")).where("block_ordinal IS NOT NULL")
     sold = after_transactions(decided, clock, sell_delay).select("event_id", boundary(F.col("landing_block"), F.col("landing_index")).alias("sell_at"))
     out = bought.join(sold, "event_id", "left").withColumn("sell_at", F.coalesce("sell_at", F.lit(0).cast("long")))
     out = _with_state(out, states, "sell_at", "s_")
@@ -108,7 +108,7 @@ def funded(actions, account: str, order: list[str], amount: str, opening: int, k
 def copy_positions(signals: DataFrame, curve: DataFrame, clock: DataFrame, stop_bps: int, take_bps: int, hold_s: int) -> DataFrame:
     """One position per venue from its first signal; the first of stop, take and deadline ends it, stop before take."""
     entry = signals.groupBy("venue").agg(F.min(F.struct("boundary", "event_id", "t", "vt", "vq")).alias("e")).select("venue", *(F.col(f"e.{c}").alias(f"e_{c}") for c in ("boundary", "event_id", "t", "vt", "vq")))
-    due = first_block_at(entry.select("venue", (F.col("e_t") + hold_s).alias("due"), F.expr("e_t div 60").alias("after")), clock, "due", "after").select("venue", F.shiftleft("found_block", 32).alias("deadline"))
+    due = first_block_at(entry.select("venue", (F.col("e_t") + hold_s).alias("due"), F.expr("e_t div 60").alias("after")), clock, "venue", "due", "after").select("venue", F.shiftleft("found_block", 32).alias("deadline"))
     later = curve.join(entry, "venue").where("boundary > e_boundary")
     args = (F.col("vq"), F.col("vt"), F.col("e_vq"), F.col("e_vt"))
     reason = F.when(pricing.price_reaches(*args, stop_bps, False), "STOP_LOSS").when(pricing.price_reaches(*args, take_bps, True), "TAKE_PROFIT")

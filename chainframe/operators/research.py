@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .guards import LimitExceeded
+from .prefix import running_sum
 
 POSITION = ["block_ordinal", "transaction_index", "source_instruction_index"]
 
@@ -36,39 +38,51 @@ def matches(firsts: DataFrame, window_s: int) -> DataFrame:
 
     Time is cut into windows; a row meets its own and the next one, so that a hot mint's rows spread over many keys.
     """
-    rows = firsts.select("mint", F.col("signing_wallet").alias("w"), F.col("block_time_s").alias("t"), F.struct(*POSITION).alias("p"))
+    ids = [F.col("observation_id").alias("o")] if "observation_id" in firsts.columns else []
+    rows = firsts.select("mint", F.col("signing_wallet").alias("w"), F.col("block_time_s").alias("t"), F.struct(*POSITION).alias("p"), *ids)
+    own = [c for c in rows.columns if c != "mint"]
     cell = F.floor(F.col("t") / (window_s + 1)).cast("long")
-    left = rows.select("mint", cell.alias("cell"), *(F.col(c).alias(f"x_{c}") for c in "wtp"))
-    right = rows.withColumn("cell", F.explode(F.array(cell, cell - 1))).select("mint", "cell", *(F.col(c).alias(f"y_{c}") for c in "wtp"))
+    left = rows.select("mint", cell.alias("cell"), *(F.col(c).alias(f"x_{c}") for c in own))
+    right = rows.withColumn("cell", F.explode(F.array(cell, cell - 1))).select("mint", "cell", *(F.col(c).alias(f"y_{c}") for c in own))
     near = left.join(right, ["mint", "cell"]).where((F.abs(F.col("x_t") - F.col("y_t")) <= window_s) & (F.col("x_w") != F.col("y_w")))
     # a pair inside one cell meets twice, in neighbouring cells once: keep the ordered one, or turn it round
-    own = F.floor(F.col("y_t") / (window_s + 1)) == F.col("cell")
-    near = near.where(~own | (F.col("x_w") < F.col("y_w")))
+    same_cell = F.floor(F.col("y_t") / (window_s + 1)) == F.col("cell")
+    near = near.where(~same_cell | (F.col("x_w") < F.col("y_w")))
     flip = F.col("x_w") > F.col("y_w")
     pick = lambda c, other: F.when(flip, F.col(f"{other}_{c}")).otherwise(F.col(f"{'x' if other == 'y' else 'y'}_{c}"))
-    return near.select("mint", pick("w", "y").alias("signer_a"), pick("w", "x").alias("signer_b"), pick("t", "y").alias("a_t"), pick("t", "x").alias("b_t"), pick("p", "y").alias("a_p"), pick("p", "x").alias("b_p"))
+    return near.select("mint", pick("w", "y").alias("signer_a"), pick("w", "x").alias("signer_b"), pick("t", "y").alias("a_t"), pick("t", "x").alias("b_t"), pick("p", "y").alias("a_p"), pick("p", "x").alias("b_p"), *((pick("o", "y").alias("left_observation"), pick("o", "x").alias("right_observation")) if ids else ()))
 
 
 def pair_counts(found: DataFrame, least_shared: int) -> DataFrame:
-    block_tx = lambda p: F.struct(F.col(p)["block_ordinal"], F.col(p)["transaction_index"])
+    """Who bought first is told by block and transaction; two buys of one transaction are a tie."""
+    place = lambda p: F.struct(F.col(p)["block_ordinal"], F.col(p)["transaction_index"])
     counted = found.groupBy("signer_a", "signer_b").agg(
         F.count("*").alias("shared_mints"),
-        F.count_if(F.col("a_p") < F.col("b_p")).alias("a_first"),
-        F.count_if(F.col("b_p") < F.col("a_p")).alias("b_first"),
-        F.count_if(block_tx("a_p") == block_tx("b_p")).alias("same_transaction"),
+        F.count_if(place("a_p") < place("b_p")).alias("a_first"),
+        F.count_if(place("b_p") < place("a_p")).alias("b_first"),
+        F.count_if(place("a_p") == place("b_p")).alias("same_transaction"),
     )
     return counted.where(F.col("shared_mints") >= least_shared)
 
 
 def with_evidence_ranges(pairs: DataFrame) -> DataFrame:
-    """Pair rows in order with the range of their evidence; pair level, so one ordering task is small and is bounded by the budget."""
-    w = Window.orderBy("signer_a", "signer_b")
-    before = F.coalesce(F.sum("shared_mints").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return pairs.select((F.row_number().over(w) - 1).cast("long").alias("row_id"), *pairs.columns, before.cast("long").alias("evidence_start"), F.col("shared_mints").alias("evidence_count"))
+    """Pair rows in order with the range of their evidence."""
+    numbered = stored(global_ordinal(pairs, ["signer_a", "signer_b"]), "pairs")
+    ranged = running_sum(numbered, [], "row_id", [], "shared_mints", "evidence_start", inclusive=False)
+    return ranged.select("row_id", *pairs.columns, F.col("evidence_start").cast("long").alias("evidence_start"), F.col("shared_mints").alias("evidence_count"))
 
 
 def evidence(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    return found.join(pairs.select("signer_a", "signer_b"), ["signer_a", "signer_b"]).select("signer_a", "signer_b", "mint", (F.col("b_t") - F.col("a_t")).alias("delta_seconds"))
+    """What the pairs rest on: with ``observation_id`` in the observations, both sides' ids as well."""
+    ids = [c for c in ("left_observation", "right_observation") if c in found.columns]
+    return found.join(pairs.select("signer_a", "signer_b"), ["signer_a", "signer_b"]).select("signer_a", "signer_b", "mint", *ids, (F.col("b_t") - F.col("a_t")).alias("delta_seconds"))
+
+
+def evidence_rows(found: DataFrame, ranged: DataFrame) -> DataFrame:
+    """Evidence with the row numbers of its pair (from ``with_evidence_ranges``) and its own, in the order of pair and mint."""
+    rows = found.join(ranged.select("signer_a", "signer_b", F.col("row_id").alias("pair_row_id")), ["signer_a", "signer_b"])
+    rows = rows.select("pair_row_id", "mint", "left_observation", "right_observation", (F.col("b_t") - F.col("a_t")).alias("delta_seconds"))
+    return global_ordinal(rows, ["pair_row_id", "mint"])
 
 
 def activity(obs: DataFrame) -> DataFrame:
@@ -85,10 +99,17 @@ def activity(obs: DataFrame) -> DataFrame:
 
 
 def global_ordinal(df: DataFrame, order: list[str], name: str = "row_id", parts: int | None = None) -> DataFrame:
-    """A gap-free ordinal in total order: range partitions, a local number and the partitions' offsets."""
+    """A gap-free ordinal in total order: range partitions, a local number and the partitions' offsets.
+
+    The sorted partitions are written once and both steps read them, so that
+    they agree on what a partition holds however often a task is run again.
+    """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    sizes = local.groupBy("_pid").agg(F.count("*").alias("_s"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the partition and the place in it; both are taken in the same task
+    local = stored(ranged.withColumn("_id", F.monotonically_increasing_id()), "ordinal")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = local.groupBy(part.alias("_pid")).agg(F.count("*").alias("_s"))
+    # one row for each partition
     offset = sizes.select("_pid", F.coalesce(F.sum("_s").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    return local.join(F.broadcast(offset), "_pid").withColumn(name, (F.col("_o") + F.col("_n") - 1).cast("long")).drop("_pid", "_n", "_o")
+    return local.withColumn("_pid", part).join(F.broadcast(offset), "_pid").withColumn(name, (F.col("_o") + place).cast("long")).drop("_pid", "_id", "_o")

@@ -9,6 +9,7 @@ from ..functions.exact import floordiv
 from ..operators import learning, research
 from ..sources import sinks
 from ..sources.adapters import Tables
+from ..sources.scratch import scratch
 from .registry import query
 
 
@@ -101,7 +102,7 @@ def _round_trip(name: str, sql: str, make, order: list[str], partition_by: list[
     @query(name, sql)
     def run(t: Tables) -> DataFrame:
         df = make(t)
-        return sinks.publish(df, sinks.scratch(df), order, partition_by).select(*df.columns)
+        return sinks.publish(df, scratch(t.spark, name), order, partition_by).select(*df.columns)
 
 
 _round_trip("sink_canonical", "SELECT boundary, event_id, amount FROM trades", lambda t: t.trades.select("boundary", "event_id", "amount"), ["boundary", "event_id"])

@@ -717,7 +717,8 @@ def page_job_events(t: Tables) -> DataFrame:
 
 @query("page_cursor_codec", "SELECT 'jobs' AS view, CAST(700 AS BIGINT) AS key")
 def page_cursor_codec(t: Tables) -> DataFrame:
-    (key,) = paging.decode_cursor("jobs", paging.encode_cursor("jobs", (700,)))
+    secret = b"of this service"
+    (key,) = paging.decode_cursor("jobs", paging.encode_cursor("jobs", (700,), secret), secret)
     return t.spark.createDataFrame([("jobs", key)], "view string, key long")
 
 

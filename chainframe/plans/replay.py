@@ -41,13 +41,13 @@ _FIRST = "SELECT l.event_id, min(c.block_ordinal) AS found_block FROM {src} l LE
 
 @query("join_forward_block_time", _FIRST.format(src="launches", s=2))
 def join_forward_block_time(t: Tables) -> DataFrame:
-    return first_block_at(t.launches.select("event_id", "block_ordinal", (F.col("t") + 2).alias("due")), t.clock, "due", "block_ordinal").select("event_id", "found_block")
+    return first_block_at(t.launches.select("event_id", "block_ordinal", (F.col("t") + 2).alias("due")), t.clock, "event_id", "due", "block_ordinal").select("event_id", "found_block")
 
 
 @query("st_holding_deadline", _FIRST.format(src="(SELECT * FROM trades WHERE side = 'BUY')", s=900))
 def st_holding_deadline(t: Tables) -> DataFrame:
     buys = t.trades.where("side = 'BUY'").select("event_id", "block_ordinal", (F.col("t") + 900).alias("due"))
-    return first_block_at(buys, t.clock, "due", "block_ordinal").select("event_id", "found_block")
+    return first_block_at(buys, t.clock, "event_id", "due", "block_ordinal").select("event_id", "found_block")
 
 
 _DELAYED = "SELECT t.event_id, min(c.block_ordinal) AS release_block FROM trades t LEFT JOIN clock c ON c.transaction_count > 0 AND c.block_ordinal >= t.block_ordinal + 3 GROUP BY 1"
@@ -55,7 +55,7 @@ _DELAYED = "SELECT t.event_id, min(c.block_ordinal) AS release_block FROM trades
 
 def _released(t: Tables) -> DataFrame:
     rows = t.trades.select("event_id", (F.col("block_ordinal") + 2).alias("after"), ((F.col("block_ordinal") + 3) * 60).alias("due"))
-    return first_block_at(rows, t.clock, "due", "after").select("event_id", F.col("found_block").alias("release_block"))
+    return first_block_at(rows, t.clock, "event_id", "due", "after").select("event_id", F.col("found_block").alias("release_block"))
 
 
 @query("st_observation_delay", _DELAYED)
@@ -77,7 +77,7 @@ def st_materialized_delivery(t: Tables) -> DataFrame:
 def st_settlement_tail(t: Tables) -> DataFrame:
     first = join_forward_block_time(t)
     due = first.select("event_id", F.coalesce("found_block", F.lit(1 << 40)).alias("after"), (F.coalesce("found_block", F.lit(1 << 40)) * 60 + 120).alias("due"))
-    return first_block_at(due, t.clock, "due", "after").select("event_id", F.col("found_block").alias("settled"))
+    return first_block_at(due, t.clock, "event_id", "due", "after").select("event_id", F.col("found_block").alias("settled"))
 
 
 @query("st_group_atomic", "SELECT block_ordinal, count(*) AS n, arg_max(event_id, (boundary, event_id)) AS last_event FROM trades GROUP BY 1")
@@ -115,7 +115,7 @@ def st_reference_engine(t: Tables) -> DataFrame:
     """One order per venue after its first observed swap, executed in the next block with transactions."""
     first = t.trades.where("side = 'SELL'").groupBy("venue").agg(F.min(F.struct("boundary", "event_id", "block_ordinal", "amount")).alias("f")).select("venue", "f.*")
     due = first.withColumn("due", F.col("block_ordinal") * 60 + 1)
-    found = first_block_at(due, t.clock, "due", "block_ordinal").where("found_block IS NOT NULL")
+    found = first_block_at(due, t.clock, "event_id", "due", "block_ordinal").where("found_block IS NOT NULL")
     return found.select("venue", "event_id", F.col("found_block").alias("executes"), (F.col("amount") - F.expr("amount * 30 div 10000")).alias("effective"))
 
 

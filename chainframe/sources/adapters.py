@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import boundary
 from ..operators.clock import build_clock
+from ..operators.prefix import running_sum
 
+#: Boundaries of this many blocks are one range of an ordered operator.
+RANGE = 256 << 32
 MODES = ["NON_MAYHEM", "MAYHEM", "UNKNOWN"]
 
 
@@ -68,9 +71,8 @@ class Tables:
     @cached_property
     def curve(self) -> DataFrame:
         """Each trade with its venue's reserves after it."""
-        w = Window.partitionBy("venue").orderBy("boundary", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-        k = F.sum("amount").over(w)
-        return self.trades.withColumn("vt", F.lit(1073000000000000) - k * 1000).withColumn("vq", F.lit(30000000000) + k * 10)
+        sums = running_sum(self.trades, ["venue"], "boundary", ["event_id"], "amount", "k", RANGE)
+        return sums.withColumn("vt", F.lit(1073000000000000) - F.col("k") * 1000).withColumn("vq", F.lit(30000000000) + F.col("k") * 10).drop("k")
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -119,7 +121,7 @@ CTES: dict[str, str] = {
  CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 2001 - 1000 WHEN o_orderstatus = 'O' AND o_orderkey % 7 <> 0 THEN o_orderkey % 501 - 250 END AS pnl FROM orders""",
     "swaps": "SELECT l_orderkey AS signature, CAST(l_linenumber AS BIGINT) AS ix, l_partkey AS mint, CAST(l_quantity AS BIGINT) AS base_amount, CAST(round(l_extendedprice * 100) AS BIGINT) AS quote_amount, l_returnflag AS flag, l_suppkey AS curve FROM lineitem",
     "firsts": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY signing_wallet, mint ORDER BY block_ordinal, transaction_index, source_instruction_index, block_time_s, side, base_amount, quote_amount) AS rn FROM obs WHERE side = 'BUY') WHERE rn = 1",
-    "found": """SELECT a.mint, a.signing_wallet AS signer_a, b.signing_wallet AS signer_b, a.block_time_s AS a_t, b.block_time_s AS b_t, (a.block_ordinal, a.transaction_index, a.source_instruction_index) AS a_p, (b.block_ordinal, b.transaction_index, b.source_instruction_index) AS b_p,
+    "found": """SELECT a.mint, a.signing_wallet AS signer_a, b.signing_wallet AS signer_b, a.block_time_s AS a_t, b.block_time_s AS b_t, (a.block_ordinal, a.transaction_index) AS a_p, (b.block_ordinal, b.transaction_index) AS b_p,
  a.block_ordinal = b.block_ordinal AND a.transaction_index = b.transaction_index AS same_tx FROM firsts a JOIN firsts b ON a.mint = b.mint AND a.signing_wallet < b.signing_wallet AND abs(a.block_time_s - b.block_time_s) <= 2592000""",
     "pairs": "SELECT signer_a, signer_b, count(*) AS shared_mints, count(*) FILTER (WHERE a_p < b_p) AS a_first, count(*) FILTER (WHERE b_p < a_p) AS b_first, count(*) FILTER (WHERE same_tx) AS same_transaction FROM found GROUP BY 1, 2 HAVING count(*) >= 1",
     "edges": "SELECT signer_a, signer_b, shared_mints AS weight FROM pairs",

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def scratch(df: DataFrame) -> str:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/chainframe-{uuid.uuid4().hex}"
-
-
 def publish(df: DataFrame, path: str, order: list[str] | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Write to a staging folder, rename it into place, and read it with the known schema.
 

@@ -1,6 +1,9 @@
 """Operators against plain Python, and limits that raise."""
 
+import hashlib
+import hmac
 import random
+from decimal import Decimal
 from fractions import Fraction
 
 import pytest
@@ -9,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chainframe.functions import exact, pricing, text
-from chainframe.operators import clock, guards, learning, ordered, paging, quality, replay, research
+from chainframe.operators import clock, graph, guards, learning, ordered, paging, prefix, quality, replay, research
 
 QUICK = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -65,12 +68,13 @@ def test_base58_round_trip(spark):
     assert all(bytes(r["b"]) == bytes(r["back"]) for r in got)
 
 
+@pytest.mark.parametrize("width", [None, 4])
 @pytest.mark.parametrize("forward", [False, True])
-def test_asof(spark, forward):
+def test_asof(spark, forward, width):
     rng = random.Random(4)
     left = [(rng.randrange(3), rng.randrange(50), i) for i in range(60)]
     right = [(rng.randrange(3), rng.randrange(50), i) for i in range(40)]
-    got = ordered.asof(spark.createDataFrame(left, "k long, a long, i long"), spark.createDataFrame(right, "k long, b long, v long"), ["k"], "a", "b", ["v"], forward)
+    got = ordered.asof(spark.createDataFrame(left, "k long, a long, i long"), spark.createDataFrame(right, "k long, b long, v long"), ["k"], "a", "b", ["v"], forward, width)
     for r in got.collect():
         fits = [(b, v) for k, b, v in right if k == r["k"] and (b >= r["a"] if forward else b <= r["a"])]
         best = (min(b for b, _ in fits) if forward else max(b for b, _ in fits)) if fits else None
@@ -113,11 +117,130 @@ def test_digest_of_rows_ignores_their_order(spark):
     assert len(digests) == 1
 
 
-def test_cursor_is_bound_to_its_view():
-    cursor = paging.encode_cursor("jobs", (3, "x"))
-    assert paging.decode_cursor("jobs", cursor) == (3, "x")
+def test_cursor_is_bound_to_its_view_and_secret():
+    cursor = paging.encode_cursor("jobs", (3, "x"), b"s")
+    assert paging.decode_cursor("jobs", cursor, b"s") == (3, "x")
+    for view, secret in (("runs", b"s"), ("jobs", b"t")):
+        with pytest.raises(ValueError):
+            paging.decode_cursor(view, cursor, secret)
+
+
+def test_keyed_random_is_an_hmac(spark):
+    for seed in ("s", "seed " * 40):
+        got = spark.range(5).select("id", text.keyed_random(seed, "delay", F.col("id")).alias("x")).collect()
+        assert [int(r["x"]) for r in got] == [int.from_bytes(hmac.new(seed.encode(), f"delay\0{r['id']}".encode(), hashlib.sha256).digest()[:8], "big") for r in got]
+
+
+def test_first_block_after_a_time(spark):
+    rng = random.Random(6)
+    times = sorted(rng.randrange(0, 400) for _ in range(60))
+    frame = spark.createDataFrame([(b, rng.choice([0, 0, 1, 5]), t) for b, t in enumerate(times)], "block_ordinal long, transaction_count long, block_time_s long")
+    blocks = [tuple(r) for r in frame.collect()]
+    wanted = [(i, times[a] + rng.randrange(0, 150), a) for i, a in enumerate(rng.randrange(60) for _ in range(200))]
+    asked = spark.createDataFrame(wanted, "id long, due long, after long").repartition(7, "due")
+    got = {r["id"]: r["found_block"] for r in clock.first_block_at(asked, frame, "id", "due", "after", width=20).collect()}
+    assert got == {i: min((b for b, n, t in blocks if n and t >= due and b > after), default=None) for i, due, after in wanted}
+
+
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(3), rng.randrange(0, 40_000), i, rng.randrange(-5, 9)) for i in range(500)]
+    frame = spark.createDataFrame(rows, "k long, a long, i long, v long")
+    for inclusive in (True, False):
+        got = {r["i"]: r["s"] for r in prefix.running_sum(frame, ["k"], "a", ["i"], "v", "s", width=7, inclusive=inclusive).collect()}
+        assert got == {i: sum(w for m, b, j, w in rows if m == k and ((b, j) <= (a, i) if inclusive else (b, j) < (a, i))) for k, a, i, _ in rows}
+
+
+def test_ordinals_and_ordered_digests(spark):
+    rows = [(i * 7919 % 3000,) for i in range(3000)]
+    for parts in (1, 5):
+        frame = spark.createDataFrame(rows, "v long").repartition(parts)
+        assert {(r["v"], r["row_id"]) for r in research.global_ordinal(frame, ["v"], parts=parts + 2).collect()} == {(i, i) for i in range(3000)}
+        digest = quality.ordered_digest(frame, ["v"], "v").first()
+        assert digest["n"] == 3000
+        level = [hashlib.sha256(f'{{"v":{i}}}'.encode()).hexdigest() for i in range(3000)]
+        for _ in range(3):
+            level = [hashlib.sha256("".join(level[i : i + 1024]).encode()).hexdigest() for i in range(0, len(level), 1024)]
+        assert digest["digest"] == hashlib.sha256(("stream\0" + "".join(level)).encode()).hexdigest()
+
+
+def test_closure_of_a_deep_chain(spark):
+    parents = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(3, 0), (100, 101)], "child long, parent long")
+    got = graph.closure(spark.createDataFrame([(0,)], "node long"), parents)
+    assert sorted(r["node"] for r in got.collect()) == list(range(61))
     with pytest.raises(ValueError):
-        paging.decode_cursor("runs", cursor)
+        graph.closure(spark.createDataFrame([(0,)], "node long"), spark.createDataFrame([(i, i + 1) for i in range(70)], "child long, parent long"))
+
+
+def _moved(edges, passes=20):
+    """Local moving on plain dictionaries; modularity is counted anew for every choice."""
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)})
+    group = {x: x for x in nodes}
+    weight = sum(w for _, _, w in edges)
+
+    def value():
+        inside = sum(w for a, b, w in edges if group[a] == group[b])
+        mass = {}
+        for a, b, w in edges:
+            for x in (a, b):
+                mass[group[x]] = mass.get(group[x], 0) + w
+        return inside / weight - sum((m / (2 * weight)) ** 2 for m in mass.values())
+
+    for _ in range(passes):
+        before = dict(group)
+        for x in nodes:
+            own = best = group[x]
+            most = value()
+            for g in sorted({group[b if a == x else a] for a, b, _ in edges if x in (a, b)} - {own}):
+                group[x] = g
+                if (now := value()) > most + 1e-9 / weight:
+                    best, most = g, now
+            group[x] = best
+        if group == before:
+            break
+    return group, value()
+
+
+def test_communities_by_modularity_counted_anew(spark):
+    rng = random.Random(8)
+    for trial in range(4):
+        cliques = [(a + 10 * c, b + 10 * c, rng.randrange(1, 4)) for c in range(3) for a in range(6) for b in range(a + 1, 6) if rng.random() < 0.8]
+        edges = cliques + [(rng.randrange(6), 10 + rng.randrange(6), 1), (10 + rng.randrange(6), 20 + rng.randrange(6), 1)]
+        frame = spark.createDataFrame(edges, "signer_a long, signer_b long, weight long")
+        groups = graph.communities(frame)
+        want, value = _moved(edges)
+        assert {r["node"]: r["label"] for r in groups.collect()} == want
+        assert abs(graph.modularity(frame, groups) - value) < 1e-9
+    with pytest.raises(guards.LimitExceeded):
+        graph.communities(frame, most_edges=3)
+
+
+def _trade(block, tx, second, mint, wallet, side="BUY", amount=1):
+    return (block, tx, 0, second, mint, side, amount, amount, wallet)
+
+
+OBS = "block_ordinal long, transaction_index long, source_instruction_index long, block_time_s long, mint string, side string, base_amount decimal(20,0), quote_amount decimal(20,0), signing_wallet string"
+
+
+def test_wallet_research_fixture(spark):
+    """Seven rows: A and B buy one mint in one transaction and another a minute apart; C is busy on its own."""
+    big = 10**18 + 1
+    rows = [_trade(1, 0, 100, "m", "A"), (1, 0, 1, 100, "m", "BUY", 1, 1, "B"), _trade(2, 4, 160, "n", "A"), _trade(3, 0, 220, "n", "B"), *(_trade(9, i, 999, "o", "C", amount=big) for i in range(3))]
+    frame = spark.createDataFrame([(*r[:6], Decimal(r[6]), Decimal(r[7]), r[8]) for r in rows], OBS)
+    numbered = research.global_ordinal(frame, research.POSITION, "observation_id")
+    assert numbered.count() == 7
+    for window, pairs in ((60, [("A", "B", 2, 1, 0, 1)]), (59, [])):
+        found = research.matches(research.first_buys(numbered), window)
+        counts = research.pair_counts(found, 2)
+        assert [tuple(r) for r in counts.collect()] == pairs
+        ranged = research.with_evidence_ranges(counts)
+        assert [(r["row_id"], r["evidence_start"], r["evidence_count"]) for r in ranged.collect()] == [(0, 0, 2)] * len(pairs)
+        rows_ = [(r["row_id"], r["pair_row_id"], r["mint"], r["left_observation"], r["right_observation"], r["delta_seconds"]) for r in research.evidence_rows(found, ranged).orderBy("row_id").collect()]
+        assert rows_ == ([(0, 0, "m", 0, 1, 0), (1, 0, "n", 2, 3, 60)] if pairs else [])
+    busy = research.activity(frame).where("signing_wallet = 'C'").first()
+    assert (busy["buy_rows"], busy["mint_count"], int(busy["quote_buy"])) == (3, 1, 3 * big)
+    empty = research.matches(research.first_buys(numbered.limit(0)), 60)
+    assert research.pair_counts(empty, 1).count() == 0 and research.with_evidence_ranges(research.pair_counts(empty, 1)).count() == 0
 
 
 def test_exact_ridge(spark):
