@@ -150,7 +150,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = max(n, min(2 * len(self.up), n + (1 << 18)))
             with np.errstate(over="ignore"):
                 for name, b in (("up", self.base), ("down", self.inverse)):
                     steps = np.full(size, b, dtype=np.uint64)

@@ -40,10 +40,10 @@ from .suffix_sort import HashCollision, HashedText, RangeMinimum, byte_codes, cl
 
 LENGTH = 400
 GRAM = 64
-HOT = 4096
+HOT = 2048
 _BASE = 0x5851F42D4C957F2D
-_BATCH_BYTES = 2 << 20
-_MEMBERS = 1 << 20
+_BATCH_BYTES = 1 << 20
+_MEMBERS = 1 << 18
 
 
 def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:

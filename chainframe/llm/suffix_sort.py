@@ -59,11 +59,11 @@ class HashedText:
     def equal(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Byte by byte, which verifies what the hashes said."""
         out = np.ones(len(a), dtype=bool)
-        for s in range(0, len(a), 4096):
-            x, y, n = a[s : s + 4096], b[s : s + 4096], length[s : s + 4096]
+        for s in range(0, len(a), 1024):
+            x, y, n = a[s : s + 1024], b[s : s + 1024], length[s : s + 1024]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             differs = self.bytes[np.repeat(x, n) + step] != self.bytes[np.repeat(y, n) + step]
-            out[s : s + 4096] = np.bincount(np.repeat(np.arange(len(n)), n), weights=differs, minlength=len(n)) == 0
+            out[s : s + 1024] = np.bincount(np.repeat(np.arange(len(n)), n), weights=differs, minlength=len(n)) == 0
         return out
 
 
