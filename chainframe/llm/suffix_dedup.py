@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Powers, batches_of, discard, mix64, sliced, window_anchors, window_hashes, written
-from .sketch import cell_of, listed, membership
+from .sketch import Listed, cell_of, listed, membership
 from .suffix_sort import HashCollision, HashedText, RangeMinimum, byte_codes, classes, ranked
 
 LENGTH = 400
 GRAM = 64
 HOT = 2048
+#: Distinct fragments of hot anchors are sent to the texts up to this number (and four runs each), and joined with the places beyond.
+MOST_BROADCAST = 200_000
 _BASE = 0x5851F42D4C957F2D
 _BATCH_BYTES = 1 << 20
 _MEMBERS = 1 << 18
@@ -81,6 +83,16 @@ def _distinct_texts(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, written(texts.withColumn("tid", F.monotonically_increasing_id()), "suffix-texts")
 
 
+def _cut(text: bytes, wanted: Listed, unwanted: Listed | None, names: np.ndarray, at: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """(anchor, start, place of the anchor in it, fragment) for the anchors that one bitmap lists and the other does not."""
+    keep = wanted.may_contain(names.view(np.uint64))
+    if unwanted is not None:
+        keep &= ~unwanted.may_contain(names.view(np.uint64))
+    i = np.flatnonzero(keep)
+    end = np.append(first[1:], len(text) - LENGTH + 1) + LENGTH - 1
+    return [(a, s, p - s, text[s:e]) for a, p, s, e in zip(names[i].tolist(), at[i].tolist(), first[i].tolist(), end[i].tolist(), strict=True)]
+
+
 def _fragments(texts: DataFrame, wanted, unwanted=None) -> DataFrame:
     """The surroundings of the anchors that one bitmap lists and the other does not."""
 
@@ -88,14 +100,7 @@ def _fragments(texts: DataFrame, wanted, unwanted=None) -> DataFrame:
         for batch in sliced(batches, 128):
             out = []
             for tid, text, *lists in zip(batch.column("tid").to_pylist(), batches_of(batch, "text"), *(batch.column(c) for c in ("hash", "at", "first")), strict=True):
-                names, at, first = (x.values.to_numpy() for x in lists)
-                keep = wanted.value.may_contain(names.view(np.uint64))
-                if unwanted is not None:
-                    keep &= ~unwanted.value.may_contain(names.view(np.uint64))
-                if keep.any():
-                    end = np.append(first[1:], len(text) - LENGTH + 1) + LENGTH - 1
-                    i = np.flatnonzero(keep)
-                    out += [(a, tid, s, p - s, text[s:e]) for a, p, s, e in zip(names[i].tolist(), at[i].tolist(), first[i].tolist(), end[i].tolist(), strict=True)]
+                out += [(a, tid, s, p, piece) for a, s, p, piece in _cut(text, wanted.value, unwanted and unwanted.value, *(x.values.to_numpy() for x in lists))]
             if out:
                 cols = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -221,10 +226,48 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.concatenate(tids)), pa.array(np.concatenate(at))], ["digest", "tid", "s"])
 
 
-def _hot_runs(texts: DataFrame, hot, most: int) -> DataFrame:
-    """(tid, own) at anchors with very many fragments: one row for each place, with all runs of its fragment."""
+class _Kinds:
+    """The runs of distinct fragments, found by the first 16 bytes of their SHA-256."""
+
+    def __init__(self, rows: list[tuple[bytes, list]]):
+        keys = np.frombuffer(b"".join(k for k, _ in rows), dtype=np.uint64).reshape(-1, 2)
+        by = np.lexsort((keys[:, 1], keys[:, 0]))
+        self.keys = keys[by]
+        sizes = np.array([len(rows[i][1]) for i in by.tolist()], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.runs = np.array([r for i in by.tolist() for r in rows[i][1]], dtype=np.int32).reshape(-1, 2)
+
+    def of(self, at: int, fragment: bytes) -> np.ndarray:
+        key = np.frombuffer(hashlib.sha256(b"%d:" % at + fragment).digest()[:16], dtype=np.uint64)
+        i = int(np.searchsorted(self.keys[:, 0], key[0]))
+        while i < len(self.keys) and self.keys[i, 0] == key[0]:
+            if self.keys[i, 1] == key[1]:
+                return self.runs[self.first[i] : self.first[i + 1]]
+            i += 1
+        return self.runs[:0]
+
+
+def _own_runs(texts: DataFrame, hot, kinds) -> DataFrame:
+    """(tid, own) of the texts with runs at hot anchors, from a broadcast of the kinds' runs."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 128):
+            tids, runs = [], []
+            for tid, text, *lists in zip(batch.column("tid").to_pylist(), batches_of(batch, "text"), *(batch.column(c) for c in ("hash", "at", "first")), strict=True):
+                own = [{"s": s + a, "e": s + b} for _, s, at, piece in _cut(text, hot.value, None, *(x.values.to_numpy() for x in lists)) for a, b in kinds.value.of(at, piece).tolist()]
+                if own:
+                    tids.append(tid)
+                    runs.append(own)
+            if tids:
+                yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(runs, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], ["tid", "own"])
+
+    return texts.select("tid", "text", "hash", "at", "first").mapInArrow(look, "tid long, own array<struct<s:int,e:int>>")
+
+
+def _hot_runs(texts: DataFrame, hot, most: int, most_broadcast: int) -> DataFrame:
+    """(tid, own): all runs of a text at anchors with very many fragments."""
     fid = F.sha2(F.concat(F.col("at").cast("string").cast("binary"), F.lit(":").cast("binary"), "bytes"), 256).alias("fid")
-    places = written(_fragments(texts, hot).select("anchor", "tid", "s", "at", "bytes", fid), "suffix-hot")
+    places = _fragments(texts, hot).select("anchor", "tid", "s", "at", "bytes", fid)
     # the number of a distinct fragment stands in for the text in what follows
     kinds = places.groupBy("fid").agg(F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.first("at").alias("at"), F.first("bytes").alias("bytes"))
     kinds = written(kinds.select(F.monotonically_increasing_id().alias("tid"), F.lit(0).alias("s"), "*"), "suffix-kinds")
@@ -238,13 +281,19 @@ def _hot_runs(texts: DataFrame, hot, most: int) -> DataFrame:
     whole = F.when(F.col("n") > 1, F.array(F.struct("s", (F.octet_length("bytes") - LENGTH).cast("int").alias("e"))))
     runs = kinds.join(own, "tid", "left").select("fid", F.coalesce(whole, "own").alias("own")).where("own IS NOT NULL")
     found = written(runs, "suffix-hot-runs")
-    shifted = F.transform("own", lambda r: F.struct((F.col("s") + r["s"]).alias("s"), (F.col("s") + r["e"]).alias("e")))
-    out = written(places.select("fid", "tid", "s").join(found, "fid").select("tid", shifted.alias("own")), "suffix-hot-places")
-    discard(places, kinds, many, strings, again, found)
+    size = found.agg(F.count("*"), F.coalesce(F.sum(F.size("own")), F.lit(0))).first()
+    if size[0] <= most_broadcast and size[1] <= 4 * most_broadcast:
+        rows = [(bytes.fromhex(r["fid"])[:16], [(x["s"], x["e"]) for x in r["own"]]) for r in found.toLocalIterator()]
+        out = _own_runs(texts, hot, texts.sparkSession.sparkContext.broadcast(_Kinds(rows)))
+    else:
+        shifted = F.transform("own", lambda r: F.struct((F.col("s") + r["s"]).alias("s"), (F.col("s") + r["e"]).alias("e")))
+        out = written(places.select("fid", "tid", "s"), "suffix-places").join(found, "fid").select("tid", shifted.alias("own"))
+    out = written(out, "suffix-hot")
+    discard(kinds, many, strings, again, found)
     return out
 
 
-def repeated_strings(texts: DataFrame, most: int = HOT) -> DataFrame:
+def repeated_strings(texts: DataFrame, most: int = HOT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Per text (tid): ``runs``, the ranges of starts of repeated strings."""
     counts = written(texts.select(F.explode("hash").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-anchors")
     spark = texts.sparkSession
@@ -255,7 +304,7 @@ def repeated_strings(texts: DataFrame, most: int = HOT) -> DataFrame:
         found = _solved(_fragments(texts, repeated)).select("tid", one)
     else:
         hot = spark.sparkContext.broadcast(listed(above, "h"))
-        found = _solved(_fragments(texts, repeated, hot)).select("tid", one).union(_hot_runs(texts, hot, most))
+        found = _solved(_fragments(texts, repeated, hot)).select("tid", one).union(_hot_runs(texts, hot, most, most_broadcast))
     return written(found.groupBy("tid").agg(F.flatten(F.collect_list("own")).alias("runs")), "suffix-runs")
 
 
@@ -291,11 +340,11 @@ def _cut_texts(texts: DataFrame, runs: DataFrame, digest_only: bool) -> DataFram
     return written(made, "suffix-cut")
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False, most: int = HOT) -> DataFrame:
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False, most: int = HOT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and the remaining bytes (or their SHA-256)."""
     keyed = _keyed(documents, id_col, text_col)
     reps, texts = _distinct_texts(keyed)
-    runs = repeated_strings(texts, most)
+    runs = repeated_strings(texts, most, most_broadcast)
     made = _cut_texts(texts, runs, digest_only)
     discard(texts, runs)
     # a text of several rows loses everything, whatever its strings say

@@ -39,11 +39,11 @@ def test_rows_equal_duckdb(name, compare):
     compare(QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 8, 1])
-def test_suffix_dedup_equals_counting_all_strings(spark, hot):
+@pytest.mark.parametrize("hot, sent", [(suffix_dedup.HOT, 9), (8, 10**6), (1, 10**6), (4, 0)])
+def test_suffix_dedup_equals_counting_all_strings(spark, hot, sent):
     texts = copies()
-    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs(spark, texts), digest_only=True, most=hot).collect()}
-    kept = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(docs(spark, texts), most=hot).collect()}
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs(spark, texts), digest_only=True, most=hot, most_broadcast=sent).collect()}
+    kept = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(docs(spark, texts), most=hot, most_broadcast=sent).collect()}
     assert {i: hashlib.sha256(b).hexdigest() for i, b in kept.items()} == {i: r["kept_sha256"] for i, r in got.items()}
     raw = [(t or "").encode() for t in texts]
     count = Counter(x[s : s + 400] for x in raw for s in range(len(x) - 399))
