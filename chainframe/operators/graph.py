@@ -50,8 +50,8 @@ def closure(roots: DataFrame, parents: DataFrame) -> DataFrame:
 
 def group_summary(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """(group, size, internal, crossing): groups numbered by size and then their smallest member."""
-    sizes = groups.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("first")).withColumn("_o", -F.col("size"))
-    numbered = global_ordinal(sizes, ["_o", "first"], "group_no").withColumn("group_no", F.col("group_no") + 1).drop("_o")
+    sizes = groups.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("first")).withColumn("_by", -F.col("size"))
+    numbered = global_ordinal(sizes, ["_by", "first"], "group_no").withColumn("group_no", F.col("group_no") + 1).drop("_by")
     label = lambda end, name: groups.select(F.col("node").alias(end), F.col("label").alias(name))
     joined = edges.join(label("signer_a", "la"), "signer_a").join(label("signer_b", "lb"), "signer_b")
     ends = joined.select(F.col("la").alias("label"), (F.col("la") == F.col("lb")).alias("inside")).union(joined.where("la <> lb").select(F.col("lb").alias("label"), F.lit(False).alias("inside")))

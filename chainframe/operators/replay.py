@@ -1,26 +1,28 @@
-"""Causal replay: cooldowns, delays, order life cycles and valuations.
+"""Causal replay: cooldowns, venue states, and funds that refuse what they do not cover.
 
 Own orders never change a venue's state here, so timing and quotes are plain
-joins against the clock and the venues' states.  Round trips are simulated with
-unlimited funds: no wallet is reserved from, charged or checked.
+joins against the clock and the venues' states.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import pricing
-from ..functions.exact import boundary
-from .clock import after_transactions, first_block_at
-from .ordered import asof
-
 
 def cooldown(events: DataFrame, key: str, at: str, seconds: int, tie: str) -> DataFrame:
     """Greedy per key: an accepted event blocks later ones for ``seconds``; blocked ones block nothing.
 
-    The rule is sequential, so each key's times are folded in order inside one row.
+    An event that comes ``seconds`` or more after the one before it, accepted
+    or not, is always accepted, so a key falls into segments there; the rule is
+    sequential only within a segment, which is folded inside one row.
     """
+    order = Window.partitionBy(key).orderBy(at, tie)
+    fresh = F.coalesce((F.col(at) - F.lag(at).over(order) >= seconds).cast("int"), F.lit(1))
+    cut = events.withColumn("_new", fresh).withColumn("_segment", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     entry = F.struct(F.col(at).alias("t"), F.col(tie).alias("id"))
     zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("ids"))
 
@@ -28,91 +30,48 @@ def cooldown(events: DataFrame, key: str, at: str, seconds: int, tie: str) -> Da
         free = acc["last"].isNull() | (x["t"] >= acc["last"] + seconds)
         return F.when(free, F.struct(x["t"].alias("last"), F.concat(acc["ids"], F.array(x["id"])).alias("ids"))).otherwise(acc)
 
-    lists = events.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("l"))
+    lists = cut.groupBy(key, "_segment").agg(F.array_sort(F.collect_list(entry)).alias("l"))
     kept = lists.select(F.explode(F.aggregate("l", zero, step, lambda a: a["ids"])).alias(tie))
     return events.join(kept, tie)
 
 
-def venue_states(curve: DataFrame) -> DataFrame:
-    """The state after each whole transaction: nothing between is ever seen."""
-    return curve.groupBy("venue", "boundary").agg(F.max_by(F.struct("vt", "vq"), "event_id").alias("s")).select("venue", F.col("boundary").alias("state_at"), "s.vt", "s.vq")
+def venue_states(curve: DataFrame, life: DataFrame) -> DataFrame:
+    """The state after each whole transaction: nothing between is ever seen.
+
+    ``life`` has per venue where it was completed and migrated, if it was.
+    """
+    last = curve.groupBy("venue", "boundary").agg(F.max_by(F.struct("vt", "vq"), "event_id").alias("s"))
+    lifecycle = F.when(F.col("boundary") >= F.col("migrated_at"), "MIGRATED").when(F.col("boundary") >= F.col("completed_at"), "COMPLETED").otherwise("ACTIVE")
+    return last.join(life, "venue", "left").select("venue", F.col("boundary").alias("state_at"), "s.vt", "s.vq", lifecycle.alias("lifecycle"))
 
 
-def _with_state(orders: DataFrame, states: DataFrame, at: str, prefix: str) -> DataFrame:
-    found = asof(orders, states, ["venue"], at, "state_at", ["vt", "vq"])
-    known = found.withColumn(f"{prefix}vt", F.coalesce("vt", F.lit(pricing.VIRTUAL_TOKEN))).withColumn(f"{prefix}vq", F.coalesce("vq", F.lit(pricing.VIRTUAL_QUOTE)))
-    return known.drop("vt", "vq")
+def transition_errors(states: DataFrame) -> DataFrame:
+    """States that do not follow from the one before them in their venue: ACTIVE, COMPLETED, MIGRATED, never back and none left out; reserves below what separates virtual from real."""
+    rank = lambda c: F.when(c == "MIGRATED", 2).when(c == "COMPLETED", 1).otherwise(0)
+    before = F.lag("lifecycle").over(Window.partitionBy("venue").orderBy("state_at"))
+    step = rank(F.col("lifecycle")) - rank(F.coalesce(before, F.lit("ACTIVE")))
+    return states.withColumn("step", step).where("step < 0 OR step > 1 OR vt <= 0 OR vq <= 0").drop("step")
 
 
-def snipe(launches: DataFrame, clock: DataFrame, states: DataFrame, budget: int, cooldown_s: int, buy_delay: int, hold_s: int, sell_delay: int, slippage_bps: int) -> DataFrame:
-    """One round trip per accepted launch: buy, hold, sell, with its status.
+def funded(acts: DataFrame, account: str, order: list[str], amount: str, opening: int) -> DataFrame:
+    """Actions in order with ``accepted`` and the ``balance`` after them; what the funds do not cover is refused and changes nothing.
 
-    Orders whose path leaves the clock are HORIZON_EXHAUSTED.
-    """
-    taken = cooldown(launches, "developer", "t", cooldown_s, "event_id").select("event_id", "venue", "boundary", "block_ordinal", "transaction_index")
-    quote = lambda p: pricing.buy_quote(F.lit(budget), F.col(f"{p}vt"), F.col(f"{p}vq"), F.col(f"{p}vt") - pricing.TOKEN_OFFSET)["out"]
-    ref = _with_state(taken, states, "boundary", "r_").withColumn("reference", quote("r_"))
-    landed = after_transactions(ref.select("event_id", "block_ordinal", "transaction_index"), clock, buy_delay).select("event_id", F.col("landing_block").alias("buy_block"), boundary(F.col("landing_block"), F.col("landing_index")).alias("buy_at"))
-    bought = ref.join(landed, "event_id", "left")
-    bought = _with_state(bought.withColumn("buy_at", F.coalesce("buy_at", F.lit(0).cast("long"))), states, "buy_at", "b_").withColumn("tokens", quote("b_"))
-    ok = F.col("tokens") >= pricing.minimum_output(F.col("reference"), slippage_bps)
-    bought = bought.withColumn("filled", (F.col("buy_at") > 0) & ok)
-    due = bought.where("filled").select("event_id", "buy_block", (F.col("buy_block") * 60 + hold_s).alias("due"))
-    decided = first_block_at(due, clock, "event_id", "due", "buy_block").select("event_id", F.col("found_block").alias("block_ordinal"), F.lit(0).cast("long").alias("transaction_index")).where("block_ordinal IS NOT NULL")
-    sold = after_transactions(decided, clock, sell_delay).select("event_id", boundary(F.col("landing_block"), F.col("landing_index")).alias("sell_at"))
-    out = bought.join(sold, "event_id", "left").withColumn("sell_at", F.coalesce("sell_at", F.lit(0).cast("long")))
-    out = _with_state(out, states, "sell_at", "s_")
-    proceeds = pricing.sell_quote(F.col("tokens"), F.col("s_vt"), F.col("s_vq"), F.col("s_vq"))["net"]
-    status = (
-        F.when(F.col("buy_at") == 0, "HORIZON_EXHAUSTED")
-        .when(~F.col("filled"), "BUY_LANDED_FAILED")
-        .when(F.col("sell_at") == 0, "OPEN_AT_HORIZON")
-        .otherwise("CLOSED")
-    )
-    return out.select(F.col("event_id").alias("roundtrip_id"), "venue", "buy_at", "sell_at", F.col("reference").cast("long").alias("reference"), F.col("tokens").cast("long").alias("tokens"), status.alias("status"), F.when(status == "CLOSED", (proceeds - budget).cast("long")).alias("pnl"))
-
-
-def mark_to_market(open_positions: DataFrame, states: DataFrame, horizon: int) -> DataFrame:
-    """The value of what is still held at the horizon, from the venue's last state."""
-    last = states.where(F.col("state_at") <= horizon).groupBy("venue").agg(F.max_by(F.struct("vt", "vq"), "state_at").alias("s"))
-    joined = open_positions.join(last, "venue", "left")
-    value = pricing.sell_quote(F.col("tokens"), F.col("s.vt"), F.col("s.vq"), F.col("s.vq"))["net"].cast("long")
-    return joined.select(*open_positions.columns, value.alias("value"), F.when(F.col("s").isNull(), "UNAVAILABLE").otherwise("EXECUTABLE").alias("valuation"))
-
-
-def running_balance(actions: DataFrame, account: str, order: list[str], amount: str) -> DataFrame:
-    """The balance after each action; it must never be negative for a plan without the sequential fold to hold."""
-    w = Window.partitionBy(account).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return actions.withColumn("balance", F.sum(F.col(amount).cast("decimal(38,0)")).over(w))
-
-
-def funded(actions, account: str, order: list[str], amount: str, opening: int, kind: str = "long") -> DataFrame:
-    """Actions in order; one that the funds do not cover is refused and changes nothing.
-
-    Sequential per account, so a grouped function folds each account's actions.
+    Sequential per account: a task streams through one account after the other and holds a balance.
     """
-
-    def fold(pdf):
-        pdf = pdf.sort_values(order)
-        left, took = opening, []
-        for x in pdf[amount]:
-            take = left + x >= 0
-            took.append(take)
-            left += x if take else 0
-        return pdf.assign(accepted=took)
-
-    schema = ", ".join(f"{n} {t}" for n, t in actions.dtypes) + ", accepted boolean"
-    return actions.groupBy(account).applyInPandas(lambda pdf: fold(pdf), schema)
-
-
-def copy_positions(signals: DataFrame, curve: DataFrame, clock: DataFrame, stop_bps: int, take_bps: int, hold_s: int) -> DataFrame:
-    """One position per venue from its first signal; the first of stop, take and deadline ends it, stop before take."""
-    entry = signals.groupBy("venue").agg(F.min(F.struct("boundary", "event_id", "t", "vt", "vq")).alias("e")).select("venue", *(F.col(f"e.{c}").alias(f"e_{c}") for c in ("boundary", "event_id", "t", "vt", "vq")))
-    due = first_block_at(entry.select("venue", (F.col("e_t") + hold_s).alias("due"), F.expr("e_t div 60").alias("after")), clock, "venue", "due", "after").select("venue", F.shiftleft("found_block", 32).alias("deadline"))
-    later = curve.join(entry, "venue").where("boundary > e_boundary")
-    args = (F.col("vq"), F.col("vt"), F.col("e_vq"), F.col("e_vt"))
-    reason = F.when(pricing.price_reaches(*args, stop_bps, False), "STOP_LOSS").when(pricing.price_reaches(*args, take_bps, True), "TAKE_PROFIT")
-    hits = later.withColumn("reason", reason).where("reason IS NOT NULL").groupBy("venue").agg(F.min(F.struct("boundary", "event_id", "reason")).alias("h"))
-    out = entry.join(due, "venue").join(hits, "venue", "left")
-    by_price = F.col("h").isNotNull() & (F.col("deadline").isNull() | (F.col("h.boundary") < F.col("deadline")))
-    return out.select("venue", F.col("e_event_id").alias("signal"), F.when(by_price, F.col("h.boundary")).otherwise(F.col("deadline")).alias("exit_at"), F.when(by_price, F.col("h.reason")).when(F.col("deadline").isNotNull(), "MAXIMUM_HOLD").otherwise("OPEN").alias("reason"))
+    names = acts.columns
+    schema = ", ".join(f"`{n}` {t}" for n, t in acts.dtypes) + ", accepted boolean, balance long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, left, first = None, opening, True
+        for batch in batches:
+            accepted, balance = [], []
+            for owner, x in zip(batch.column(names.index(account)).to_pylist(), batch.column(names.index(amount)).to_pylist(), strict=True):
+                if first or owner != name:
+                    name, left, first = owner, opening, False
+                take = left + x >= 0
+                left += x if take else 0
+                accepted.append(take)
+                balance.append(left)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_()), pa.array(balance, pa.int64())], [*names, "accepted", "balance"])
+
+    return acts.repartition(account).sortWithinPartitions(account, *order).mapInArrow(run, schema)

@@ -109,7 +109,7 @@ def global_ordinal(df: DataFrame, order: list[str], name: str = "row_id", parts:
     # the partition and the place in it; both are taken in the same task
     local = stored(ranged.withColumn("_id", F.monotonically_increasing_id()), "ordinal")
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    sizes = local.groupBy(part.alias("_pid")).agg(F.count("*").alias("_s"))
+    sizes = local.groupBy(part.alias("_chunk")).agg(F.count("*").alias("_size"))
     # one row for each partition
-    offset = sizes.select("_pid", F.coalesce(F.sum("_s").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    return local.withColumn("_pid", part).join(F.broadcast(offset), "_pid").withColumn(name, (F.col("_o") + place).cast("long")).drop("_pid", "_id", "_o")
+    offset = sizes.select("_chunk", F.coalesce(F.sum("_size").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    return local.withColumn("_chunk", part).join(F.broadcast(offset), "_chunk").withColumn(name, (F.col("_offset") + place).cast("long")).drop("_chunk", "_id", "_offset")

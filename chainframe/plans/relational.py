@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exact, pricing, text
 from ..operators import graph, guards, ordered, paging, quality, research
 from ..operators.variants import dedup_with_variants, zero_filled
-from ..sources.adapters import MODES, Tables
+from ..sources.adapters import MODES, RANGE, Tables
 from .registry import query
 
 DAYS_30 = 30 * 86_400
@@ -280,19 +280,21 @@ _ASOF = "SELECT l.event_id, r.boundary AS available, r.amount FROM launches l AS
 @query("join_asof_scalar", _ASOF)
 def join_asof_scalar(t: Tables) -> DataFrame:
     right = t.trades.groupBy("venue", "boundary").agg(F.max("amount").alias("amount")).withColumnRenamed("boundary", "available")
-    return ordered.asof(t.launches.select("event_id", "venue", "boundary"), right.withColumn("seen", F.col("available")), ["venue"], "boundary", "available", ["seen", "amount"]).select("event_id", F.col("seen").alias("available"), "amount")
+    return ordered.asof(t.launches.select("event_id", "venue", "boundary"), right.withColumn("seen", F.col("available")), ["venue"], "boundary", "available", ["seen", "amount"], width=RANGE).select("event_id", F.col("seen").alias("available"), "amount")
 
 
 @query("join_asof_marker", "SELECT l.event_id, r.vq FROM launches l ASOF LEFT JOIN (SELECT venue, boundary, max(vq) AS vq FROM curve GROUP BY 1, 2) r ON l.venue = r.venue AND l.boundary >= r.boundary")
 def join_asof_marker(t: Tables) -> DataFrame:
     right = t.curve.groupBy("venue", "boundary").agg(F.max("vq").alias("vq")).withColumnRenamed("boundary", "at")
-    return ordered.asof(t.launches.select("event_id", "venue", "boundary"), right, ["venue"], "boundary", "at", ["vq"]).select("event_id", "vq")
+    return ordered.asof(t.launches.select("event_id", "venue", "boundary"), right, ["venue"], "boundary", "at", ["vq"], width=RANGE).select("event_id", "vq")
 
 
-@query("join_asof_feature", "SELECT t.event_id, CASE WHEN t.boundary >= p.boundary + 1000 THEN p.amount END AS feature FROM trades t JOIN positions p ON p.event_id = t.event_id - 1")
+@query("join_asof_feature", "SELECT t.event_id, p.available, p.v AS feature FROM trades t ASOF LEFT JOIN (SELECT user_id % 20 AS venue, boundary + 1000 AS available, max(amount) AS v FROM positions GROUP BY 1, 2) p ON t.venue = p.venue AND t.boundary >= p.available")
 def join_asof_feature(t: Tables) -> DataFrame:
-    f = t.positions.select((F.col("event_id") + 1).alias("event_id"), (F.col("boundary") + 1000).alias("available"), F.col("amount").alias("v"))
-    return t.trades.select("event_id", "boundary").join(f, "event_id").select("event_id", F.when(F.col("boundary") >= F.col("available"), F.col("v")).alias("feature"))
+    """The newest feature of the venue that had become available, whoever the event was of."""
+    f = t.positions.groupBy((F.col("user_id") % 20).alias("venue"), (F.col("boundary") + 1000).alias("available")).agg(F.max("amount").alias("v"))
+    found = ordered.asof(t.trades.select("event_id", "venue", "boundary"), f.withColumn("seen", F.col("available")), ["venue"], "boundary", "available", ["seen", "v"], width=RANGE)
+    return found.select("event_id", F.col("seen").alias("available"), F.col("v").alias("feature"))
 
 
 _UNIVERSE = "SELECT venue, block_ordinal AS eligible_from, block_ordinal + 200 AS eligible_until, max(event_id) AS model FROM launches GROUP BY 1, 2"
@@ -301,7 +303,7 @@ _UNIVERSE = "SELECT venue, block_ordinal AS eligible_from, block_ordinal + 200 A
 @query("join_interval_universe", f"SELECT t.event_id, CASE WHEN t.block_ordinal < u.eligible_until THEN u.model END AS model FROM trades t ASOF LEFT JOIN ({_UNIVERSE}) u ON t.venue = u.venue AND t.block_ordinal >= u.eligible_from")
 def join_interval_universe(t: Tables) -> DataFrame:
     u = t.launches.groupBy("venue", F.col("block_ordinal").alias("eligible_from")).agg(F.max("event_id").alias("model")).withColumn("eligible_until", F.col("eligible_from") + 200)
-    return ordered.interval_lookup(t.trades.select("event_id", "venue", "block_ordinal"), u, ["venue"], "block_ordinal", "eligible_from", "eligible_until", ["model"]).select("event_id", "model")
+    return ordered.interval_lookup(t.trades.select("event_id", "venue", "block_ordinal"), u, ["venue"], "block_ordinal", "eligible_from", "eligible_until", ["model"], width=256).select("event_id", "model")
 
 
 @query("join_interval_schedule", "SELECT event_id, coalesce(s.shard, -1) AS model FROM trades LEFT JOIN shards s ON event_id >= s.lo AND event_id < s.lo + 10")
@@ -519,17 +521,32 @@ def agg_evidence_proofs(t: Tables) -> DataFrame:
     return t.positions.groupBy((F.col("block_ordinal") % 10).alias("k")).agg(quality.three_valued(F.bool_and(F.col("amount") < 20000), known).alias("proof"))
 
 
-@query("agg_evidence_digest")
+_PARTS = ", ".join(f"CAST(sum(CAST(('0x' || substr(d, {1 + 8 * i}, 8)) AS BIGINT)) AS HUGEINT)" for i in range(8))
+
+
+@query("agg_evidence_digest", f"""SELECT count(*) AS n, sha256(concat_ws(':', count(*), {_PARTS})) AS digest FROM (SELECT sha256('{{"event_id":' || event_id || ',"boundary":' || boundary || ',"amount":' || amount || '}}') AS d FROM trades)""")
 def agg_evidence_digest(t: Tables) -> DataFrame:
     return quality.unordered_digest(t.trades, "event_id", "boundary", "amount")
 
 
-@query("agg_stream_digest")
+def _ordered_sql(rows: str, domain: str) -> str:
+    """Digests of 1024 digests each, three times, then of what is left."""
+    level = f"SELECT row_number() OVER (ORDER BY boundary, event_id) - 1 AS i, d, 1 AS n FROM ({rows})"
+    for _ in range(3):
+        level = f"SELECT i // 1024 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d, sum(n) AS n FROM ({level}) GROUP BY i // 1024"
+    return f"SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n, sha256('{domain}' || chr(0) || string_agg(d, '' ORDER BY i)) AS digest FROM ({level})"
+
+
+@query("agg_stream_digest", _ordered_sql("""SELECT boundary, event_id, sha256('{"event_id":' || event_id || ',"boundary":' || boundary || ',"amount":' || amount || '}') AS d FROM trades""", "stream"))
 def agg_stream_digest(t: Tables) -> DataFrame:
     return quality.ordered_digest(t.trades, ["boundary", "event_id"], "event_id", "boundary", "amount")
 
 
-@query("agg_snapshot_hash")
+_SNAPSHOT = """SELECT boundary, event_id, sha256('{"boundary":' || boundary || ',"event_id":' || event_id || ',"amount":' || coalesce(CAST(amount AS VARCHAR), 'null') || '}') AS d
+ FROM (SELECT boundary, event_id, NULL AS amount FROM launches UNION ALL SELECT boundary, event_id, amount FROM trades)"""
+
+
+@query("agg_snapshot_hash", _ordered_sql(_SNAPSHOT, "snapshot"))
 def agg_snapshot_hash(t: Tables) -> DataFrame:
     both = t.launches.select("boundary", "event_id").unionByName(t.trades.select("boundary", "event_id", "amount"), allowMissingColumns=True)
     return quality.ordered_digest(both, ["boundary", "event_id"], "boundary", "event_id", "amount", domain="snapshot")

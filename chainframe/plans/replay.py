@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pricing
-from ..operators import replay
+from ..operators import copying, replay, roundtrips
 from ..operators.clock import after_transactions, first_block_at
-from ..sources.adapters import Tables
+from ..operators.roundtrips import Terms
+from ..sources.adapters import RANGE, Tables
 from .registry import query
 
-COOLDOWN, BUY_DELAY, HOLD, SELL_DELAY, SLIPPAGE, BUDGET = 21_600, 5, 120, 3, 50, 1_000_000
+COOLDOWN = 21_600
+TERMS = Terms(budget=20_000, opening=20_000_000, cooldown_s=COOLDOWN, buy_delay=5, hold_s=120, sell_delay=3, buy_slippage_bps=0, sell_slippage_bps=0, buy_fee=7_000, sell_fee=6_000, mint_deposit=2_039_280, wallet_deposit=1_844_400)
+WALLETS = 8
 
 _COOL = f"""WITH RECURSIVE l AS (SELECT event_id, developer, venue, boundary, block_ordinal, transaction_index, t, row_number() OVER (PARTITION BY developer ORDER BY t, event_id) AS rn FROM launches),
  nx AS (SELECT a.event_id, min(b.rn) AS nrn, a.developer FROM l a JOIN l b ON a.developer = b.developer AND b.t >= a.t + {COOLDOWN} AND b.rn > a.rn GROUP BY a.event_id, a.developer),
@@ -96,15 +101,27 @@ def st_next_eligible(t: Tables) -> DataFrame:
     return t.trades.select("event_id", F.greatest("boundary", F.shiftleft("block_ordinal", 32) + 2).alias("eligible"))
 
 
-@query("st_pool_state", "SELECT event_id, vt, vq FROM curve")
+_POOL = f"""SELECT l.event_id, coalesce(h.vq, {pricing.VIRTUAL_QUOTE}) AS historical_vq, coalesce(o.vq, {pricing.VIRTUAL_QUOTE}) AS observed_vq,
+ CASE WHEN coalesce(h.lifecycle, 'ACTIVE') = 'ACTIVE' THEN coalesce(h.vq, {pricing.VIRTUAL_QUOTE}) + 987654 ELSE h.vq END AS simulated_vq
+ FROM launches l ASOF LEFT JOIN states h ON l.venue = h.venue AND l.boundary >= h.state_at ASOF LEFT JOIN states o ON l.venue = o.venue AND ((l.block_ordinal - 3) << 32) + 4294967295 >= o.state_at"""
+
+
+@query("st_pool_state", _POOL)
 def st_pool_state(t: Tables) -> DataFrame:
-    return t.curve.select("event_id", "vt", "vq")
+    """Three states of a launch's venue: as it is, as it was observed three blocks ago, and with an own purchase of 987,654 on top, which lasts until the next event."""
+    l = t.launches.withColumn("seen", F.shiftleft(F.col("block_ordinal") - 3, 32) + 4294967295)  # noqa: E741
+    rows = roundtrips.at_states(l, t.states, "event_id", {"historical": "boundary", "observed": "seen"}, RANGE)
+    own = F.when(F.col("historical.lifecycle") == "ACTIVE", F.col("historical.vq") + 987_654).otherwise(F.col("historical.vq"))
+    return rows.select("event_id", F.col("historical.vq").alias("historical_vq"), F.col("observed.vq").alias("observed_vq"), own.alias("simulated_vq"))
 
 
-@query("st_curve_state", "SELECT venue, arg_max(vt, (boundary, event_id)) AS vt, arg_max(vq, (boundary, event_id)) AS vq, count(*) AS events FROM curve GROUP BY 1")
+@query("st_curve_state", """SELECT s.venue, arg_max(lifecycle, state_at) AS lifecycle, arg_max(vt, state_at) AS vt, arg_max(vq, state_at) AS vq, arg_max(vq, state_at) FILTER (WHERE lifecycle = 'ACTIVE') AS last_active_vq,
+ count(*) AS states, CAST(0 AS BIGINT) AS invalid FROM states s GROUP BY 1""")
 def st_curve_state(t: Tables) -> DataFrame:
-    last = F.struct("boundary", "event_id")
-    return t.curve.groupBy("venue").agg(F.max_by("vt", last).alias("vt"), F.max_by("vq", last).alias("vq"), F.count("*").alias("events"))
+    """Per venue where its curve has come to; ``invalid`` counts states that no allowed step leads to."""
+    ends = roundtrips.final_states(t.states).select("venue", "s_last.lifecycle", "s_last.vt", "s_last.vq", F.col("s_active.vq").alias("last_active_vq"))
+    bad = replay.transition_errors(t.states).groupBy("venue").agg(F.count("*").alias("invalid"))
+    return ends.join(t.states.groupBy("venue").agg(F.count("*").alias("states")), "venue").join(bad, "venue", "left").withColumn("invalid", F.coalesce("invalid", F.lit(0)).cast("long"))
 
 
 _FIRSTSWAP = "WITH s AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY boundary, event_id) AS rn FROM trades WHERE side = 'SELL') SELECT s.venue, s.event_id, min(c.block_ordinal) AS executes, s.amount - s.amount * 30 // 10000 AS effective FROM s JOIN clock c ON c.transaction_count > 0 AND c.block_ordinal > s.block_ordinal WHERE rn = 1 GROUP BY ALL"
@@ -119,71 +136,242 @@ def st_reference_engine(t: Tables) -> DataFrame:
     return found.select("venue", "event_id", F.col("found_block").alias("executes"), (F.col("amount") - F.expr("amount * 30 div 10000")).alias("effective"))
 
 
-_F = BUDGET * 10_000 // 10_125
-_U = max(0, _F - max(0, _F + -(-_F * 95 // 10_000) + -(-_F * 30 // 10_000) - BUDGET) - 1)
-_Q = f"({_U}::HUGEINT * coalesce({{p}}.vt, {pricing.VIRTUAL_TOKEN})) // (coalesce({{p}}.vq, {pricing.VIRTUAL_QUOTE}) + {_U})"
-_SNIPE = f"""{_COOL}, st AS (SELECT venue, boundary, arg_max(vt, event_id) AS vt, arg_max(vq, event_id) AS vq FROM curve GROUP BY 1, 2),
- tk AS (SELECT l.* FROM l JOIN acc USING (event_id)),
- r AS (SELECT tk.*, {_Q.format(p='s')} AS reference FROM tk ASOF LEFT JOIN st s ON tk.venue = s.venue AND tk.boundary >= s.boundary),
- bl AS (SELECT r.event_id, c2.block_ordinal AS bb, (c2.block_ordinal << 32) + c.prefix + r.transaction_index + {BUY_DELAY} - c2.prefix + 1 AS buy_at FROM r JOIN clock c USING (block_ordinal) JOIN clock c2 ON c2.prefix <= c.prefix + r.transaction_index + {BUY_DELAY} AND c.prefix + r.transaction_index + {BUY_DELAY} < c2.prefix + c2.transaction_count),
- b1 AS (SELECT r.*, bl.bb, coalesce(bl.buy_at, 0) AS buy_at FROM r LEFT JOIN bl USING (event_id)),
- b2 AS (SELECT b1.*, {_Q.format(p='s')} AS tokens FROM b1 ASOF LEFT JOIN st s ON b1.venue = s.venue AND b1.buy_at >= s.boundary),
- b3 AS (SELECT *, buy_at > 0 AND tokens >= reference * {10_000 - SLIPPAGE} // 10000 AS filled FROM b2),
- dc AS (SELECT b3.event_id, min(c.block_ordinal) AS db FROM b3 JOIN clock c ON c.transaction_count > 0 AND c.block_ordinal > bb AND c.block_time_s >= bb * 60 + {HOLD} WHERE filled GROUP BY 1),
- sl AS (SELECT dc.event_id, (c2.block_ordinal << 32) + c.prefix + {SELL_DELAY} - c2.prefix + 1 AS sell_at FROM dc JOIN clock c ON c.block_ordinal = db JOIN clock c2 ON c2.prefix <= c.prefix + {SELL_DELAY} AND c.prefix + {SELL_DELAY} < c2.prefix + c2.transaction_count),
- s1 AS (SELECT b3.*, coalesce(sl.sell_at, 0) AS sell_at FROM b3 LEFT JOIN sl USING (event_id)),
- s2 AS (SELECT s1.*, (tokens * coalesce(s.vq, {pricing.VIRTUAL_QUOTE})) // (coalesce(s.vt, {pricing.VIRTUAL_TOKEN}) + tokens) AS gr FROM s1 ASOF LEFT JOIN st s ON s1.venue = s.venue AND s1.sell_at >= s.boundary),
- fin AS (SELECT event_id AS roundtrip_id, venue, buy_at, sell_at, CAST(reference AS BIGINT) AS reference, CAST(tokens AS BIGINT) AS tokens, CASE WHEN buy_at = 0 THEN 'HORIZON_EXHAUSTED' WHEN NOT filled THEN 'BUY_LANDED_FAILED' WHEN sell_at = 0 THEN 'OPEN_AT_HORIZON' ELSE 'CLOSED' END AS status, CAST(gr - (gr * 95 + 9999) // 10000 - (gr * 30 + 9999) // 10000 - {BUDGET} AS BIGINT) AS p FROM s2)"""
+# --- sniping ------------------------------------------------------------------------------------------------------------
+def _buy_sql(budget: int) -> tuple[int, int, int]:
+    """Net amount, what of it moves the curve, and net plus fees, of a purchase."""
+    first = budget * 10_000 // 10_125
+    fees = lambda n: -(-n * 95 // 10_000) + -(-n * 30 // 10_000)
+    net = first - max(0, first + fees(first) - budget)
+    return net, max(0, net - 1), net + fees(net)
+
+
+_NET, _MOVES, _SPENT = _buy_sql(TERMS.budget)
+
+
+def _state(s: str) -> str:
+    """The columns of a state, or of a fresh curve."""
+    return f"coalesce({s}.vt, {pricing.VIRTUAL_TOKEN})::HUGEINT AS {s}_vt, coalesce({s}.vq, {pricing.VIRTUAL_QUOTE})::HUGEINT AS {s}_vq, coalesce({s}.lifecycle, 'ACTIVE') AS {s}_l"
+
+
+def _out(s: str) -> str:
+    return f"({_MOVES}::HUGEINT * {s}_vt) // ({s}_vq + {_MOVES})"
+
+
+def _buys(s: str) -> str:
+    return f"({s}_l = 'ACTIVE' AND {_out(s)} > 0 AND {_out(s)} < {s}_vt AND {_out(s)} <= {s}_vt - {pricing.TOKEN_OFFSET})"
+
+
+def _gross(tokens: str, vt: str, vq: str) -> str:
+    return f"(({tokens}::HUGEINT * {vq}) // ({vt} + {tokens}))"
+
+
+def _net(tokens: str, vt: str, vq: str) -> str:
+    g = _gross(tokens, vt, vq)
+    return f"({g} - ({g} * 95 + 9999) // 10000 - ({g} * 30 + 9999) // 10000)"
+
+
+def _sells(tokens: str, vt: str, vq: str, lifecycle: str | None) -> str:
+    ok = f"{_gross(tokens, vt, vq)} <= {vq} - {pricing.QUOTE_OFFSET} AND {_net(tokens, vt, vq)} > 0"
+    return f"({ok}" + (f" AND {lifecycle} = 'ACTIVE')" if lifecycle else ")")
+
+
+def _place(block: str, g: str, prefix: str) -> str:
+    return f"({block} << 32) + {g} - {prefix} + 1"
+
+
+_ENDS = """en AS (SELECT venue, arg_max(vt, state_at)::HUGEINT AS vt, arg_max(vq, state_at)::HUGEINT AS vq, arg_max(lifecycle, state_at) AS lifecycle,
+ (arg_max(vt, state_at) FILTER (WHERE lifecycle = 'ACTIVE'))::HUGEINT AS avt, (arg_max(vq, state_at) FILTER (WHERE lifecycle = 'ACTIVE'))::HUGEINT AS avq FROM states GROUP BY 1)"""
+
+
+def _worth(tokens: str, e: str = "en") -> tuple[str, str]:
+    """(status, value) of tokens that are still held, from the venue's last states."""
+    vt, vq, life = f"coalesce({e}.vt, {pricing.VIRTUAL_TOKEN})", f"coalesce({e}.vq, {pricing.VIRTUAL_QUOTE})", f"coalesce({e}.lifecycle, 'ACTIVE')"
+    now, then = _sells(tokens, vt, vq, life), f"({life} = 'MIGRATED' AND coalesce({_sells(tokens, f'{e}.avt', f'{e}.avq', None)}, false))"
+    more = TERMS.mint_deposit - TERMS.sell_fee
+    status = f"CASE WHEN {now} THEN 'EXECUTABLE' WHEN {then} THEN 'STALE_PRE_MIGRATION' ELSE 'UNAVAILABLE' END"
+    return status, f"CASE WHEN {now} THEN {_net(tokens, vt, vq)} + {more} WHEN {then} THEN {_net(tokens, f'{e}.avt', f'{e}.avq')} + {more} END"
+
+
+_RESERVED = TERMS.reserved
+_MTM, _VALUE = _worth("f.tokens")
+_HELD = "(f.status LIKE 'SELL%OPEN')"
+_SNIPE = f"""WITH RECURSIVE tl AS (SELECT l.event_id, l.developer, l.developer % {WALLETS} AS wallet, l.venue, l.t, l.boundary, c.prefix + l.transaction_index + {TERMS.buy_delay} AS g FROM launches l JOIN clock c USING (block_ordinal)),
+ tb AS (SELECT tl.*, c.block_ordinal AS bb, {_place('c.block_ordinal', 'g', 'c.prefix')} AS buy_at FROM tl JOIN clock c ON c.prefix <= g AND g < c.prefix + c.transaction_count),
+ td AS (SELECT tb.event_id, min(c.block_ordinal) AS db FROM tb JOIN clock c ON c.transaction_count > 0 AND c.block_ordinal > bb AND c.block_time_s >= bb * 60 + {TERMS.hold_s} GROUP BY 1),
+ tr AS (SELECT tb.*, (db << 32) + 1 AS decide_at, {_place('c2.block_ordinal', f'c1.prefix + {TERMS.sell_delay}', 'c2.prefix')} AS sell_at FROM tb JOIN td USING (event_id) JOIN clock c1 ON c1.block_ordinal = db
+  JOIN clock c2 ON c2.prefix <= c1.prefix + {TERMS.sell_delay} AND c1.prefix + {TERMS.sell_delay} < c2.prefix + c2.transaction_count),
+ l AS (SELECT event_id, developer, t, row_number() OVER (PARTITION BY developer ORDER BY t, event_id) AS rn FROM tr),
+ nx AS (SELECT a.event_id, min(b.rn) AS nrn, a.developer FROM l a JOIN l b ON a.developer = b.developer AND b.t >= a.t + {COOLDOWN} AND b.rn > a.rn GROUP BY a.event_id, a.developer),
+ acc(event_id, developer) AS (SELECT event_id, developer FROM l WHERE rn = 1 UNION ALL SELECT l.event_id, l.developer FROM acc JOIN nx ON nx.event_id = acc.event_id JOIN l ON l.developer = nx.developer AND l.rn = nx.nrn),
+ q0 AS (SELECT tr.*, {_state('a')} FROM tr JOIN acc USING (event_id) ASOF LEFT JOIN states a ON tr.venue = a.venue AND tr.boundary >= a.state_at),
+ q1 AS (SELECT q0.*, {_state('b')} FROM q0 ASOF LEFT JOIN states b ON q0.venue = b.venue AND q0.buy_at >= b.state_at),
+ q2 AS (SELECT q1.*, {_state('c')} FROM q1 ASOF LEFT JOIN states c ON q1.venue = c.venue AND q1.decide_at >= c.state_at),
+ q3 AS (SELECT q2.*, {_state('d')} FROM q2 ASOF LEFT JOIN states d ON q2.venue = d.venue AND q2.sell_at >= d.state_at),
+ q AS MATERIALIZED (SELECT event_id, venue, wallet, boundary, buy_at, decide_at, sell_at, {_buys('a')} AS ref_ok, {_out('a')} AS reference, {_out('b')} AS tokens, {_buys('b')} AND {_out('b')} >= {_out('a')} AS buy_ok,
+  {_sells(_out('b'), 'c_vt', 'c_vq', 'c_l')} AS decide_ok, {_sells(_out('b'), 'd_vt', 'd_vq', 'd_l')} AND {_net(_out('b'), 'd_vt', 'd_vq')} >= {_net(_out('b'), 'c_vt', 'c_vq')} AS sell_ok, CAST({_net(_out('b'), 'd_vt', 'd_vq')} AS BIGINT) AS proceeds FROM q3),
+ ev4 AS (SELECT event_id, wallet, buy_ok, decide_ok, sell_ok, proceeds, unnest([0, 1, 2, 3]) AS kind, unnest([boundary, buy_at, decide_at, sell_at]) AS place, unnest([45, 60, 40, 60]) AS phase, unnest([boundary, boundary, buy_at, decide_at]) AS creator FROM q WHERE ref_ok),
+ e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY place, phase, creator, event_id) AS rn FROM ev4),
+ w(wallet, rn, id, avail, acct, bare, full_, held, selling, payer, ended) AS (
+  SELECT DISTINCT wallet, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST({TERMS.opening} AS BIGINT), false, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM e
+  UNION ALL
+  SELECT wallet, rn, id, avail - CASE
+    WHEN kind = 0 AND need <= avail THEN need
+    WHEN kind = 1 AND mine THEN CASE WHEN NOT buy_ok THEN {TERMS.buy_fee} - ({_RESERVED} + own) ELSE {_SPENT + TERMS.buy_fee + TERMS.mint_deposit} + CASE WHEN acct THEN 0 ELSE own END - ({_RESERVED} + own) END
+    WHEN kind = 2 AND list_contains(held, id) AND decide_ok AND avail >= {TERMS.sell_fee} THEN {TERMS.sell_fee}
+    WHEN kind = 3 AND list_contains(selling, id) AND sell_ok THEN -(proceeds + {TERMS.mint_deposit}) ELSE 0 END,
+   acct OR (kind = 1 AND own > 0 AND buy_ok),
+   CASE WHEN kind = 0 AND acct AND need <= avail THEN list_append(bare, id) WHEN kind = 1 THEN list_filter(bare, lambda x: x <> id) ELSE bare END,
+   CASE WHEN kind = 0 AND NOT acct AND need <= avail THEN list_append(full_, id) WHEN kind = 1 THEN list_filter(full_, lambda x: x <> id) ELSE full_ END,
+   CASE WHEN kind = 1 AND mine AND buy_ok THEN list_append(held, id) WHEN kind = 2 THEN list_filter(held, lambda x: x <> id) ELSE held END,
+   CASE WHEN kind = 2 AND list_contains(held, id) AND decide_ok AND avail >= {TERMS.sell_fee} THEN list_append(selling, id) WHEN kind = 3 THEN list_filter(selling, lambda x: x <> id) ELSE selling END,
+   CASE WHEN kind = 1 AND own > 0 AND buy_ok AND NOT acct THEN id ELSE payer END,
+   CASE WHEN kind = 0 AND need > avail THEN 'BUY_PRE_SUBMIT_INSUFFICIENT_FUNDS' WHEN kind = 1 AND mine AND NOT buy_ok THEN 'BUY_LANDED_FAILED'
+    WHEN kind = 2 AND list_contains(held, id) AND NOT decide_ok THEN 'SELL_REFERENCE_UNAVAILABLE_OPEN' WHEN kind = 2 AND list_contains(held, id) AND avail < {TERMS.sell_fee} THEN 'SELL_PRE_SUBMIT_INSUFFICIENT_FUNDS_OPEN'
+    WHEN kind = 3 AND list_contains(selling, id) AND NOT sell_ok THEN 'SELL_LANDED_FAILED_OPEN' WHEN kind = 3 AND list_contains(selling, id) THEN 'CLOSED' END
+  FROM (SELECT w.wallet, e.rn, e.event_id AS id, avail, acct, bare, full_, held, selling, payer, kind, buy_ok, decide_ok, sell_ok, proceeds, {_RESERVED} + CASE WHEN acct THEN 0 ELSE {TERMS.wallet_deposit} END AS need,
+   list_contains(bare, e.event_id) OR list_contains(full_, e.event_id) AS mine, CASE WHEN list_contains(full_, e.event_id) THEN {TERMS.wallet_deposit} ELSE 0 END AS own FROM w JOIN e ON e.wallet = w.wallet AND e.rn = w.rn + 1) s),
+ f AS (SELECT tr.event_id, tr.venue, tr.wallet, CASE WHEN q.ref_ok THEN CAST(q.reference AS BIGINT) END AS reference, CAST(q.tokens AS BIGINT) AS tokens, coalesce(w.payer = tr.event_id, false) AS paid,
+  CASE WHEN q.event_id IS NULL THEN 'COOLDOWN_SKIPPED' WHEN NOT q.ref_ok THEN 'BUY_REFERENCE_REJECTED' ELSE coalesce(w.ended, 'OPEN_AT_HORIZON') END AS status, q.proceeds FROM tr LEFT JOIN q USING (event_id) LEFT JOIN w ON w.id = tr.event_id AND w.ended IS NOT NULL),
+ {_ENDS},
+ g AS (SELECT f.*, CASE WHEN paid AND status <> 'BUY_LANDED_FAILED' THEN {TERMS.wallet_deposit} ELSE 0 END AS locked, CASE WHEN status = 'BUY_LANDED_FAILED' THEN -{TERMS.buy_fee} WHEN status = 'CLOSED' OR {_HELD} THEN
+   -{_SPENT + TERMS.buy_fee + TERMS.mint_deposit} - CASE WHEN paid THEN {TERMS.wallet_deposit} ELSE 0 END - CASE WHEN status IN ('CLOSED', 'SELL_LANDED_FAILED_OPEN') THEN {TERMS.sell_fee} ELSE 0 END + CASE WHEN status = 'CLOSED' THEN proceeds + {TERMS.mint_deposit} ELSE 0 END ELSE 0 END AS cash,
+  CASE WHEN {_HELD} THEN {_MTM} ELSE 'NOT_APPLICABLE' END AS mtm_status, CASE WHEN {_HELD} THEN CAST({_VALUE} AS BIGINT) END AS mtm_value FROM f LEFT JOIN en USING (venue)),
+ trips AS (SELECT event_id AS roundtrip_id, venue, wallet, status, reference, CASE WHEN status = 'CLOSED' OR status LIKE 'SELL%OPEN' THEN tokens END AS tokens, CASE WHEN status NOT LIKE 'SELL%OPEN' THEN CAST(cash AS BIGINT) END AS realized, mtm_status, mtm_value,
+  CAST(CASE WHEN status LIKE 'SELL%OPEN' THEN cash + mtm_value + locked ELSE cash + locked END AS BIGINT) AS economic, CAST(locked AS BIGINT) AS locked FROM g)"""
 
 
 def _trips(t: Tables) -> DataFrame:
-    return replay.snipe(t.launches, t.clock, replay.venue_states(t.curve), BUDGET, COOLDOWN, BUY_DELAY, HOLD, SELL_DELAY, SLIPPAGE)
+    """Launches with one wallet for every eighth developer; a wallet's run does not see the others'."""
+    s = t.stored_events()
+    launches = s.launches.select("event_id", "venue", "developer", (F.col("developer") % WALLETS).alias("wallet"), "t", "boundary", "block_ordinal", "transaction_index")
+    return roundtrips.snipe(launches, s.clock, s.states, TERMS, RANGE).withColumnRenamed("event_id", "roundtrip_id")
+
 
+_TRIP = ["roundtrip_id", "venue", "wallet", "status", "reference", "tokens", "realized", "mtm_status", "mtm_value", "economic"]
 
-@query("st_sniping_engine", f"{_SNIPE} SELECT roundtrip_id, venue, buy_at, sell_at, reference, tokens, status, CASE WHEN status = 'CLOSED' THEN p END AS pnl FROM fin")
+
+@query("st_sniping_engine", f"{_SNIPE} SELECT {', '.join(_TRIP)} FROM trips")
 def st_sniping_engine(t: Tables) -> DataFrame:
-    return _trips(t)
+    return _trips(t).select(*_TRIP)
 
 
-@query("st_round_trip_status", f"{_SNIPE} SELECT status, count(*) AS n FROM fin GROUP BY 1")
+@query("st_round_trip_status", f"{_SNIPE} SELECT status, count(*) AS n FROM trips GROUP BY 1")
 def st_round_trip_status(t: Tables) -> DataFrame:
     return _trips(t).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("st_mtm_valuation", "WITH s AS (SELECT venue, arg_max(vt, (boundary, event_id)) AS vt, arg_max(vq, (boundary, event_id)) AS vq FROM curve GROUP BY 1), g AS (SELECT l.event_id, (CAST(1000000 AS HUGEINT) * s.vq) // (s.vt + 1000000) AS gr FROM launches l LEFT JOIN s USING (venue)) SELECT event_id, CAST(gr - (gr * 95 + 9999) // 10000 - (gr * 30 + 9999) // 10000 AS BIGINT) AS value, CASE WHEN gr IS NULL THEN 'UNAVAILABLE' ELSE 'EXECUTABLE' END AS valuation FROM g")
+@query("st_mtm_valuation", f"{_SNIPE} SELECT roundtrip_id, tokens, mtm_status, mtm_value FROM trips WHERE mtm_status <> 'NOT_APPLICABLE'")
 def st_mtm_valuation(t: Tables) -> DataFrame:
-    held = t.launches.select("event_id", "venue", F.lit(1_000_000).cast("long").alias("tokens"))
-    return replay.mark_to_market(held, replay.venue_states(t.curve), 1 << 62).select("event_id", "value", "valuation")
+    return _trips(t).where("mtm_status <> 'NOT_APPLICABLE'").select("roundtrip_id", "tokens", "mtm_status", "mtm_value")
+
+
+@query("st_wallet_accounts", f"""{_SNIPE} SELECT wallet, count(*) FILTER (WHERE tokens IS NOT NULL) AS created, count(*) FILTER (WHERE status = 'CLOSED') AS refunded, count(*) FILTER (WHERE status LIKE 'SELL%OPEN') AS locked,
+ count(*) FILTER (WHERE status = 'BUY_LANDED_FAILED') AS released, max(roundtrip_id) FILTER (WHERE locked > 0) AS account_paid_by FROM trips GROUP BY 1""")
+def st_wallet_accounts(t: Tables) -> DataFrame:
+    """Per wallet: accounts of tokens that were created, refunded by a sale, are locked still, or were released unpaid; and the trip that paid for the wallet's own."""
+    over = lambda s: F.count_if(F.col("status") == s)
+    return _trips(t).groupBy("wallet").agg(F.count("tokens").alias("created"), over("CLOSED").alias("refunded"), F.count_if(F.col("status").like("SELL%OPEN")).alias("locked"), over("BUY_LANDED_FAILED").alias("released"), F.max(F.when(F.col("locked") > 0, F.col("roundtrip_id"))).alias("account_paid_by"))
+
+
+# --- copy-buy -----------------------------------------------------------------------------------------------------------
+POLICY = copying.Policy(observation_delay=4, stop_bps=1, take_bps=1)
+COPY_TERMS = replace(TERMS, opening=100_000_000, hold_s=86_400)
+
+
+def _move(name: str, source: str, at: str, n: int, out: str) -> str:
+    """A place n transactions further."""
+    g = f"c.prefix + ({at} & 4294967295) - 1 + {n}"
+    return f"{name} AS (SELECT x.*, {_place('c2.block_ordinal', g, 'c2.prefix')} AS {out} FROM {source} x JOIN clock c ON c.block_ordinal = {at} >> 32 JOIN clock c2 ON c2.prefix <= {g} AND {g} < c2.prefix + c2.transaction_count)"
+
 
+def _wait(name: str, source: str, at: str, seconds: int, out: str) -> str:
+    return f"{name} AS (SELECT x.*, (b << 32) + 1 AS {out} FROM {source} x JOIN (SELECT event_id, min(c.block_ordinal) AS b FROM {source} y JOIN clock k ON k.block_ordinal = {at} >> 32 JOIN clock c ON c.transaction_count > 0 AND c.block_ordinal > {at} >> 32 AND c.block_time_s >= k.block_time_s + {seconds} GROUP BY 1) USING (event_id))"
 
-_COPY = """WITH e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY boundary, event_id) AS rn FROM curve WHERE side = 'BUY' AND signer < 60) WHERE rn = 1),
- dl AS (SELECT e.venue, min(c.block_ordinal) << 32 AS deadline FROM e LEFT JOIN clock c ON c.transaction_count > 0 AND c.block_ordinal > e.t // 60 AND c.block_time_s >= e.t + 86400 GROUP BY 1),
- h AS (SELECT venue, boundary, event_id, reason FROM (SELECT c.venue, c.boundary, c.event_id, CASE WHEN c.vq::HUGEINT * e.vt * 10000 <= e.vq::HUGEINT * c.vt * 9999 THEN 'STOP_LOSS' WHEN c.vq::HUGEINT * e.vt * 10000 >= e.vq::HUGEINT * c.vt * 10001 THEN 'TAKE_PROFIT' END AS reason FROM curve c JOIN e ON c.venue = e.venue AND c.boundary > e.boundary) WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY venue ORDER BY boundary, event_id) = 1)
-SELECT e.venue, e.event_id AS signal, CASE WHEN h.boundary IS NOT NULL AND (deadline IS NULL OR h.boundary < deadline) THEN h.boundary ELSE deadline END AS exit_at,
- CASE WHEN h.boundary IS NOT NULL AND (deadline IS NULL OR h.boundary < deadline) THEN h.reason WHEN deadline IS NOT NULL THEN 'MAXIMUM_HOLD' ELSE 'OPEN' END AS reason FROM e JOIN dl USING (venue) LEFT JOIN h USING (venue)"""
 
+def _see(name: str, source: str, at: str, s: str) -> str:
+    return f"{name} AS (SELECT x.*, {_state(s)} FROM {source} x ASOF LEFT JOIN states {s} ON x.venue = {s}.venue AND x.{at} >= {s}.state_at)"
 
-@query("st_copy_engine", _COPY)
+
+def _exit(vt: str, vq: str, life: str) -> str:
+    """Why a price ends a position."""
+    now, then = f"{vq}::HUGEINT * tokens * 10000", f"{_NET}::HUGEINT * {vt}"
+    return f"CASE WHEN {life} = 'ACTIVE' AND {now} <= {then} * {10_000 - POLICY.stop_bps} THEN 'STOP_LOSS' WHEN {life} = 'ACTIVE' AND {now} >= {then} * {10_000 + POLICY.take_bps} THEN 'TAKE_PROFIT' END"
+
+
+def _sale(i: int) -> str:
+    """Attempt i: quote what is seen, land, and wait for the next."""
+    d, sell = POLICY.observation_delay, TERMS.sell_delay
+    ref, land = _sells("tokens", f"u{i}_vt", f"u{i}_vq", f"u{i}_l"), _sells("tokens", f"v{i}_vt", f"v{i}_vq", f"v{i}_l")
+    better = f"{_net('tokens', f'v{i}_vt', f'v{i}_vq')} >= {_net('tokens', f'u{i}_vt', f'u{i}_vq')}"
+    parts = [_move(f"ma{i}", f"o{i}", "x.decide_at", -d, "seen_at"), _move(f"mb{i}", f"ma{i}", "x.decide_at", sell, "land_at"), _see(f"mc{i}", f"mb{i}", "seen_at", f"u{i}"), _see(f"md{i}", f"mc{i}", "land_at", f"v{i}")]
+    parts.append(f"sa{i} AS (SELECT event_id, venue, tokens, reason, decide_at, {i} AS attempt, CASE WHEN NOT {ref} THEN 'REJECTED' WHEN {land} AND {better} THEN 'FILLED' ELSE 'FAILED' END AS outcome, CASE WHEN NOT {ref} THEN decide_at ELSE land_at END AS ended_at, CAST({_net('tokens', f'v{i}_vt', f'v{i}_vq')} AS BIGINT) AS proceeds FROM md{i})")
+    if i < copying.ATTEMPTS:
+        parts += [f"sb{i} AS (SELECT * FROM sa{i} WHERE outcome <> 'FILLED')", _wait(f"sc{i}", f"sb{i}", "ended_at", copying.RETRY_S, "retry_at"), f"o{i + 1} AS (SELECT event_id, venue, tokens, reason, retry_at AS decide_at FROM sc{i})"]
+    return ", ".join(parts)
+
+
+def _longest() -> str:
+    parts, last = [], "c3"
+    for i in range(1, copying.ATTEMPTS + 1):
+        parts.append(_move(f"pa{i}", last, "x.deadline" if i == 1 else f"x.again{i - 1}", TERMS.sell_delay, f"landed{i}"))
+        last = f"pa{i}"
+        if i < copying.ATTEMPTS:
+            parts.append(_wait(f"pb{i}", last, f"landed{i}", copying.RETRY_S, f"again{i}"))
+            last = f"pb{i}"
+    return ", ".join(parts)
+
+
+_WORTH = _worth("p.tokens")
+_SALES = " UNION ALL ".join(f"SELECT * FROM sa{i}" for i in range(1, copying.ATTEMPTS + 1))
+_COPY = f"""WITH c0 AS (SELECT event_id, venue, boundary FROM trades WHERE side = 'BUY' AND signer < 60), {_move('c1', 'c0', 'x.boundary', POLICY.observation_delay, 'enter_at')}, {_move('c2_', 'c1', 'x.enter_at', COPY_TERMS.buy_delay, 'buy_at')},
+ {_wait('c3', 'c2_', 'buy_at', COPY_TERMS.hold_s, 'deadline')}, {_longest()},
+ en0 AS (SELECT event_id, venue, boundary, enter_at, buy_at, deadline FROM pa{copying.ATTEMPTS} QUALIFY row_number() OVER (PARTITION BY venue ORDER BY boundary, event_id) = 1),
+ {_move('b1', 'en0', 'x.enter_at', -POLICY.observation_delay, 'seen_at')}, {_see('b2', 'b1', 'seen_at', 'r')}, {_see('b3', 'b2', 'buy_at', 'y')},
+ p AS MATERIALIZED (SELECT event_id, venue, boundary, buy_at, deadline, {_buys('r')} AS submitted, {_buys('r')} AND {_buys('y')} AND {_out('y')} >= {_out('r')} AS filled, CAST({_out('y')} AS BIGINT) AS tokens FROM b3),
+ h0 AS (SELECT event_id, venue, buy_at, deadline, tokens FROM p WHERE filled), {_move('h1', 'h0', 'x.buy_at', -POLICY.observation_delay, 'seen_at')}, {_see('h2', 'h1', 'seen_at', 'z')}, {_move('h3', 'h2', 'x.buy_at', 1, 'next_at')},
+ k0 AS (SELECT h3.event_id, s.state_at, {_exit('s.vt', 's.vq', 's.lifecycle')} AS by_price FROM h3 JOIN states s ON s.venue = h3.venue AND s.state_at > h3.seen_at),
+ k1 AS (SELECT * FROM k0 WHERE by_price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY state_at) = 1), {_move('k2', 'k1', 'x.state_at', POLICY.observation_delay, 'price_at')},
+ o1 AS MATERIALIZED (SELECT h3.event_id, h3.venue, tokens, coalesce({_exit('z_vt', 'z_vq', 'z_l')}, CASE WHEN price_at < deadline THEN by_price END, 'MAXIMUM_HOLD') AS reason,
+  CASE WHEN {_exit('z_vt', 'z_vq', 'z_l')} IS NOT NULL THEN next_at WHEN price_at < deadline THEN price_at ELSE deadline END AS decide_at FROM h3 LEFT JOIN k2 USING (event_id)),
+ {', '.join(_sale(i) for i in range(1, copying.ATTEMPTS + 1))}, sales AS MATERIALIZED ({_SALES}), {_ENDS},
+ sd AS (SELECT event_id, count(*) AS attempts, count(*) FILTER (WHERE outcome <> 'REJECTED') AS landed, max(proceeds) FILTER (WHERE outcome = 'FILLED') AS proceeds, max(reason) AS reason FROM sales GROUP BY 1),
+ fp AS (SELECT event_id FROM p WHERE filled ORDER BY buy_at, boundary, event_id LIMIT 1),
+ ra AS (SELECT p.*, sd.attempts, sd.landed, sd.proceeds, sd.reason, CASE WHEN p.event_id IN (SELECT event_id FROM fp) THEN {TERMS.wallet_deposit} ELSE 0 END AS locked, CASE WHEN NOT filled THEN 'BUY_FAILED' WHEN sd.proceeds IS NOT NULL THEN 'CLOSED' ELSE 'EXHAUSTED' END AS status FROM p LEFT JOIN sd USING (event_id)),
+ rb AS (SELECT p.*, CASE WHEN filled THEN -{_SPENT + TERMS.buy_fee + TERMS.mint_deposit} - locked WHEN submitted THEN -{TERMS.buy_fee} ELSE 0 END - coalesce(landed, 0) * {TERMS.sell_fee} + CASE WHEN status = 'CLOSED' THEN proceeds + {TERMS.mint_deposit} ELSE 0 END AS cash,
+  CASE WHEN status = 'EXHAUSTED' THEN {_WORTH[0]} ELSE 'NOT_APPLICABLE' END AS mtm_status, CASE WHEN status = 'EXHAUSTED' THEN CAST({_WORTH[1]} AS BIGINT) END AS mtm_value FROM ra p LEFT JOIN en USING (venue))"""
+
+
+def _copied(t: Tables) -> tuple[DataFrame, DataFrame, Tables]:
+    s = t.stored_events()
+    positions, sales = copying.attempts(s.trades.where("side = 'BUY' AND signer < 60"), s.clock, s.states, COPY_TERMS, POLICY, RANGE)
+    return positions, sales, s
+
+
+@query("st_copy_engine", f"""{_COPY} SELECT event_id, venue, status, reason, coalesce(attempts, 0) AS attempts, CAST(cash AS BIGINT) AS cash, CASE WHEN status <> 'EXHAUSTED' THEN CAST(cash AS BIGINT) END AS realized, mtm_status, mtm_value,
+ CAST(CASE WHEN status = 'EXHAUSTED' THEN cash + mtm_value + locked ELSE cash + locked END AS BIGINT) AS economic FROM rb""")
 def st_copy_engine(t: Tables) -> DataFrame:
-    return replay.copy_positions(t.curve.where("side = 'BUY' AND signer < 60"), t.curve, t.clock, 1, 1, 86_400)
+    positions, sales, s = _copied(t)
+    return copying.results(positions, sales, s.states, COPY_TERMS)
 
 
-@query("st_copy_execution", f"SELECT reason, count(*) AS n FROM ({_COPY}) GROUP BY 1")
+@query("st_copy_execution", f"{_COPY} SELECT event_id, attempt, outcome, decide_at, ended_at, CASE WHEN outcome = 'FILLED' THEN proceeds END AS proceeds FROM sales")
 def st_copy_execution(t: Tables) -> DataFrame:
-    return st_copy_engine(t).groupBy("reason").agg(F.count("*").alias("n"))
+    """Every order to sell: quoted on what was observed, landed on the history, with the least output that it accepts."""
+    _, sales, _ = _copied(t)
+    return sales.select("event_id", "attempt", "outcome", "decide_at", "ended_at", F.when(F.col("outcome") == "FILLED", F.col("proceeds")).alias("proceeds"))
 
 
-@query("st_wallet_accounts")
-def st_wallet_accounts(t: Tables) -> DataFrame:
-    """Actions in order against each signer's funds: sells add, buys need cover."""
-    actions = t.trades.select("signer", "boundary", "event_id", F.when(F.col("side") == "BUY", -F.col("amount")).otherwise(F.col("amount")).alias("change"))
-    return replay.funded(actions, "signer", ["boundary", "event_id"], "change", 5_000)
+OPENING = 20_000_000
 
 
-@query("st_ledger_apply", "SELECT transaction_id, customer, CAST(sum(amount) OVER (PARTITION BY customer ORDER BY block_ordinal, transaction_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM postings WHERE account = 'CUSTOMER'")
+@query("st_ledger_apply", f"""WITH RECURSIVE o AS (SELECT transaction_id, customer, amount, row_number() OVER (PARTITION BY customer ORDER BY block_ordinal, transaction_id) AS rn FROM postings WHERE account = 'CUSTOMER'),
+ r(transaction_id, customer, rn, accepted, balance) AS (SELECT CAST(NULL AS BIGINT), customer, CAST(0 AS BIGINT), true, CAST({OPENING} AS BIGINT) FROM (SELECT DISTINCT customer FROM o)
+  UNION ALL SELECT o.transaction_id, o.customer, o.rn, balance + amount >= 0, CASE WHEN balance + amount >= 0 THEN balance + amount ELSE balance END FROM r JOIN o ON o.customer = r.customer AND o.rn = r.rn + 1)
+ SELECT transaction_id, customer, accepted, balance FROM r WHERE rn > 0""")
 def st_ledger_apply(t: Tables) -> DataFrame:
-    own = t.postings.where("account = 'CUSTOMER'")
-    return replay.running_balance(own, "customer", ["block_ordinal", "transaction_id"], "amount").select("transaction_id", "customer", F.col("balance").cast("long").alias("balance"))
+    """Charges in order against what each customer has; one that would leave less than nothing is refused."""
+    own = t.postings.where("account = 'CUSTOMER'").select("transaction_id", "customer", "block_ordinal", "amount")
+    return replay.funded(own, "customer", ["block_ordinal", "transaction_id"], "amount", OPENING).select("transaction_id", "customer", "accepted", "balance")
 
 
 @query("st_snapshot_validator", "SELECT event_id FROM trades WHERE amount <= 0 UNION ALL SELECT event_id FROM positions GROUP BY event_id HAVING count(*) > 1")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.exact import boundary
 from ..operators.clock import build_clock
 from ..operators.prefix import running_sum
+from ..operators.replay import venue_states
+from .scratch import stored
 
 #: Boundaries of this many blocks are one range of an ordered operator.
 RANGE = 256 << 32
@@ -71,9 +73,31 @@ class Tables:
     @cached_property
     def curve(self) -> DataFrame:
         """Each trade with its venue's reserves after it."""
-        sums = running_sum(self.trades, ["venue"], "boundary", ["event_id"], "amount", "k", RANGE)
+        change = F.when(F.col("side") == "BUY", F.col("amount")).otherwise(-F.expr("amount div 2"))
+        sums = running_sum(self.trades, ["venue"], "boundary", ["event_id"], change, "k", RANGE)
         return sums.withColumn("vt", F.lit(1073000000000000) - F.col("k") * 1000).withColumn("vq", F.lit(30000000000) + F.col("k") * 10).drop("k")
 
+    @cached_property
+    def life(self) -> DataFrame:
+        """Per venue where it was completed, and where it migrated after that."""
+        venue, event = F.col("venue"), F.col("event_id")
+        done = self.trades.groupBy("venue").agg(F.min(F.when((event % 97 == 0) & (venue % 4 == 1), F.col("boundary"))).alias("completed_at"))
+        moved = self.trades.join(done, "venue").where("boundary > completed_at AND event_id % 89 = 0 AND venue % 8 = 1").groupBy("venue").agg(F.min("boundary").alias("migrated_at"))
+        return done.join(moved, "venue", "left")
+
+    @cached_property
+    def states(self) -> DataFrame:
+        return venue_states(self.curve, self.life)
+
+    def stored_events(self) -> Tables:
+        """The same views over positions, clock and states that are written once, for plans that read them many times."""
+        out = Tables(self.spark, self.dir)
+        out.__dict__["positions"] = stored(self.positions, "positions")
+        out.__dict__["clock"] = stored(self.clock, "clock")
+        out.__dict__["curve"] = stored(out.curve, "curve")
+        out.__dict__["states"] = stored(out.states, "states")
+        return out
+
     @cached_property
     def postings(self) -> DataFrame:
         o = self.raw("orders").select(F.col("o_orderkey").alias("transaction_id"), F.col("o_custkey").alias("customer"), F.round(F.col("o_totalprice") * 100).cast("long").alias("total"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("block_ordinal"))
@@ -112,7 +136,11 @@ CTES: dict[str, str] = {
  FROM (SELECT g AS block_ordinal, count(event_id) AS transaction_count FROM (SELECT unnest(generate_series(min(block_ordinal), max(block_ordinal))) AS g FROM ev) LEFT JOIN ev ON ev.block_ordinal = g GROUP BY g)""",
     "launches": "SELECT event_id, boundary, block_ordinal, transaction_index, t, user_id AS developer, event_id % 20 AS venue FROM positions WHERE event_type = 'signup'",
     "trades": "SELECT event_id, boundary, block_ordinal, transaction_index, t, user_id % 20 AS venue, CASE WHEN event_id % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS side, amount, user_id AS signer FROM positions WHERE event_type IN ('purchase', 'click')",
-    "curve": "SELECT *, CAST(1073000000000000 - k * 1000 AS BIGINT) AS vt, CAST(30000000000 + k * 10 AS BIGINT) AS vq FROM (SELECT *, sum(amount) OVER (PARTITION BY venue ORDER BY boundary, event_id ROWS UNBOUNDED PRECEDING) AS k FROM trades)",
+    "curve": "SELECT *, CAST(1073000000000000 - k * 1000 AS BIGINT) AS vt, CAST(30000000000 + k * 10 AS BIGINT) AS vq FROM (SELECT *, sum(CASE WHEN side = 'BUY' THEN amount ELSE -(amount // 2) END) OVER (PARTITION BY venue ORDER BY boundary, event_id ROWS UNBOUNDED PRECEDING) AS k FROM trades)",
+    "life": """SELECT d.venue, completed_at, min(m.boundary) AS migrated_at FROM (SELECT venue, min(boundary) FILTER (WHERE event_id % 97 = 0 AND venue % 4 = 1) AS completed_at FROM trades GROUP BY 1) d
+ LEFT JOIN trades m ON m.venue = d.venue AND m.boundary > completed_at AND m.event_id % 89 = 0 AND m.venue % 8 = 1 GROUP BY 1, 2""",
+    "states": """SELECT c.venue, c.boundary AS state_at, arg_max(vt, event_id) AS vt, arg_max(vq, event_id) AS vq, CASE WHEN c.boundary >= migrated_at THEN 'MIGRATED' WHEN c.boundary >= completed_at THEN 'COMPLETED' ELSE 'ACTIVE' END AS lifecycle
+ FROM curve c LEFT JOIN life USING (venue) GROUP BY c.venue, c.boundary, completed_at, migrated_at""",
     "ord": "SELECT o_orderkey AS transaction_id, o_custkey AS customer, CAST(round(o_totalprice * 100) AS BIGINT) AS total, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS block_ordinal FROM orders",
     "postings": "SELECT transaction_id, customer, block_ordinal, 'QUOTE' AS asset, 'CUSTOMER' AS account, -total AS amount FROM ord UNION ALL SELECT transaction_id, customer, block_ordinal, 'QUOTE', 'VENUE', total - total // 100 FROM ord UNION ALL SELECT transaction_id, customer, block_ordinal, 'QUOTE', 'FEE', total // 100 FROM ord",
     "shards": "SELECT s_suppkey AS shard, s_suppkey * 10 AS lo, s_suppkey * 10 + 10 + (s_suppkey % 3 = 0)::BIGINT * 5 AS hi FROM supplier WHERE s_suppkey % 17 <> 5",
