@@ -7,6 +7,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import floordiv
+
 
 def gram(rows: DataFrame, features: list[str], label: str) -> list[list[int]]:
     """Exact sums of products of (1, features, label): one row to the driver, whatever the input."""
@@ -17,6 +19,27 @@ def gram(rows: DataFrame, features: list[str], label: str) -> list[list[int]]:
     return [[int(r[f"s{min(i, j)}_{max(i, j)}"]) for j in range(len(names))] for i in range(len(names))]
 
 
+def grams_by(rows: DataFrame, key: str, features: list[str], label: str) -> dict[int, list[list[int]]]:
+    """``gram`` per value of ``key``: one row to the driver for each model that is trained."""
+    names = ["_one", *features, label]
+    df = rows.withColumn("_one", F.lit(1)).where(" AND ".join(f"{n} IS NOT NULL" for n in (key, *features, label)))
+    terms = [F.sum(F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")).cast("decimal(38,0)").alias(f"s{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
+    return {r[key]: [[int(r[f"s{min(i, j)}_{max(i, j)}"]) for j in range(len(names))] for i in range(len(names))] for r in df.groupBy(key).agg(*terms).collect()}
+
+
+def predictions(features: DataFrame, schedule: DataFrame, models: DataFrame, divisor: int, delay: int) -> DataFrame:
+    """(replay_row_id, model, available, value) of features by the model that the schedule names for their block.
+
+    Available is when features and model both are, and ``delay`` later; without
+    a model the value is null; a value beyond 64 bits raises.
+    """
+    named = features.join(F.broadcast(schedule), F.expr("block_ordinal >= lo AND block_ordinal < hi"), "left").drop("lo", "hi")
+    known = named.join(F.broadcast(models), "model", "left")
+    total = F.col("w0").cast("decimal(38,0)") + F.col("w1") * F.col("v0") + F.col("w2") * F.col("v1")
+    value = floordiv(total, F.lit(divisor)).cast("long")
+    return known.select("replay_row_id", "model", (F.greatest("available", F.coalesce("fitted", F.lit(0).cast("long"))) + delay).alias("available"), value.alias("value"))
+
+
 def ridge(g: list[list[int]], penalty: int) -> list[Fraction]:
     """Intercept and weights by exact Gauss-Jordan elimination; the intercept carries no penalty."""
     n = len(g) - 1

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact, pricing, text
-from ..operators import graph, guards, ordered, paging, quality, research
+from ..operators import clock, graph, guards, ordered, paging, quality, research
 from ..operators.variants import dedup_with_variants, zero_filled
+from ..sources import replaypack, sinks
 from ..sources.adapters import MODES, RANGE, Tables
+from ..sources.scratch import scratch
 from .registry import query
 
 DAYS_30 = 30 * 86_400
@@ -75,9 +77,19 @@ def scan_candidate(t: Tables) -> DataFrame:
     return t.trades.groupBy("venue").agg(F.count("*").alias("n"), F.min("boundary").alias("first_boundary"))
 
 
-@query("scan_delivery", "SELECT event_id, boundary AS source_boundary, ((block_ordinal + 3) << 32) AS release_floor FROM trades")
+@query("scan_delivery", "SELECT d.event_id, d.boundary AS source_boundary, min(c.block_ordinal) << 32 AS release FROM trades d JOIN clock c ON c.transaction_count > 0 AND c.block_ordinal >= d.block_ordinal + 3 GROUP BY 1, 2")
 def scan_delivery(t: Tables) -> DataFrame:
-    return t.trades.select("event_id", F.col("boundary").alias("source_boundary"), F.shiftleft(F.col("block_ordinal") + 3, 32).alias("release_floor"))
+    """A published delivery table, read back in the order of release; what the clock never releases is not in it."""
+    due = t.trades.select("event_id", "boundary", (F.col("block_ordinal") + 2).alias("after"), ((F.col("block_ordinal") + 3) * 60).alias("due"))
+    made = clock.first_block_at(due, t.clock, "event_id", "due", "after").where("found_block IS NOT NULL")
+    rows = made.select("event_id", F.col("boundary").alias("source_boundary"), F.shiftleft("found_block", 32).alias("release"))
+    return sinks.publish(rows, scratch(t.spark, "delivery"), ["release", "source_boundary"]).orderBy("release", "source_boundary", "event_id")
+
+
+@query("scan_replaypack", "SELECT event_id, boundary, venue, side, amount FROM trades WHERE block_ordinal >= 28402000 AND block_ordinal < 28410000")
+def scan_replaypack(t: Tables) -> DataFrame:
+    """A range of a replay pack: columns of codes with their dictionaries, decoded after the range is cut."""
+    return replaypack.read(t.spark, replaypack.write(t.trades, scratch(t.spark, "pack")), 28402000 << 32, 28410000 << 32)
 
 
 @query("scan_results", "SELECT roundtrip_id, status, pnl FROM roundtrips WHERE boundary >= 9500 AND boundary < 9600")
@@ -306,10 +318,11 @@ def join_interval_universe(t: Tables) -> DataFrame:
     return ordered.interval_lookup(t.trades.select("event_id", "venue", "block_ordinal"), u, ["venue"], "block_ordinal", "eligible_from", "eligible_until", ["model"], width=256).select("event_id", "model")
 
 
-@query("join_interval_schedule", "SELECT event_id, coalesce(s.shard, -1) AS model FROM trades LEFT JOIN shards s ON event_id >= s.lo AND event_id < s.lo + 10")
+@query("join_interval_schedule", "SELECT event_id, coalesce(s.shard, -1) AS model FROM trades LEFT JOIN (SELECT *, lead(lo, 1, 9223372036854775807) OVER (ORDER BY lo) AS following FROM shards) s ON event_id >= s.lo AND event_id < least(s.hi, s.following)")
 def join_interval_schedule(t: Tables) -> DataFrame:
-    s = t.shards.select((F.col("lo") / 10).cast("long").alias("k"), "shard")  # intervals of ten never overlap: an equi join on the tenth
-    return t.trades.select("event_id", F.floor(F.col("event_id") / 10).cast("long").alias("k")).join(s, "k", "left").select("event_id", F.coalesce("shard", F.lit(-1)).cast("long").alias("model"))
+    """Intervals of any width; where two overlap, the one that begins later holds."""
+    found = ordered.interval_lookup(t.trades.select("event_id"), t.shards.select("lo", "hi", "shard"), [], "event_id", "lo", "hi", ["shard"], width=4096)
+    return found.select("event_id", F.coalesce("shard", F.lit(-1)).cast("long").alias("model"))
 
 
 @query("join_kway_merge", "SELECT 'L' AS kind, event_id, boundary FROM launches UNION ALL SELECT 'T', event_id, boundary FROM trades")
@@ -646,11 +659,16 @@ def win_last_per_boundary(t: Tables) -> DataFrame:
     return t.curve.groupBy("venue", "block_ordinal").agg(F.max_by("vq", F.struct("boundary", "event_id")).alias("vq"))
 
 
-@query("win_carry_forward", "SELECT venue, block_ordinal, vq FROM (SELECT venue, block_ordinal, arg_max(vq, (boundary, event_id)) AS vq FROM curve GROUP BY 1, 2) UNION ALL SELECT venue, 99999999, arg_max(vq, (boundary, event_id)) FROM curve GROUP BY 1")
+@query("win_carry_forward", """WITH p AS (SELECT venue, block_ordinal, arg_max(vq, (boundary, event_id)) AS vq FROM curve GROUP BY 1, 2),
+ g AS (SELECT v.venue, h.block_ordinal * 60 AS block_ordinal FROM (SELECT DISTINCT venue FROM p) v, (SELECT unnest(generate_series((SELECT min(block_ordinal) // 60 + 1 FROM ev), (SELECT max(block_ordinal) // 60 FROM ev))) AS block_ordinal) h)
+ SELECT g.venue, g.block_ordinal, p.vq FROM g ASOF LEFT JOIN p ON g.venue = p.venue AND g.block_ordinal >= p.block_ordinal""")
 def win_carry_forward(t: Tables) -> DataFrame:
-    points = win_last_per_boundary(t)
-    last = points.groupBy("venue").agg(F.max_by("vq", "block_ordinal").alias("vq"))
-    return points.unionByName(last.select("venue", F.lit(99999999).cast("long").alias("block_ordinal"), "vq"))
+    """Every venue's value at every full hour of blocks, carried on from the last block with a point; null before the first."""
+    points = win_last_per_boundary(t).withColumnRenamed("block_ordinal", "seen")
+    first, last = t.positions.agg((F.floor(F.min("block_ordinal") / 60) + 1).alias("a"), F.floor(F.max("block_ordinal") / 60).alias("z")).first()
+    # the grid is the result: every venue writes out its hours
+    grid = points.select("venue").distinct().select("venue", F.explode(F.sequence(F.lit(first) * 60, F.lit(last) * 60, F.lit(60).cast("long"))).alias("block_ordinal"))
+    return ordered.asof(grid, points, ["venue"], "block_ordinal", "seen", ["vq"], width=4096).select("venue", "block_ordinal", "vq")
 
 
 @query("win_last_active_state", "SELECT event_id, last_value(CASE WHEN side = 'BUY' THEN amount END IGNORE NULLS) OVER (PARTITION BY venue ORDER BY boundary, event_id ROWS UNBOUNDED PRECEDING) AS state FROM trades")
@@ -846,7 +864,12 @@ def fn_sha256_domain(t: Tables) -> DataFrame:
     return t.raw("events").select("event_id", text.domain_digest("source", F.col("event_type")).alias("d"))
 
 
-@query("fn_keyed_rng")
+def _hmac_sql(key: bytes, message: str) -> str:
+    inner, outer = (bytes(k ^ x for k in key.ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
+    return f"sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({message}))))"
+
+
+@query("fn_keyed_rng", f"SELECT event_id, CAST(CAST('0x' || substr({_hmac_sql(b'seed', "'latency' || chr(0) || event_id")}, 1, 16) AS UBIGINT) AS DECIMAL(20, 0)) AS u64 FROM events")
 def fn_keyed_rng(t: Tables) -> DataFrame:
     return t.raw("events").select("event_id", text.keyed_random("seed", "latency", F.col("event_id")).alias("u64"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import random
+from dataclasses import replace
 from decimal import Decimal
 from fractions import Fraction
 
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chainframe.functions import exact, pricing, text
-from chainframe.operators import clock, graph, guards, learning, ordered, paging, prefix, quality, replay, research
+from chainframe.operators import clock, graph, guards, learning, ordered, paging, prefix, quality, replay, research, roundtrips
 
 QUICK = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -256,3 +257,114 @@ def test_funds_are_never_negative(spark):
         assert r["accepted"] == (left + r["x"] >= 0)
         left += r["x"] if r["accepted"] else 0
         assert left >= 0
+
+
+def test_logistic_steps_equal_a_plain_loop():
+    import math
+
+    import numpy as np
+
+    rng = random.Random(9)
+    x = [rng.gauss(3, 2) for _ in range(40)]
+    y = [1.0 if a + rng.gauss(0, 1) > 3 else 0.0 for a in x]
+    mean, spread, w = learning.logistic_steps(np.array(x)[:, None], np.array(y))
+    m = sum(x) / 40
+    s = math.sqrt(sum((a - m) ** 2 for a in x) / 40)
+    b, k = 0.0, 0.0
+    for _ in range(400):
+        p = [1 / (1 + math.exp(-(b + k * (a - m) / s))) for a in x]
+        gb = sum(q - t for q, t in zip(p, y, strict=True)) / 40
+        gk = sum((q - t) * (a - m) / s for q, t, a in zip(p, y, x, strict=True)) / 40 + 0.01 * k
+        b, k = b - 0.15 * gb, k - 0.15 * gk
+    assert abs(w[0] - b) < 1e-9 and abs(w[1] - k) < 1e-9 and abs(mean[0] - m) < 1e-9 and abs(spread[0] - s) < 1e-9
+
+
+def test_models_are_fitted_per_period(spark):
+    rows = spark.createDataFrame([(p, a, b, 5 + p * a - b) for p in (1, 2) for a in range(6) for b in range(3)], "p long, a long, b long, y long")
+    assert {p: learning.ridge(g, 0) for p, g in learning.grams_by(rows, "p", ["a", "b"], "y").items()} == {1: [5, 1, -1], 2: [5, 2, -1]}
+    features = spark.createDataFrame([(1, 10, 100, 4, 1), (2, 25, 300, 4, 1), (3, 99, 300, 4, 1)], "replay_row_id long, block_ordinal long, available long, v0 long, v1 long")
+    schedule = spark.createDataFrame([(1, 0, 20), (2, 20, 30)], "model int, lo long, hi long")
+    models = spark.createDataFrame([(1, 200, 5, 1, -1), (2, 250, 5, 2, -1)], "model int, fitted long, w0 long, w1 long, w2 long")
+    got = sorted(tuple(r) for r in learning.predictions(features, schedule, models, 3, 7).collect())
+    assert got == [(1, 1, 207, 2), (2, 2, 307, 4), (3, None, 307, None)]
+
+
+def test_transitions_of_a_curve(spark):
+    rows = [("a", 1, 5, 5, "ACTIVE"), ("a", 2, 5, 5, "COMPLETED"), ("a", 3, 5, 5, "MIGRATED"), ("b", 1, 5, 5, "ACTIVE"), ("b", 2, 5, 5, "MIGRATED"), ("b", 3, 5, 5, "ACTIVE"), ("c", 1, 0, 5, "ACTIVE")]
+    states = spark.createDataFrame(rows, "venue string, state_at long, vt long, vq long, lifecycle string")
+    assert {(r["venue"], r["state_at"]) for r in replay.transition_errors(states).collect()} == {("b", 2), ("b", 3), ("c", 1)}
+
+
+TERMS = roundtrips.Terms(budget=100, opening=500, cooldown_s=10, buy_delay=1, hold_s=1, sell_delay=1, buy_slippage_bps=0, sell_slippage_bps=0, buy_fee=7, sell_fee=5, mint_deposit=20, wallet_deposit=30)
+
+
+def _run(acts, terms):
+    """A wallet as plain books: every amount is moved between accounts, which must add up to nothing."""
+    books = {"AVAILABLE": terms.opening, "RESERVED": 0, "SPENT": 0, "FEES": 0, "LOCKED": 0}
+    owner, state, out = None, {}, {}
+
+    def move(a, b, n):
+        books[a] -= n
+        books[b] += n
+        assert min(books["AVAILABLE"], books["RESERVED"], books["LOCKED"]) >= 0
+
+    for _, _, _, trip, kind, spent, buy_ok, decide_ok, sell_ok, proceeds in sorted(acts):
+        flow = state.get(trip)
+        if kind == 0:
+            own = terms.wallet_deposit if owner is None else 0
+            need = terms.budget + terms.buy_fee + terms.mint_deposit + own
+            if books["AVAILABLE"] < need:
+                out[trip] = ("BUY_PRE_SUBMIT_INSUFFICIENT_FUNDS", 0, 0)
+            else:
+                move("AVAILABLE", "RESERVED", need)
+                state[trip] = {"reserved": need, "own": own, "cash": 0}
+        elif flow and kind == 1:
+            if not buy_ok:
+                move("RESERVED", "FEES", terms.buy_fee)
+                move("RESERVED", "AVAILABLE", flow["reserved"] - terms.buy_fee)
+                out[trip] = ("BUY_LANDED_FAILED", -terms.buy_fee, 0)
+                del state[trip]
+                continue
+            paid = flow["own"] if owner is None else 0
+            owner = trip if paid else owner
+            move("RESERVED", "SPENT", spent)
+            move("RESERVED", "FEES", terms.buy_fee)
+            move("RESERVED", "LOCKED", terms.mint_deposit + paid)
+            used = spent + terms.buy_fee + terms.mint_deposit + paid
+            move("RESERVED", "AVAILABLE", flow["reserved"] - used)
+            flow |= {"cash": -used, "own": paid}
+        elif flow and kind == 2:
+            if not decide_ok or books["AVAILABLE"] < terms.sell_fee:
+                out[trip] = ("SELL_PRE_SUBMIT_INSUFFICIENT_FUNDS_OPEN" if decide_ok else "SELL_REFERENCE_UNAVAILABLE_OPEN", flow["cash"], flow["own"])
+                del state[trip]
+            else:
+                move("AVAILABLE", "RESERVED", terms.sell_fee)
+        elif flow and kind == 3:
+            move("RESERVED", "FEES", terms.sell_fee)
+            if sell_ok:
+                move("SPENT", "AVAILABLE", proceeds)
+                move("LOCKED", "AVAILABLE", terms.mint_deposit)
+            out[trip] = ("CLOSED", flow["cash"] - terms.sell_fee + proceeds + terms.mint_deposit, flow["own"]) if sell_ok else ("SELL_LANDED_FAILED_OPEN", flow["cash"] - terms.sell_fee, flow["own"])
+            del state[trip]
+    assert sum(books.values()) == terms.opening
+    return out
+
+
+def test_wallets_equal_plain_books(spark):
+    rng = random.Random(10)
+    statuses = set()
+    for terms in (TERMS, replace(TERMS, opening=160)):
+        acts, want = [], {}
+        for wallet in range(40):
+            own = []
+            for trip in range(12):
+                places, row = sorted(rng.sample(range(60), 4)), (rng.randint(80, 100), rng.random() < 0.8, rng.random() < 0.9, rng.random() < 0.8, rng.randint(60, 110))
+                for kind, (phase, creator) in enumerate(((45, 0), (60, 0), (40, 1), (60, 2))):
+                    own.append((places[kind], phase, places[creator], wallet * 100 + trip, kind, *row))
+            want |= _run(own, terms)
+            acts += [(wallet, *a) for a in own]
+        frame = spark.createDataFrame(rng.sample(acts, len(acts)), roundtrips.ACTION)
+        got = {r["event_id"]: (r["status"], r["cash"], r["locked"]) for r in roundtrips.settled(frame, terms).collect()}
+        assert got == want
+        statuses |= {s for s, _, _ in want.values()}
+    assert statuses == {s for s in roundtrips.STATUSES if s not in ("COOLDOWN_SKIPPED", "BUY_REFERENCE_REJECTED", "OPEN_AT_HORIZON")}
