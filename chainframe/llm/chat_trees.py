@@ -10,9 +10,12 @@ roles a backslash, ``###`` and ``</turn>`` get a backslash in front, in roles a
 colon as well, so every turn can be read back exactly.
 
 Defined cases: null roles and texts are empty; a message whose parent does not
-exist is a root; messages of one conversation that repeat are turns of their
-own; a parent that follows its own answers is an error; no messages, no
-conversations.
+exist is a root; turns of one conversation with equal numbers come in the order
+of role and text, and rows that repeat are turns of their own; a null turn
+comes last; of branches with equal scores the smallest leaf wins; a null score
+is 0; texts and conversations may be of any length, one conversation's turns
+are one row in the end; a parent that follows its own answers is an error; no
+messages, no conversations.  Columns besides those named are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, written
+from .common import discard_since, sliced, written, written_so_far
 
 _MOST_ROUNDS = 40
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
@@ -70,7 +73,7 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 def linear_trees(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Conversations without links as trees: every turn answers the one before; a null turn comes last."""
     order = Window.partitionBy(conv_col).orderBy(F.col(turn_col).asc_nulls_last(), *(F.coalesce(F.col(c), F.lit("")) for c in (role_col, text_col)))
-    rows = conversations.withColumn("_n", F.row_number().over(order).cast("long"))
+    rows = conversations.select(conv_col, turn_col, role_col, text_col).withColumn("_n", F.row_number().over(order).cast("long"))
     return rows.select(F.col(conv_col).alias("conv"), F.col("_n").alias("msg"), F.when(F.col("_n") > 1, F.col("_n") - 1).alias("parent"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), F.lit(0.0).alias("score"))
 
 
@@ -98,8 +101,10 @@ def paths(messages: DataFrame) -> DataFrame:
 
 def chosen_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """The ``best`` highest-scored branches of every root, with their turns in order."""
+    mark = written_so_far()
     steps = paths(messages).alias("l").join(messages.alias("r"), _on("node", "msg")).select("l.conv", "l.leaf", "l.node", "l.dist", "r.role", "r.text", "r.score")
     steps = written(steps, "chat-steps")
+    discard_since(messages.sparkSession, mark, steps)
     per_leaf = steps.groupBy("conv", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"), F.max(F.struct("dist", "node")).alias("top"))
     rank = F.row_number().over(Window.partitionBy("conv", "top.node").orderBy(F.col("mean").desc(), F.col("leaf").asc()))
     good = per_leaf.withColumn("rank", rank).where(F.col("rank") <= best).select("conv", "leaf")

@@ -89,10 +89,14 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._written_to)
 
 
-def discard_since(spark: SparkSession, mark: int) -> None:
-    """Delete what was written since ``mark`` = ``written_so_far()``; call it once the results are stored elsewhere."""
-    while len(_WRITTEN) > mark:
-        delete(spark, _WRITTEN.pop())
+def discard_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete what was written since ``mark`` = ``written_so_far()`` but for ``keep``; nothing else may read it later."""
+    kept = {df._written_to for df in keep}
+    made = _WRITTEN[mark:]
+    _WRITTEN[mark:] = [path for path in made if path in kept]
+    for path in made:
+        if path not in kept:
+            delete(spark, path)
 
 
 def written_so_far() -> int:

@@ -13,9 +13,11 @@
 Links are confirmed on full sets (64-bit shingle fingerprints).  With 40 bands
 of 5 slots a pair at similarity 0.75 shares no bucket with probability 2e-5.
 
-Defined cases: no words means an empty set, which links with nothing; a null
-id counts as the largest; rows with equal ids are one document; an empty table
-gives an empty result.
+Ids are integers.  Defined cases: no words (null, empty or white space) means an
+empty set, which links with nothing; a null id counts as the largest; rows with
+equal ids are one document; of equal or linked texts the smallest id names the
+class; a text may be of any length, its set is held whole; an empty table gives
+an empty result.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, sliced, written
+from .common import batches_of, discard_since, sliced, written, written_so_far
 from .components import UnionFind, components
 from .sketch import Membership, cell_of, membership
 from .superminhash import SLOTS, band_keys, intersection, new_powers, shingle_set, signatures
@@ -194,6 +196,7 @@ def _large_buckets(members: DataFrame, documents: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component (smallest linked id)."""
+    mark = written_so_far()
     docs = documents.select(F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = written(docs.mapInArrow(_signed, "doc long, n long, f1 long, f2 long, sig binary, bands array<long>"), "near-signed")
     first = signed.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc", "n", "sig", "bands")).alias("m"))
@@ -230,7 +233,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     # by id a class has one row; its documents may be very many, so both sides are read from files
     classes = reps.select("f1", "f2", "doc").join(comps, "doc", "left").select("f1", "f2", F.coalesce("comp", "doc").alias("comp"))
-    out = signed.select("doc", "n", "f1", "f2").join(written(classes, "near-classes"), ["f1", "f2"], "left")
+    classes = written(classes, "near-classes")
+    discard_since(documents.sparkSession, mark, signed, classes)
+    out = signed.select("doc", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
     comp = F.when(F.col("n") > 0, F.coalesce("comp", "doc")).otherwise(F.col("doc"))
     named = lambda c: F.when(c != _LAST, c)
     return out.select(named(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), named(comp).alias("component_id"))

@@ -6,8 +6,10 @@ applied to the ledger afterwards, and ablations are computed from counts per
 distinct bitmask without touching a text again.
 
 Defined cases: a null or empty text has no words and fails ``few_words``; rows
-that repeat are judged each on their own; an empty table gives an empty ledger.
-Only the id and text columns are read, so other columns may have any name.
+that repeat are judged each on their own; a text may be of any length, its
+windows are sorted inside its row; a measurement exactly at a rule's bound
+passes; an empty table gives an empty ledger.  Only the id and text columns are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations

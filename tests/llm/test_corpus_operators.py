@@ -461,6 +461,42 @@ def test_empty_tables_and_clashing_columns(spark):
     assert chat_trees.digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 1
 
 
+def test_very_long_texts(spark):
+    """A text of 60,000 words, a near copy and a passage of it, by plain Python."""
+    import plain
+
+    rng = random.Random(31)
+    stock = [prose(rng, 1) for _ in range(4000)]
+    long = [rng.choice(stock) for _ in range(60_000)]
+    near = [w if i % 400 else "changed" for i, w in enumerate(long)]
+    texts = [" ".join(long), " ".join(near), " ".join(long[20_000:20_200]), "short " * 12]
+    frame = docs(spark, texts)
+    label = plain.classes(list(enumerate(texts)))
+    assert label == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.digest(frame).collect()} == label
+    assert {r["doc_id"]: r["kept"] for r in quality_rules.digest(frame).collect()} == {i: plain.good(t) for i, t in enumerate(texts)}
+    taken, _ = plain.mixed([(i, "s", t) for i, t in enumerate(texts)])
+    assert {r["doc_id"]: r["taken"] for r in mixing.digest(frame).collect()} == dict(enumerate(taken))
+    first, gone = {}, {}
+    for i, t in enumerate(texts):
+        ws = t.split()
+        hit = set()
+        for s in range(len(ws) - 49):
+            if first.setdefault(tuple(ws[s : s + 50]), i) < i:
+                hit.update(range(s, s + 50))
+        gone[i] = len(hit)
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.digest(frame).collect()} == gone
+    item = " ".join(long[30_000:30_030])
+    got = {r["doc_id"]: r["n_hit"] for r in decontamination.digest(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {i: len(plain.hits(t, [(1, item)])[1]) for i, t in enumerate(texts)}
+    page = f"<html><body><nav>m</nav><article><p>{texts[0]}</p><p>{texts[2]}</p></article></body></html>"
+    assert html_text.extract(page, None) == f"{texts[0]}\n\n{texts[2]}"
+    rows = [(1, 0, "user", texts[0], 5, "c"), (1, 1, "assistant", texts[1], 5, "c")]
+    chat = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, leaf int, conv string")  # names of the operator's own columns
+    got = {r["conv_id"]: r for r in chat_trees.digest(chat).collect()}[1]
+    assert got["loss_chars"] == len(texts[1]) and got["turns_sha256"] == hashlib.sha256(f"user\n{texts[0]}\nassistant\n{texts[1]}\n".encode()).hexdigest()
+
+
 def test_pii_on_sentences_labelled_by_hand(spark):
     """Precision and recall of the added spans on text that the training generator has not made."""
     from labelled_pii import PRIVATE, PUBLIC
