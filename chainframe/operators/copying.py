@@ -47,19 +47,26 @@ def after_seconds(rows: DataFrame, clock: DataFrame, at: str, seconds: int, name
     return found.withColumn(name, boundary(F.col("found_block"), F.lit(0))).drop("after", "due", "found_block")
 
 
+def longest(rows: DataFrame, clock: DataFrame, terms: Terms, name: str) -> DataFrame:
+    """``rows`` with the place where a position that is sold at its ``deadline`` has failed to sell for the last time; those whose path leaves the clock go."""
+    rows = rows.withColumn("_at", F.col("deadline"))
+    for attempt in range(ATTEMPTS):
+        last = attempt + 1 == ATTEMPTS
+        rows = shifted(rows, clock, "_at", terms.sell_delay, name if last else "_landed").drop("_at")
+        if not last:
+            rows = after_seconds(rows, clock, "_landed", RETRY_S, "_at").drop("_landed")
+    return rows
+
+
 def entries(signals: DataFrame, clock: DataFrame, terms: Terms, policy: Policy) -> DataFrame:
-    """Per venue the first signal, if its longest path lies in the clock: a position that is held to the end and fails to sell four times.
+    """Per venue the first signal, if its longest path lies in the clock.
 
     If the first signal's path does not, no later one's does.
     """
     first = signals.groupBy("venue").agg(F.min(F.struct("boundary", "event_id")).alias("e")).select("venue", "e.*")
     rows = shifted(first, clock, "boundary", policy.observation_delay, "enter_at")
     rows = shifted(rows, clock, "enter_at", terms.buy_delay, "buy_at")
-    rows = after_seconds(rows, clock, "buy_at", terms.hold_s, "deadline").withColumn("_at", F.col("deadline"))
-    for attempt in range(ATTEMPTS):
-        rows = shifted(rows, clock, "_at", terms.sell_delay, "_landed").drop("_at")
-        if attempt + 1 < ATTEMPTS:
-            rows = after_seconds(rows, clock, "_landed", RETRY_S, "_at").drop("_landed")
+    rows = longest(after_seconds(rows, clock, "buy_at", terms.hold_s, "deadline"), clock, terms, "settled")
     return rows.select("venue", "boundary", "event_id", "enter_at", "buy_at", "deadline")
 
 

@@ -108,10 +108,12 @@ def scan_required_range(t: Tables) -> DataFrame:
     return t.shards.select("shard", F.greatest(F.lit(0).cast("long"), F.col("lo") - 30).alias("lo"), (F.col("hi") + 12).alias("hi"))
 
 
-@query("scan_incremental_reuse", "SELECT shard, lo, hi FROM shards s WHERE EXISTS (SELECT 1 FROM shards c WHERE c.shard % 2 = 0 AND c.lo = s.lo AND c.hi = s.hi)")
+@query("scan_incremental_reuse", """WITH c AS (SELECT * FROM shards WHERE shard % 7 <> 6), o AS (SELECT *, greatest(coalesce(max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 10), 10) AS b FROM c WHERE hi > 10),
+ f AS (SELECT coalesce(min(b) FILTER (WHERE lo > b), max(hi)) AS frontier FROM o) SELECT shard, lo, hi FROM shards WHERE hi <= (SELECT frontier FROM f)""")
 def scan_incremental_reuse(t: Tables) -> DataFrame:
-    committed = t.shards.where("shard % 2 = 0")
-    return t.shards.join(committed.select("lo", "hi"), ["lo", "hi"], "left_semi").select("shard", "lo", "hi")
+    """Shards that need no new scan: what lies wholly before the first gap of the committed ones."""
+    upto = quality.frontier(t.shards.where("shard % 7 <> 6"), 10).first()[0]
+    return t.shards.where(F.col("hi") <= upto).select("shard", "lo", "hi")
 
 
 @query("proj_rename", "SELECT l_orderkey AS signature, l_partkey AS base_coin FROM lineitem")

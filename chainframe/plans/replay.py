@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pricing
+from ..functions.exact import boundary
 from ..operators import copying, replay, roundtrips
 from ..operators.clock import after_transactions, first_block_at
+from ..operators.ordered import asof
+from ..operators.research import global_ordinal
 from ..operators.roundtrips import Terms
 from ..sources.adapters import RANGE, Tables
+from ..sources.scratch import scratch, stored
+from ..sources.sinks import publish
 from .registry import query
 
 COOLDOWN = 21_600
@@ -73,27 +78,41 @@ def join_forward_boundary(t: Tables) -> DataFrame:
     return _released(t).where("release_block IS NOT NULL").select("event_id", F.shiftleft("release_block", 32).alias("release"))
 
 
-@query("st_materialized_delivery", f"SELECT event_id, release_block, release_block IS NOT NULL AS delivered FROM ({_DELAYED})")
+@query("st_materialized_delivery", f"SELECT event_id, release_block << 32 AS release, true AS verified FROM ({_DELAYED}) WHERE release_block IS NOT NULL")
 def st_materialized_delivery(t: Tables) -> DataFrame:
-    return _released(t).withColumn("delivered", F.col("release_block").isNotNull())
+    """A published delivery table merged with the history: every release is found again on another way, the next block with transactions as of the third one after the event."""
+    rows = _released(t).where("release_block IS NOT NULL").select("event_id", F.shiftleft("release_block", 32).alias("release"))
+    published = publish(rows, scratch(t.spark, "delivery"), ["release", "event_id"])
+    busy = t.clock.where("transaction_count > 0").select(F.col("block_ordinal").alias("b"), F.col("block_ordinal").alias("next_block"))
+    expected = asof(t.trades.select("event_id", (F.col("block_ordinal") + 3).alias("from_block")), busy, [], "from_block", "b", ["next_block"], forward=True, width=4096)
+    return published.join(expected, "event_id").select("event_id", "release", (F.col("release") == F.shiftleft("next_block", 32)).alias("verified"))
 
 
-@query("st_settlement_tail", f"SELECT f.event_id, min(c.block_ordinal) AS settled FROM ({_FIRST.format(src='launches', s=2)}) f LEFT JOIN clock c ON c.transaction_count > 0 AND c.block_ordinal > f.found_block AND c.block_time_s >= f.found_block * 60 + 120 GROUP BY 1")
-def st_settlement_tail(t: Tables) -> DataFrame:
-    first = join_forward_block_time(t)
-    due = first.select("event_id", F.coalesce("found_block", F.lit(1 << 40)).alias("after"), (F.coalesce("found_block", F.lit(1 << 40)) * 60 + 120).alias("due"))
-    return first_block_at(due, t.clock, "event_id", "due", "after").select("event_id", F.col("found_block").alias("settled"))
+MOST_IN_GROUP = 10_000
 
 
 @query("st_group_atomic", "SELECT block_ordinal, count(*) AS n, arg_max(event_id, (boundary, event_id)) AS last_event FROM trades GROUP BY 1")
 def st_group_atomic(t: Tables) -> DataFrame:
-    return t.trades.groupBy("block_ordinal").agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("boundary", "event_id")).alias("last_event"))
+    """Groups are applied as a whole; one with more than 10,000 events is refused."""
+    groups = t.trades.groupBy("block_ordinal").agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("boundary", "event_id")).alias("last_event"))
+    small = F.col("n") <= MOST_IN_GROUP
+    return groups.withColumn("n", F.when(small, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("a group of events too large: "), F.col("n").cast("string"))).cast("long")))
+
 
+_FRONTS = f"""SELECT event_id, 10 AS phase, boundary AS release, boundary AS creator FROM trades UNION ALL SELECT d.event_id, 30, release_block << 32, t.boundary FROM ({_DELAYED}) d JOIN trades t USING (event_id) WHERE release_block IS NOT NULL
+ UNION ALL SELECT x.event_id, 60, (landing_block << 32) + landing_index + 1, t.boundary FROM ({_TX.format(n=3, src='trades')}) x JOIN trades t USING (event_id)"""
 
-@query("st_phase_scheduler", "SELECT event_id, CASE event_type WHEN 'signup' THEN 10 WHEN 'purchase' THEN 40 WHEN 'click' THEN 60 ELSE 80 END AS phase, boundary FROM positions")
+
+@query("st_phase_scheduler", f"SELECT event_id, phase, release, row_number() OVER (ORDER BY release, phase, creator, event_id) - 1 AS turn FROM ({_FRONTS})")
 def st_phase_scheduler(t: Tables) -> DataFrame:
-    phase = F.when(F.col("event_type") == "signup", 10).when(F.col("event_type") == "purchase", 40).when(F.col("event_type") == "click", 60).otherwise(80)
-    return t.positions.select("event_id", phase.alias("phase"), "boundary").orderBy("boundary", "phase", "event_id")
+    """History, observations and landings as one queue: by release, then phase, then who made it, then id."""
+    s = t.stored_events()
+    history = s.trades.select("event_id", F.lit(10).alias("phase"), F.col("boundary").alias("release"), F.col("boundary").alias("creator"))
+    seen = _released(s).where("release_block IS NOT NULL").join(s.trades.select("event_id", F.col("boundary").alias("creator")), "event_id").select("event_id", F.lit(30).alias("phase"), F.shiftleft("release_block", 32).alias("release"), "creator")
+    landed = after_transactions(s.trades.select("event_id", "block_ordinal", "transaction_index", F.col("boundary").alias("creator")), s.clock, 3)
+    landed = landed.select("event_id", F.lit(60).alias("phase"), boundary(F.col("landing_block"), F.col("landing_index")).alias("release"), "creator")
+    queue = history.unionByName(seen).unionByName(landed)
+    return global_ordinal(queue, ["release", "phase", "creator", "event_id"], "turn").select("event_id", "phase", "release", "turn")
 
 
 @query("st_next_eligible", "SELECT event_id, greatest(boundary, ((block_ordinal) << 32) + 2) AS eligible FROM trades")
@@ -124,16 +143,39 @@ def st_curve_state(t: Tables) -> DataFrame:
     return ends.join(t.states.groupBy("venue").agg(F.count("*").alias("states")), "venue").join(bad, "venue", "left").withColumn("invalid", F.coalesce("invalid", F.lit(0)).cast("long"))
 
 
-_FIRSTSWAP = "WITH s AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY boundary, event_id) AS rn FROM trades WHERE side = 'SELL') SELECT s.venue, s.event_id, min(c.block_ordinal) AS executes, s.amount - s.amount * 30 // 10000 AS effective FROM s JOIN clock c ON c.transaction_count > 0 AND c.block_ordinal > s.block_ordinal WHERE rn = 1 GROUP BY ALL"
+MOST_AT_RISK, FEE_BPS = 9_000_000_000, 30
+_REFERENCE = f"""WITH s AS (SELECT venue, event_id, block_ordinal, amount * 1000000 AS tokens FROM trades WHERE side = 'SELL' QUALIFY row_number() OVER (PARTITION BY venue ORDER BY boundary, event_id) = 1),
+ r AS (SELECT s.*, (SELECT min(c.block_ordinal) FROM clock c WHERE c.transaction_count > 0 AND c.block_ordinal >= s.block_ordinal + 3) AS seen FROM s),
+ x AS (SELECT r.*, (SELECT min(c.block_ordinal) FROM clock c WHERE c.transaction_count > 0 AND c.block_ordinal > r.seen) AS executes FROM r),
+ q AS (SELECT x.*, (coalesce(executes, 0) << 32) + 1 AS place, tokens - tokens * {FEE_BPS} // 10000 AS eff FROM x),
+ z AS (SELECT q.*, {{state}} FROM q ASOF LEFT JOIN states a ON q.venue = a.venue AND q.place >= a.state_at),
+ o AS (SELECT *, CASE WHEN seen IS NULL THEN 'OBSERVATION_OUTSIDE_HORIZON' WHEN executes IS NULL THEN 'HORIZON_EXHAUSTED' WHEN tokens > {MOST_AT_RISK} THEN 'RISK_REJECTED' ELSE 'EXECUTED' END AS status FROM z)
+ SELECT venue, event_id, status, executes, CASE WHEN status = 'EXECUTED' THEN CAST((a_vq * eff) // (a_vt + eff) AS BIGINT) END AS received FROM o"""
 
 
-@query("st_reference_engine", _FIRSTSWAP)
+def _reference_sql() -> str:
+    return _REFERENCE.replace("{state}", f"coalesce(a.vt, {pricing.VIRTUAL_TOKEN})::HUGEINT AS a_vt, coalesce(a.vq, {pricing.VIRTUAL_QUOTE})::HUGEINT AS a_vq")
+
+
+@query("st_reference_engine", _reference_sql())
 def st_reference_engine(t: Tables) -> DataFrame:
-    """One order per venue after its first observed swap, executed in the next block with transactions."""
-    first = t.trades.where("side = 'SELL'").groupBy("venue").agg(F.min(F.struct("boundary", "event_id", "block_ordinal", "amount")).alias("f")).select("venue", "f.*")
-    due = first.withColumn("due", F.col("block_ordinal") * 60 + 1)
-    found = first_block_at(due, t.clock, "event_id", "due", "block_ordinal").where("found_block IS NOT NULL")
-    return found.select("venue", "event_id", F.col("found_block").alias("executes"), (F.col("amount") - F.expr("amount * 30 div 10000")).alias("effective"))
+    """One order per venue, sold after its first swap has been observed.
+
+    Observed three blocks later (30), decided (40), refused beyond the limit or
+    without a later block (50), executed in the next block with transactions
+    after history was applied there (10, 60).
+    """
+    s = t.stored_events()
+    first = s.trades.where("side = 'SELL'").groupBy("venue").agg(F.min(F.struct("boundary", "event_id", "block_ordinal", "amount")).alias("f"))
+    orders = first.select("venue", "f.event_id", F.col("f.block_ordinal").alias("block_ordinal"), (F.col("f.amount") * 1_000_000).alias("tokens"))
+    orders = orders.withColumn("after", F.col("block_ordinal") + 2).withColumn("due", (F.col("block_ordinal") + 3) * 60)
+    seen = stored(first_block_at(stored(orders, "orders"), s.clock, "event_id", "due", "after").select("venue", "event_id", "tokens", F.col("found_block").alias("seen")), "seen")
+    asked = stored(seen.where("seen IS NOT NULL").select("event_id", F.col("seen").alias("after"), (F.col("seen") * 60 + 1).alias("due")), "asked")
+    placed = seen.join(first_block_at(asked, s.clock, "event_id", "due", "after").select("event_id", F.col("found_block").alias("executes")), "event_id", "left")
+    rows = roundtrips.at_states(placed.withColumn("place", F.shiftleft(F.coalesce("executes", F.lit(0).cast("long")), 32) + 1), s.states, "event_id", {"state": "place"}, RANGE)
+    status = F.when(F.col("seen").isNull(), "OBSERVATION_OUTSIDE_HORIZON").when(F.col("executes").isNull(), "HORIZON_EXHAUSTED").when(F.col("tokens") > MOST_AT_RISK, "RISK_REJECTED").otherwise("EXECUTED")
+    got = pricing.constant_product(F.col("tokens"), F.col("state.vt"), F.col("state.vq"), FEE_BPS)["out"].cast("long")
+    return rows.withColumn("status", status).select("venue", "event_id", "status", "executes", F.when(F.col("status") == "EXECUTED", got).alias("received"))
 
 
 # --- sniping ------------------------------------------------------------------------------------------------------------
@@ -321,6 +363,19 @@ def _longest() -> str:
     return ", ".join(parts)
 
 
+_TAIL = f"""WITH t1 AS (SELECT event_id, venue, boundary, block_ordinal FROM launches), {_move('t2', 't1', 'x.boundary', TERMS.buy_delay, 'buy_at')}, {_wait('c3', 't2', 'buy_at', TERMS.hold_s, 'deadline')}, {_longest()}
+ SELECT l.event_id, p.landed{copying.ATTEMPTS} AS settled FROM launches l LEFT JOIN pa{copying.ATTEMPTS} p USING (event_id)"""
+
+
+@query("st_settlement_tail", _TAIL)
+def st_settlement_tail(t: Tables) -> DataFrame:
+    """Where a launch's longest path would end: bought, held, and sold at the fourth attempt; null if that leaves the clock."""
+    s = t.stored_events()
+    rows = copying.shifted(s.launches.select("event_id", "venue", "boundary"), s.clock, "boundary", TERMS.buy_delay, "buy_at")
+    rows = copying.longest(copying.after_seconds(rows, s.clock, "buy_at", TERMS.hold_s, "deadline"), s.clock, TERMS, "settled")
+    return s.launches.select("event_id").join(rows.select("event_id", "settled"), "event_id", "left")
+
+
 _WORTH = _worth("p.tokens")
 _SALES = " UNION ALL ".join(f"SELECT * FROM sa{i}" for i in range(1, copying.ATTEMPTS + 1))
 _COPY = f"""WITH c0 AS (SELECT event_id, venue, boundary FROM trades WHERE side = 'BUY' AND signer < 60), {_move('c1', 'c0', 'x.boundary', POLICY.observation_delay, 'enter_at')}, {_move('c2_', 'c1', 'x.enter_at', COPY_TERMS.buy_delay, 'buy_at')},
