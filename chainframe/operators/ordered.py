@@ -24,10 +24,9 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right
     cut = (lambda at: F.floor(F.col(at) / width)) if width else (lambda at: F.lit(0).cast("long"))
     probe = left.select(*keys, F.col(left_at).alias("_at"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(hit).alias("_hit"), F.lit(0 if forward else 1).alias("_side"), cut(left_at).alias("_range"))
     base = right.select(*keys, F.col(right_at).cast(kind[left_at]).alias("_at"), F.lit(None).cast(probe.schema["_row"].dataType).alias("_row"), F.struct(right_at, *take).alias("_hit"), F.lit(1 if forward else 0).alias("_side"), cut(right_at).alias("_range"))
-    w = Window.partitionBy(*keys, "_range").orderBy("_at", "_side", "_hit")
-    w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    found = F.first("_hit", ignorenulls=True) if forward else F.last("_hit", ignorenulls=True)
-    joined = probe.unionByName(base).withColumn("_found", found.over(w)).where("_row IS NOT NULL")
+    # forward the order is turned round: a frame that grows is folded once, one that shrinks is read again for every row
+    w = Window.partitionBy(*keys, "_range").orderBy(*(F.desc(c) if forward else F.asc(c) for c in ("_at", "_side", "_hit"))).rowsBetween(Window.unboundedPreceding, 0)
+    joined = probe.unionByName(base).withColumn("_found", F.last("_hit", ignorenulls=True).over(w)).where("_row IS NOT NULL")
     if width:
         best = (F.min if forward else F.max)("_hit")  # right_at comes first in it
         ranges = base.select(*keys, "_range", "_hit").unionByName(probe.select(*keys, "_range", "_hit")).groupBy(*keys, "_range").agg(best.alias("_hit"))

@@ -84,8 +84,9 @@ def st_materialized_delivery(t: Tables) -> DataFrame:
     rows = _released(t).where("release_block IS NOT NULL").select("event_id", F.shiftleft("release_block", 32).alias("release"))
     published = publish(rows, scratch(t.spark, "delivery"), ["release", "event_id"])
     busy = t.clock.where("transaction_count > 0").select(F.col("block_ordinal").alias("b"), F.col("block_ordinal").alias("next_block"))
-    expected = asof(t.trades.select("event_id", (F.col("block_ordinal") + 3).alias("from_block")), busy, [], "from_block", "b", ["next_block"], forward=True, width=4096)
-    return published.join(expected, "event_id").select("event_id", "release", (F.col("release") == F.shiftleft("next_block", 32)).alias("verified"))
+    trades = t.trades.select("event_id", (F.col("block_ordinal") + 3).alias("from_block"))
+    expected = asof(trades.select("from_block").distinct(), busy, [], "from_block", "b", ["next_block"], forward=True, width=4096)
+    return published.join(trades.join(expected, "from_block"), "event_id").select("event_id", "release", (F.col("release") == F.shiftleft("next_block", 32)).alias("verified"))
 
 
 MOST_IN_GROUP = 10_000

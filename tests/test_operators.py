@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import random
+import re
 from dataclasses import replace
 from decimal import Decimal
 from fractions import Fraction
@@ -143,6 +144,53 @@ def test_first_block_after_a_time(spark):
     assert got == {i: min((b for b, n, t in blocks if n and t >= due and b > after), default=None) for i, due, after in wanted}
 
 
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_forward_frames_grow(spark):
+    """A frame that reaches to the end of its range is read again for every row of it."""
+    left, right = spark.range(9).selectExpr("id AS a"), spark.range(9).selectExpr("id * 2 AS b", "id AS v")
+    assert "unboundedfollowing" not in _plan(ordered.asof(left, right, [], "a", "b", ["v"], True, 4)).lower()
+    rows = [(r, r if r % 5 == 0 else None) for r in (*range(0, 60), *range(9000, 9060, 3))]
+    frame = spark.createDataFrame(rows, "r long, v long")
+    got = prefix.carried(frame, [], "r", "v", forward=True)
+    assert "unboundedfollowing" not in _plan(got).lower()
+    assert {r["r"]: r["_carried"] for r in got.collect()} == {r: min((v for _, v in rows if v is not None and v > r), default=None) for r, _ in rows}
+
+
+def test_equal_times_are_looked_up_once(spark):
+    frame = spark.createDataFrame([(b, 1, b * 60) for b in range(50)], "block_ordinal long, transaction_count long, block_time_s long")
+    asked = spark.createDataFrame([(i, 600, 9) for i in range(400)], "id long, due long, after long")
+    found = clock.first_block_at(asked, frame, "id", "due", "after")
+    assert [r["found_block"] for r in found.collect()] == [10] * 400
+    assert max(int(n) for n in re.findall(r"number of output rows: (\d+)", _with_rows(found))) == 400
+
+
+def _with_rows(df):
+    """The rows that each step of the plan that ran has put out."""
+
+    def down(plan):
+        metrics = plan.metrics()
+        own = f"{plan.nodeName()} number of output rows: {metrics.apply('numOutputRows').value()}\n" if metrics.contains("numOutputRows") else ""
+        parts = [plan.children().apply(i) for i in range(plan.children().size())]
+        if "AdaptiveSparkPlan" in plan.nodeName():
+            parts = [plan.executedPlan()]
+        elif "QueryStage" in plan.nodeName():
+            parts = [plan.plan()]
+        return own + "".join(map(down, parts))
+
+    return down(df._jdf.queryExecution().executedPlan())
+
+
+def test_the_clock_is_not_broadcast(spark):
+    """Integers that are written out from one row look small to the planner."""
+    counts = spark.createDataFrame([(0, 3), (70_000, 2)], "block_ordinal long, transaction_count long")
+    made = clock.build_clock(counts)
+    assert [tuple(r) for r in made.where("transaction_count > 0").orderBy("block_ordinal").collect()] == [(0, 3, 0), (70_000, 2, 3)]
+    assert "(strategy=merge)" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_running_sums_over_ranges(spark):
     rng = random.Random(7)
     rows = [(rng.randrange(3), rng.randrange(0, 40_000), i, rng.randrange(-5, 9)) for i in range(500)]
