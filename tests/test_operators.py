@@ -14,7 +14,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chainframe.functions import exact, pricing, text
-from chainframe.operators import clock, graph, guards, learning, ordered, paging, prefix, quality, replay, research, roundtrips
+from chainframe.operators import cells, clock, graph, guards, learning, ordered, paging, prefix, quality, replay, research, roundtrips
+from chainframe.plans import registry
 
 QUICK = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -416,3 +417,28 @@ def test_wallets_equal_plain_books(spark):
         assert got == want
         statuses |= {s for s, _, _ in want.values()}
     assert statuses == {s for s in roundtrips.STATUSES if s not in ("COOLDOWN_SKIPPED", "BUY_REFERENCE_REJECTED", "OPEN_AT_HORIZON")}
+
+
+def test_all_pairs_of_a_key(spark):
+    left = [(1, i) for i in range(23)] + [(1, 5), (1, 5), (1, None), (2, 7), (3, 8), (None, 9)]
+    right = [(1, i) for i in range(11)] + [(1, 3), (2, None), (2, 4), (4, 1), (None, 2)]
+    frames = spark.createDataFrame(left, "k long, a long"), spark.createDataFrame(right, "k long, b long")
+    want = sorted(str((k, a, b)) for k, a in left for m, b in right if k is not None and k == m)
+    got = cells.all_pairs(*frames, "k", block=4, run=3, per_task=50)
+    assert sorted(str((r["k"], r["a"], r["b"])) for r in got.collect()) == want
+    wide = cells.all_pairs(frames[0].withColumn("c", F.col("a") + 1), frames[1].withColumn("d", F.lit("x")), "k", block=4, run=3)
+    assert sorted(str((r["k"], r["a"], r["b"])) for r in wide.where("d = 'x' AND c IS NOT DISTINCT FROM a + 1").collect()) == want
+    assert cells.all_pairs(frames[0].where("k = 9"), frames[1], "k").isEmpty()
+
+
+def test_launch_pairs_take_little_disk(spark, tmp_path):
+    """One venue with 200 trades and 20,000 launches: 4,000,000 rows, 16 MB by a plain join."""
+    launches = spark.range(20_000).selectExpr("id * 20 + 1 AS event_id", "'signup' AS event_type", "id AS user_id")
+    trades = spark.range(200).selectExpr("id AS event_id", "'click' AS event_type", "1L AS user_id")
+    rest = "timestamp_ntz'2024-01-01 00:00:00' AS ts", "1D AS value", "'' AS props"
+    launches.unionByName(trades).selectExpr("*", *rest).write.parquet(str(tmp_path / "events.parquet"))
+    made = str(tmp_path / "made")
+    registry.queries()["join_inner_trade_launch_eligible"](spark, str(tmp_path)).write.parquet(made)
+    back = spark.read.parquet(made)
+    assert back.agg(F.count("*"), F.sum("trade"), F.sum("launch")).first()[:] == (4_000_000, 199 * 100 * 20_000, (19_999 * 10_000 * 20 + 20_000) * 200)
+    assert sum(p.stat().st_size for p in (tmp_path / "made").glob("*.parquet")) < 1_500_000
